@@ -4,8 +4,8 @@ Each task runs an embedded DuckDB with keyed tables, and every delivery is an up
 on the stored sequence, so order and repetition of deliveries don't matter:
 
 * ``events``, keyed by entity, version and change_seq: the delivery received last wins. It runs first on each input
-  partition as it lies (repeats shrink before the shuffle, also those of one hot key), then on buckets of (entity,
-  version), so a hot entity's history is spread over all tasks.
+  partition as it lies (repeats shrink before the shuffle, also those of one hot key), then on buckets of event keys, so
+  the history of a hot entity, or of one hot version, is spread over all tasks.
 * ``state``, keyed by entity and path: the event latest in (version, change_seq) wins; removals stay as tombstones, and a
   set leaves on each object above it the mark that it had to be an object then. It runs on the same buckets, then on
   buckets of entities, which get at most one row per bucket and path, however long the history.
@@ -192,7 +192,7 @@ def rebuild_state(feed: DataFrame) -> DataFrame:
     )
     spark = feed.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-feed.count() // BUCKET_ROWS))
-    events = rows.mapInArrow(_combine, EVENT).repartition(n, "entity_type", "entity_id", "version")
+    events = rows.mapInArrow(_combine, EVENT).repartition(n, "entity_type", "entity_id", "version", "change_seq")
     return events.mapInArrow(_bucket, STATE).repartition(n, "entity_type", "entity_id").mapInArrow(_entities, LEAF)
 
 

@@ -48,28 +48,26 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     piece, place = TaskContext.get().partitionId(), 0
     schema = arrow.schema(PIECE)
     out: list[tuple] = []
-    entity = first = second = last = held = None  # boundaries (version, us, state); held: latest row of the latest time
+    entity = first = second = last = None  # boundaries (version, us, state) of the entity's part in this piece
     opening = True  # in the piece's first entity
 
-    def row() -> None:
-        """The held row is the one that counts at its time."""
+    def row(now: tuple) -> None:
         nonlocal first, second, last
         if first is None:
-            first = last = held
-        elif held[2] != last[2]:
+            first = last = now
+        elif now[2] != last[2]:
             if second is None:
-                second = held
+                second = now
                 if not opening and first[2] is not None:
-                    out.append((*entity, first[0], first[1], held[1], *[None] * 7))
+                    out.append((*entity, first[0], first[1], now[1], *[None] * 7))
             elif last[2] is not None:
-                out.append((*entity, last[0], last[1], held[1], *[None] * 7))
-            last = held
+                out.append((*entity, last[0], last[1], now[1], *[None] * 7))
+            last = now
 
     def end(closing: bool) -> None:
         nonlocal opening, place
         if entity is None:
             return
-        row()
         if opening or closing:
             # the first period is told by the fragment, unless it is out already
             told = not opening and second is not None
@@ -90,9 +88,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (t, e) != entity:
                 end(False)
                 entity, first, second, last = (t, e), None, None, None
-            elif us != held[1]:
-                row()
-            held = v, us, s
+            row((v, us, s))
         if len(out) >= 10_000:
             yield flush()
     end(True)
@@ -129,10 +125,10 @@ def build_chains(log: DataFrame) -> DataFrame:
     """
     spark = log.sparkSession
     one = log.groupBy(*ENTITY, "version").agg(F.max(F.struct("us", "id", "state")).alias("r")).select(*ENTITY, "version", "r.us", "r.state")
+    one = one.groupBy(*ENTITY, "us").agg(F.max(F.struct("version", "state")).alias("r")).select(*ENTITY, "us", "r.version", "r.state")
     one = materialize(one, "versions")  # the range partitioning reads it twice, to sample and to sort
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # nulls last inside a time: the highest version is the last
-    ordered = one.repartitionByRange(n, *ENTITY, "us").sortWithinPartitions(*ENTITY, "us", F.col("version").asc_nulls_first())
+    ordered = one.repartitionByRange(n, *ENTITY, "us").sortWithinPartitions(*ENTITY, "us")
     pieces = materialize(ordered.mapInArrow(_pieces, PIECE), "periods")
     fragments = pieces.where("piece is not null").collect()  # two for each of the n tasks at most
     stitched = list(_stitch(sorted(fragments, key=lambda f: (f.piece, f.place))))

@@ -1,8 +1,8 @@
 """Schemas that drift between versions: profile them, find the edit scripts, bring all records into the newest shape.
 
-1. Current rows are spread by entity and block of versions, so that no entity's history gathers in one task, and scanned
-   once in order of version: partial counts of each field's presence and type, and the pairs of records between which an
-   entity goes from one schema_version to another. Blocks' ends are stitched afterwards.
+1. Current rows give partial counts of each field's presence and type. One record of each version is kept, spread by
+   entity and block of versions, so that no history gathers in one task, and scanned in order of version for the pairs
+   of records between which an entity goes from one schema_version to another. Blocks' ends are stitched afterwards.
 2. Fields that a quarter of a schema_version's records have are its schema; the number of such fields is bounded by what
    records hold, so schemas are the driver's. For removed and added fields the pairs tell how often values stay equal.
 3. A minimum-cost edit script between neighbouring schemas names the changes (plans/tree_edit.py), and scripts compose
@@ -39,64 +39,68 @@ def fields(value, closed: frozenset[str], path: str = "") -> Iterator[tuple[str,
                 yield from fields(x, closed, p)
 
 
-def _scanner(closed: frozenset[str]):
+def _profiler(closed: frozenset[str]):
+    """Partial counts of a task's records."""
     schema = arrow.schema(SCAN)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
-        out: list[tuple] = []
-        entity = version = last = None  # last: (schema_version, data) of the version before; held: of this version
-        held = None
-
-        def step(new) -> None:
-            """The held version is complete."""
-            nonlocal last
-            if held is not None:
-                if last is None:
-                    out.append(("first", *entity, held[0], None, None, None, None, held[1], None))
-                elif last[0] != held[0]:
-                    out.append(("pair", *entity, last[0], held[0], None, None, None, last[1], held[1]))
-                last = held
-            if new and last is not None:
-                out.append(("last", *entity, last[0], None, None, None, None, last[1], None))
-                last = None
 
         def flush():
-            nonlocal out
-            rows = out + [("count", t, None, None, None, s, p, k, n, None, None) for (t, s, p, k), n in counts.items()]
-            out = []
+            rows = arrow.batch([("count", t, None, None, None, s, p, k, n, None, None) for (t, s, p, k), n in counts.items()], schema)
             counts.clear()
-            return arrow.batch(rows, schema)
+            return rows
 
         for batch in batches:
-            for t, e, b, v, s, data in zip(*(batch.column(c).to_pylist() for c in ("entity_type", "entity_id", "block", "version", "schema_version", "data"))):
+            for t, s, data in zip(*(batch.column(c).to_pylist() for c in ("entity_type", "schema_version", "data"))):
                 value = jsonval.load_any(data)
                 if value is None:
                     continue
                 counts[t, s, None, None] += 1
                 for p, x in fields(value, closed):
                     counts[t, s, p, jsonval.kind(x)] += 1
-                if (t, e, b) != entity:
-                    step(True)
-                    entity, version, held = (t, e, b), v, None
-                elif v != version:
-                    step(False)
-                    version = v
-                held = s, data
-            if len(counts) > KEPT_COUNTS or len(out) > 2000:
+            if len(counts) > KEPT_COUNTS:
                 yield flush()
-        step(True)
         yield flush()
 
     return run
 
 
+def _pairer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring records of different schema_versions, and the first and last record of each entity's block."""
+    schema = arrow.schema(SCAN)
+    out: list[tuple] = []
+    block = last = None  # last: (schema_version, data)
+    for batch in batches:
+        for t, e, b, s, data in zip(*(batch.column(c).to_pylist() for c in ("entity_type", "entity_id", "block", "schema_version", "data"))):
+            if (t, e, b) != block:
+                if last:
+                    out.append(("last", *block, last[0], None, None, None, None, last[1], None))
+                block, last = (t, e, b), None
+                out.append(("first", *block, s, None, None, None, None, data, None))
+            elif last[0] != s:
+                out.append(("pair", *block, last[0], s, None, None, None, last[1], data))
+            last = s, data
+        if len(out) > 2000:
+            yield arrow.batch(out, schema)
+            out = []
+    if last:
+        out.append(("last", *block, last[0], None, None, None, None, last[1], None))
+    yield arrow.batch(out, schema)
+
+
 def scan(df: DataFrame, closed: frozenset[str]) -> DataFrame:
     """Rows of SCAN: counts of fields and types, and pairs of records at a change of schema_version."""
-    columns = [F.col(c) for c in ("id", "entity_type", "entity_id", "version", "schema_version", "data") if c != "id"]
-    rows = current_rows(df.select("id", "created_at", *columns), *columns).withColumn("block", F.floor(F.coalesce("version", F.lit(0)) / BLOCK))
-    rows = rows.repartition("entity_type", "entity_id", "block").sortWithinPartitions("entity_type", "entity_id", "block", "version", "created_at", "id")
-    return materialize(rows.select("entity_type", "entity_id", "block", "version", "schema_version", "data").mapInArrow(_scanner(closed), SCAN), "scan")
+    columns = [F.col(c) for c in ("entity_type", "entity_id", "version", "schema_version", "data")]
+    rows = current_rows(df.select("id", "created_at", *columns), *columns)
+    counted = rows.select("entity_type", "schema_version", "data").mapInArrow(_profiler(closed), SCAN)
+    # one record a version, however often it was saved
+    known = rows.where(F.btrim("data", F.lit(jsonval.BLANKS)).isin("", "null") == F.lit(False))
+    one = known.groupBy("entity_type", "entity_id", "version").agg(F.max(F.struct("created_at", "id", "schema_version", "data")).alias("r"))
+    one = one.select("entity_type", "entity_id", F.floor(F.coalesce("version", F.lit(0)) / BLOCK).alias("block"), "version", "r.schema_version", "r.data")
+    blocks = one.repartition("entity_type", "entity_id", "block").sortWithinPartitions("entity_type", "entity_id", "block", "version")
+    paired = blocks.select("entity_type", "entity_id", "block", "schema_version", "data").mapInArrow(_pairer, SCAN)
+    return materialize(counted.unionByName(paired), "scan")
 
 
 def _pairs(scanned: DataFrame) -> DataFrame:
