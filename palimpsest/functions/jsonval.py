@@ -14,10 +14,11 @@ from hashlib import blake2b
 import pyarrow as pa
 
 BLANKS = " \t\r\n"
+DEEPEST = 400  # levels of nesting; a deeper text is taken as one that is not JSON
 
 
 class Invalid:
-    """A text that is not JSON (or nests deeper than the parser goes); equal only to the same text."""
+    """A text that is not JSON (or nests deeper than DEEPEST levels); equal only to the same text."""
 
     __slots__ = ("text",)
 
@@ -48,7 +49,7 @@ def _wide(text: str):
     if not d:
         return 0
     sign, digits, exp = d.as_tuple()
-    if exp >= 0 and len(digits) + exp < 4000 or exp < 0 and -exp < len(digits) and not any(digits[exp:]):
+    if len(digits) + exp < 4000 and (exp >= 0 or -exp < len(digits) and not any(digits[exp:])):
         return int(d)
     f = float(d)
     if f and f not in (float("inf"), float("-inf")) and Decimal(repr(f)) == d:
@@ -66,9 +67,19 @@ _encode = json.JSONEncoder(ensure_ascii=True, sort_keys=True, separators=(",", "
 def load(text: str):
     """The value of a JSON text; ValueError if it is none."""
     try:
-        return _decode(text)
+        value = _decode(text)
     except RecursionError:
         raise ValueError("nested too deep") from None
+    if text.count("[") + text.count("{") > DEEPEST and _depth(value) > DEEPEST:
+        raise ValueError("nested too deep")
+    return value
+
+
+def _depth(value) -> int:
+    depth, level = 0, [value]
+    while level := [x for v in level for x in (v.values() if isinstance(v, dict) else v if isinstance(v, list) else ())]:
+        depth += 1
+    return depth
 
 
 def load_any(text: str | None):
