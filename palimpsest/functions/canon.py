@@ -25,7 +25,7 @@ def _float(c: Column) -> Column:
     size = F.abs(c)
     text = size.cast("string")
     parts = F.split(text, "E")
-    exponent = F.element_at(parts, 2).cast("int")
+    exponent = F.try_element_at(parts, F.lit(2)).cast("int")
     digits = F.rtrim(F.replace(parts[0], F.lit("."), F.lit("")), F.lit("0"))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
     large = F.when(F.length(digits) <= exponent + 1, F.rpad(digits, exponent + 1, F.lit("0"))).otherwise(F.concat(F.substring(digits, F.lit(1), exponent + 1), F.lit("."), F.substring(digits, exponent + 2, F.length(digits))))

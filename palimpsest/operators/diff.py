@@ -111,7 +111,7 @@ def _apply(state: Column, delta: Column, f: T.StructField, path: Column, prefix:
     kind = f.dataType
     if "embedded" in flags_of(f):
         return F.struct(*[_apply(state[g.name], delta, g, F.lit(g.name) if prefix is None else F.concat(prefix, F.lit("." + g.name)), prefix).alias(g.name) for g in kind.fields])
-    own = F.element_at(F.filter(delta, lambda c: c["path"] == path), -1)
+    own = F.try_element_at(F.filter(delta, lambda c: c["path"] == path), F.lit(-1))
     hit = F.exists(delta, lambda c: c["path"] == path)
     if isinstance(kind, T.StructType):
         start = F.when(hit, _parse(own["new_value"], kind)).otherwise(state)
@@ -135,7 +135,7 @@ def _apply_map(state: Column, delta: Column, kind: T.MapType, path: Column) -> C
 
         def value(k: Column) -> Column:
             p = F.concat(inside, k)
-            whole = F.element_at(F.filter(mine, lambda c: c["path"] == p), -1)
+            whole = F.try_element_at(F.filter(mine, lambda c: c["path"] == p), F.lit(-1))
             start = F.coalesce(_parse(whole["new_value"], kind.valueType), F.element_at(base, k))
             return _apply_map(start, delta, kind.valueType, p)
 
