@@ -130,9 +130,9 @@ def mix(documents: DataFrame, targets: DataFrame, sources: Column | None = None,
     target = {k: (r.share / whole, r.most) for k, r in wanted.items()}
     keys = F.transform(sources if sources is not None else F.array("source"), source_key)
     member = F.array_sort(F.array_distinct(F.filter(keys, lambda k: k.isin(*target))))
-    # the pattern is known before any token is counted
+    # the pattern is known before any token is counted; counts are written before they are filtered, or they would be made twice
     chosen = documents.select("doc_id", member.alias("pattern"), "text").where(F.size("pattern") > 0)
-    counted = materialize(chosen.select("doc_id", F.concat_ws(" ", "pattern").alias("pattern"), n_tokens("text", vocabulary).alias("n_tokens")).where("n_tokens > 0"), "members")
+    counted = materialize(chosen.select("doc_id", F.concat_ws(" ", "pattern").alias("pattern"), n_tokens("text", vocabulary).alias("n_tokens")), "members").where("n_tokens > 0")
     sizes = {tuple(r.pattern.split(" ")): float(r.n) for r in counted.groupBy("pattern").agg(F.sum("n_tokens").alias("n")).collect()}
     served_by = {x for p in sizes for x in p}
     there = sum(target[x][0] for x in served_by)
