@@ -5,12 +5,13 @@ The plan of a diff is made once per entity type; what runs is one expression per
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions.canon import json_text
 from palimpsest.model import CHANGE
+from palimpsest.plans.blocks import with_previous
 from palimpsest.plans.registry import EntityType, flags_of
 
 _NONE = "array<struct<path:string,old_value:string,new_value:string>>"
@@ -160,9 +161,8 @@ def valid(previous: Column, current: Column, delta: Column, schema: T.StructType
 
 
 def history_changes(states: DataFrame, entity: EntityType, state: str = "state", by: tuple[str, ...] = ("entity_id",), order: str = "version") -> DataFrame:
-    """states with ``previous`` (the state before, null at first) and ``delta`` (null at first)."""
-    w = Window.partitionBy(*by).orderBy(order)
-    rows = states.withColumn("previous", F.lag(state).over(w))
+    """states with ``previous`` (the state before, null at first) and ``delta`` (null at first); ``order`` is an integer."""
+    rows = with_previous(states, list(by), order, [state]).withColumn("previous", F.col(f"previous.{state}"))
     return rows.withColumn("delta", F.when(F.col("previous").isNotNull(), changes(F.col("previous"), F.col(state), entity.schema)))
 
 

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 from hashlib import sha256
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.canon import chain_payload
 from palimpsest.model import ENTITY
+from palimpsest.plans.blocks import with_previous
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,14 +55,12 @@ def check_chain(df: DataFrame, anchored: bool = False) -> DataFrame:
     All rows at once: the hash is recomputed from the row's own previous_hash, the pointer compared with the row before.
     ``anchored``: the first surviving version may point to one that retention removed.
     """
-    w = Window.partitionBy(*ENTITY).orderBy("version")
-    before = F.lag("hash").over(w)
-    first = F.row_number().over(w) == 1
-    pointer = F.coalesce(F.col("previous_hash"), F.lit("")) == F.coalesce(before, F.lit(""))
+    rows = with_previous(df, ENTITY, "version", ["hash"], "_before")
+    pointer = F.coalesce(F.col("previous_hash"), F.lit("")) == F.coalesce(F.col("_before.hash"), F.lit(""))
     if anchored:
-        pointer = pointer | first
+        pointer = pointer | F.col("_before").isNull()
     own = F.sha2(chain_payload(F.col("entity_type"), F.col("entity_id"), F.col("version"), F.col("data"), F.col("previous_hash")), 256)
-    return df.withColumn("error", F.when(~pointer, "pointer").when(~own.eqNullSafe(F.col("hash")), "hash"))
+    return rows.withColumn("error", F.when(~pointer, "pointer").when(~own.eqNullSafe(F.col("hash")), "hash")).drop("_before")
 
 
 def verify_chains(df: DataFrame, anchored: bool = False) -> DataFrame:

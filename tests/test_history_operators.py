@@ -279,3 +279,12 @@ def test_asof_join(spark):
     right = spark.createDataFrame([("a", 2, 1, "x"), ("a", 5, 1, "y"), ("a", 5, 2, "z"), ("a", 6, 1, "w")], "k string, at int, n int, v string")
     out = query.asof_join(left, right, ["k"], "at", "at", ["v"], "n")
     assert sorted(map(tuple, out.collect()), key=str) == [("a", 1, None), ("a", 5, "z"), ("b", 9, None)]
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 4096])
+def test_previous_rows_across_blocks(spark, size):
+    from palimpsest.plans.blocks import with_previous
+
+    df = spark.createDataFrame([(k, v, f"{k}{v}") for k, vs in (("a", (1, 2, 5, 6, 11)), (None, (3, 4)), ("c", (9,))) for v in vs], "k string, v int, x string")
+    got = {(r.k, r.v): r.previous and r.previous.x for r in with_previous(df, ["k"], "v", ["x"], block=size).collect()}
+    assert got == {("a", 1): None, ("a", 2): "a1", ("a", 5): "a2", ("a", 6): "a5", ("a", 11): "a6", (None, 3): None, (None, 4): "None3", ("c", 9): None}
