@@ -7,6 +7,7 @@ length, that many bytes of JSON and their CRC-32, beside a text file with one ac
 from __future__ import annotations
 
 import json
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.functions import arrow
-from palimpsest.model import KEY
+from palimpsest.model import KEY, WALError
 
 LARGEST = 100 * 1024 * 1024
 ENTRY = "id string, record string, created_at string"
@@ -69,6 +70,37 @@ def frames(raw: bytes) -> Iterator[dict]:
                 yield value
 
 
+class FileLog:
+    """A log file on the driver's disk and its acknowledgements, for a writer of its own records."""
+
+    def __init__(self, path: str):
+        self.path, self.ack_path = path, f"{path}.ack"
+        self._log, self._acks = open(path, "ab"), open(self.ack_path, "a", encoding="utf-8")
+
+    def append(self, entry: dict) -> None:
+        """The entry is on disk when this returns."""
+        if not entry.get("id"):
+            raise WALError("an entry needs an id")
+        self._log.write(frame(entry))
+        self._log.flush()
+        os.fsync(self._log.fileno())
+
+    def ack(self, entry_id: str) -> None:
+        self._acks.write(f"{entry_id}\n")
+        self._acks.flush()
+
+    def replay(self) -> list[dict]:
+        """Entries that are not acknowledged, in order of writing."""
+        with open(self.ack_path, encoding="utf-8") as f:
+            done = {line.strip() for line in f}
+        with open(self.path, "rb") as f:
+            return [e for e in frames(f.read()) if str(e.get("id", "")) not in done]
+
+    def close(self) -> None:
+        self._log.close()
+        self._acks.close()
+
+
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [(str(e.get("id", "")), json.dumps(e.get("record"), ensure_ascii=False), str(e.get("created_at", ""))) for raw in batch.column("content").to_pylist() for e in frames(raw)]

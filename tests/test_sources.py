@@ -152,3 +152,71 @@ def test_windows_of_a_batch(spark):
     assert sorted(r.changes for r in versioner.change_windows(df, "ts", "1 hour", by=["k"]).collect()) == [1, 1, 3]
     assert len(versioner.change_windows(df, "ts", "1 hour", "30 minutes").collect()) == 6
     assert sorted(r.changes for r in versioner.sessions(df, "ts", "30 minutes", ["k"]).collect()) == [1, 2, 2]
+
+
+def test_file_log(tmp_path):
+    log = wal.FileLog(str(tmp_path / "w"))
+    for n in range(3):
+        log.append({"id": str(n), "record": {"é": n}})
+    log.ack("1")
+    assert [e["id"] for e in log.replay()] == ["0", "2"]
+    log.close()
+    again = wal.FileLog(str(tmp_path / "w"))
+    assert len(again.replay()) == 2
+    with pytest.raises(model.WALError):
+        again.append({})
+    again.close()
+
+
+def test_msgpack(spark):
+    import json
+
+    from palimpsest.functions import msgpack
+
+    value = {"a": [0, 127, 128, 255, 256, 65535, 65536, 2**32, 2**63, -1, -32, -33, -128, -129, -32769, -(2**31) - 1, -(2**63)], "f": 1.5, "s": "é" * 40, "l": list(range(40)), "n": None, "t": True, "d": {str(i): i for i in range(20)}, "long": "x" * 70_000}
+    assert msgpack.unpack(msgpack.pack(value)) == value
+    assert msgpack.pack({"a": 1}) == b"\x81\xa1a\x01" and msgpack.unpack(msgpack.pack(b"xyz")) == b"xyz"
+    for bad in (b"", b"\xc1", b"\xa5ab", b"\x01\x01", b"\x81\x90\x01"):
+        with pytest.raises(model.SerializationError):
+            msgpack.unpack(bad)
+    df = spark.createDataFrame([('{"a":[1,2.5,"x"]}',), ("{bad",), (None,)], "j string").withColumn("m", msgpack.to_msgpack("j"))
+    got = [r[0] for r in df.select(msgpack.from_msgpack("m")).collect()]
+    assert json.loads(got[0]) == {"a": [1, 2.5, "x"]} and got[1:] == [None, None]
+
+
+def test_point_cache():
+    from palimpsest.sources.cache import PointCache
+
+    cache = PointCache(2)
+    for v in (1, 2, 3):
+        cache.put("t", "a", v, v)
+    assert cache.get("t", "a", 1) is None and cache.get("t", "a", 2) == 2
+    cache.put("t", "b", 1, 1)
+    assert cache.get("t", "a", 3) is None and len(cache) == 2 and cache.invalidate("t", "a") == 1 and len(cache) == 1
+
+
+def test_repeated_jobs_survive_failures():
+    import time
+
+    from palimpsest.streaming.monitor import Repeat
+
+    runs = []
+    job = Repeat(lambda: runs.append(1) or 1 / 0, 0.01)
+    time.sleep(0.2)
+    job.stop()
+    n = len(runs)
+    time.sleep(0.05)
+    assert n >= 2 and len(runs) == n
+
+
+def test_monitor_and_buffer(spark):
+    from palimpsest.streaming.monitor import Monitor, buffered
+
+    at, got, watch = new_path(spark, "buffer"), [], Monitor()
+    spark.range(10).write.parquet(f"{at}/in")
+    spark.streams.addListener(watch)
+    q = buffered(spark.readStream.schema("id long").parquet(f"{at}/in"), lambda b, n: got.append(b.count()), f"{at}/log", "1 second")
+    q.processAllAvailable()
+    q.stop()
+    spark.streams.removeListener(watch)
+    assert sum(got) == 10
