@@ -41,15 +41,15 @@ def p2_unified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.nodes(_versions(spark, d), full=False)
+    return nested.subtype_store(_versions(spark, d)).select(*nested.KEYS)
 
 
 def p3_variants(spark: SparkSession, d: str) -> DataFrame:
-    return nested.variants(nested.nodes(_versions(spark, d)))
+    return nested.variants(nested.subtype_store(_versions(spark, d)))
 
 
 def p3_order_items(spark: SparkSession, d: str) -> DataFrame:
-    return nested.subtype_table(nested.nodes(_versions(spark, d)), "data.Items[]", {"SKU": "string", "Quantity": "long", "Price": "decimal(18,2)"})
+    return nested.subtype_table(nested.subtype_store(_versions(spark, d)), "data.Items[]", {"SKU": "string", "Quantity": "long", "Price": "decimal(18,2)"})
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

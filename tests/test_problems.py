@@ -157,8 +157,7 @@ def test_nodes_of_hostile_rows(spark):
         ("a", "data.A[0]", ""), ("a", "data.A[0].B[1]", "data.A[0]"), ("a", "data.A[0].B[1].c[0][0]", "data.A[0].B[1]"), ("b", "data.Items[0]", ""), ("b", "data.Items[0].x[0]", "data.Items[0]"), ("c", "data.Items[0]", ""),
         ("d", "custom.ok[0]", ""), ("d", "custom.ok[0].a[0]", "custom.ok[0]"), ("e", "data[0]", ""), (None, "data.x[0]", ""), ("j", "data.Items[0]", ""),
     ]
-    assert got(nested.nodes(df, full=False)) == want(expected)
-    full = nested.nodes(df)
+    full = nested.subtype_store(df)
     assert got(full.select("id", "node_path", "parent_path")) == want(expected)
     assert full.where("node_path = 'data.A[0].B[1].c[0][0]'").select("supertype", "position", "shape").first() == ("data.A[].B[].c[][]", 0, "d:number")
 
