@@ -108,6 +108,34 @@ def route(patterns: dict[tuple[str, ...], float], targets: dict[str, tuple[float
     return total, solve(total)[1]
 
 
+def _settle(drawn: DataFrame, quota: dict[str, float], rounds: int = 4) -> DataFrame:
+    """drawn with one use of a document more or less where that brings a source closer to its quota.
+
+    The draw misses a quota by half of the text at its edge, which may be long. Each round a source takes the text whose
+    length is nearest to what is missing (or over), the least used first; the driver sees a row a source.
+    """
+    key = ["key", "pattern", "before"]  # running sums tell texts of a pattern apart
+    change: dict[tuple, int] = {}
+    sums = {r.key: r.n for r in drawn.groupBy("key").agg(F.sum(F.col("repeats") * F.col("n_tokens")).alias("n")).collect()}
+    out = drawn
+    for _ in range(rounds):
+        miss = {k: q - sums.get(k, 0) for k, q in quota.items()}
+        near = F.abs(F.col("n_tokens") - F.abs(F.col("miss")))
+        add = (F.col("miss") > 0) & (F.col("repeats") < F.col("most")) & (F.instr("pattern", " ") == 0)
+        drop = (F.col("miss") < 0) & (F.col("repeats") > 0)
+        known = out.withColumn("miss", F.element_at(F.create_map(*[F.lit(v) for k, m in miss.items() for v in (k, float(m))]), F.col("key")))
+        best = known.where((add | drop) & (F.col("n_tokens") < 2 * F.abs(F.col("miss")))).groupBy("key").agg(F.min(F.struct(near.alias("near"), "repeats", "pattern", "before", "n_tokens")).alias("b"))
+        steps = [(r.key, r.b.pattern, r.b.before, 1 if miss[r.key] > 0 else -1, r.b.n_tokens) for r in best.collect()]
+        if not steps:
+            break
+        for k, p, at, by, n in steps:
+            change[k, p, at] = change.get((k, p, at), 0) + by
+            sums[k] = sums.get(k, 0) + by * n
+        moved = drawn.sparkSession.createDataFrame([(*k, v) for k, v in change.items()], "key string, pattern string, before long, by long")
+        out = drawn.join(moved, key, "left").withColumn("repeats", F.col("repeats") + F.coalesce("by", F.lit(0))).drop("by")
+    return out
+
+
 def mix(documents: DataFrame, targets: DataFrame, sources: Column | None = None, seed: int = 1, total: float | None = None, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """((doc_id, source, repeats, n_tokens), (source, target_share, actual_share, tokens, documents, repeats)).
 
@@ -116,7 +144,7 @@ def mix(documents: DataFrame, targets: DataFrame, sources: Column | None = None,
     tokens or not needed give no row; repeats is how often the document serves the source, never more than max_repeats.
     Null or non-positive shares and repeats take a source out. Shares are of the sum of the shares. Several target rows of
     one source: the greatest counts. A source without any tokens stays at 0 and the others
-    keep their proportions; all others get their share exactly, up to a document's length, of the largest total possible
+    keep their proportions; all others get their share, as nearly as whole documents allow, of the largest total possible
     (or of ``total``, if the repeats allow it).
     """
     spark = documents.sparkSession
@@ -149,9 +177,13 @@ def mix(documents: DataFrame, targets: DataFrame, sources: Column | None = None,
     middle = (F.col("before") + F.col("n_tokens") / 2) / F.col("size")
     # how many of middle, middle + 1, ... lie in [low, high)
     times = (F.ceil(F.col("high") - middle - 1e-12) - F.ceil(F.col("low") - middle - 1e-12)).cast("long")
+    quota: dict[str, float] = {}
+    for (_, x), tokens in flows.items():
+        quota[x] = quota.get(x, 0.0) + tokens
+    most = F.element_at(F.create_map(*[F.lit(v) for k, r in wanted.items() for v in (k, r.most)]), F.col("key"))
     named = F.element_at(F.create_map(*[F.lit(x) for k, r in wanted.items() for x in (k, r.source)]), F.col("key"))
-    mixture = placed.join(served, "pattern").select("doc_id", named.alias("source"), times.alias("repeats"), "n_tokens").where("repeats > 0")
-    mixture = materialize(mixture, "mixture")
+    drawn = materialize(placed.join(served, "pattern").select("doc_id", "key", "pattern", "before", "n_tokens", times.alias("repeats"), most.alias("most")), "drawn")
+    mixture = _settle(drawn, quota).where("repeats > 0").select("doc_id", named.alias("source"), "repeats", "n_tokens")
     got = mixture.groupBy("source").agg(F.sum(F.col("repeats") * F.col("n_tokens")).alias("tokens"), F.count("*").alias("documents"))
     lines = {r.source: r for r in got.collect()}
     every = sum(r.tokens for r in lines.values())

@@ -183,3 +183,17 @@ def fill(pieces: DataFrame, specs: list[tuple[str, int]]) -> DataFrame:
     named = F.element_at(F.create_map(*[F.lit(x) for s in specs for x in s]), F.col("spec_name"))
     by = pieces.groupBy("spec_name", "container").agg(F.count("*").alias("n_pieces"), F.sum("n_tokens").alias("n_tokens"))
     return by.withColumn("fill", F.col("n_tokens") / named)
+
+
+def bucket_report(documents: DataFrame, specs: list[tuple[str, int]], vocabulary: str = VOCABULARY, buckets: int = BUCKETS) -> DataFrame:
+    """(spec_name, longest, items, tokens, padding) of each length bucket: what padding to its longest item costs."""
+    _, each = items(documents, specs, vocabulary)
+    rows = []
+    for spec, counts in histogram(each.where("rest > 0 or n_tokens = 0")).items():
+        low = -1
+        for high in optimal_buckets(counts, buckets):
+            mine = {x: n for x, n in counts.items() if low < x <= high}
+            tokens = sum(x * n for x, n in mine.items())
+            rows.append((spec, high, sum(mine.values()), tokens, high * sum(mine.values()) - tokens))
+            low = high
+    return documents.sparkSession.createDataFrame(rows, "spec_name string, longest long, items long, tokens long, padding long")

@@ -35,6 +35,10 @@ def p7_bucket_fill(spark: SparkSession, d: str) -> DataFrame:
     return by.groupBy("spec_name").agg(F.count("*").alias("containers"), F.avg("fill").alias("fill"))
 
 
+def p7_buckets(spark: SparkSession, d: str) -> DataFrame:
+    return packing.bucket_report(_table(spark, d, "documents"), _specs(spark, d))
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_table(spark, d, "documents"), _table(spark, d, "mix_targets"))[0]
 
@@ -51,5 +55,5 @@ def p9_levels(spark: SparkSession, d: str) -> DataFrame:
     return reading.levels(_table(spark, d, "documents"), _table(spark, d, "reading_labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_packed, p7_fill, p7_bucket_fill, p8_mix, p8_shares, p9_found, p9_levels)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_packed, p7_fill, p7_bucket_fill, p7_buckets, p8_mix, p8_shares, p9_found, p9_levels)}
 ORACLES: dict[str, str] = {}
