@@ -93,18 +93,40 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _export(db, _EXPORT_STATE, arrow.schema(STATE))
 
 
+class _Number(str):
+    """A number as it was spelled."""
+
+
+def _refuse(name: str):
+    raise ValueError(name)
+
+
+_decode = json.JSONDecoder(parse_float=_Number, parse_int=_Number, parse_constant=_refuse).decode
+
+
+def _text(value) -> str:
+    if isinstance(value, _Number):
+        return str(value)
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_text(x)}" for k, x in value.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_text, value)) + "]"
+    return json.dumps(value, ensure_ascii=False)
+
+
 def _leaves(value, path: str) -> Iterator[tuple[str, str]]:
     if isinstance(value, dict) and value:
         for k, x in value.items():
             yield from _leaves(x, f"{path}.{k}" if path else k)
     else:
-        yield path, json.dumps(value, ensure_ascii=False, separators=(",", ":"), default=str)
+        yield path, _text(value)
 
 
 def _value(text: str):
     try:
-        return jsonval.load(text)
-    except ValueError:
+        jsonval.load(text)  # not too deep
+        return _decode(text)
+    except (ValueError, RecursionError):
         return text
 
 
@@ -180,7 +202,7 @@ def rebuild_state(feed: DataFrame) -> DataFrame:
     feed_id. Strategy 0 replaces the whole entity, null deletes it; any other strategy sets the member at the dotted path
     or, null, removes it. Null version, change_seq, received_at or feed_id come before all others; null strategy is 0
     where the path is empty, else 1; null entity keys are one key; a null or empty path of a partial change names the
-    member ''. A new_value that is not JSON is taken as a string. Numbers come out as their shortest spelling.
+    member ''. A new_value that is not JSON is taken as a string. Numbers keep their spelling.
     """
     early = -(2**62)
     path = F.coalesce("path", F.lit(""))

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions import jsonval
+from palimpsest.functions import arrow, jsonval
 from palimpsest.functions.bitmap import Bitmap
 
 
@@ -80,7 +80,7 @@ def _comparer(scalars: list[str], documents: list[str], only_left: str, only_rig
                     paths = list(_paths(name, jsonval.load_any(s), jsonval.load_any(t)))
                     at += [n] * len(paths)
                     found += paths
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), pa.array(found, pa.string())], ["key", "finding"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), arrow.array(found, pa.string())], ["key", "finding"])
 
     return run
 

@@ -189,7 +189,7 @@ def test_feed_semantics(spark):
         ("f", 1, 0, 0, "", "{}", t(0)), ("g", 1, 0, 0, "", "[]", t(0)), ("h", 1, 0, 0, "", '{"x":5}', t(0)), ("h", 2, 1, 0, "x.y", None, t(0)), ("h", 3, 1, 0, "u.v", None, t(0)),
     ]
     out = [r[1:] for r in got(change_feed.apply_feed(feed(spark, changes)))]
-    assert out == want([("a", "k", "2.5"), ("a", "x", "{}"), ("a", "é", '"ü"'), ("b", "p.q.s.t", "[1,{}]"), ("b", "p.n", "null"), ("e", "x", "3"), ("f", "", "{}"), ("g", "", "[]"), ("h", "x", "5")])
+    assert out == want([("a", "k", "2.50"), ("a", "x", "{}"), ("a", "é", '"ü"'), ("b", "p.q.s.t", "[1,{}]"), ("b", "p.n", "null"), ("e", "x", "3"), ("f", "", "{}"), ("g", "", "[]"), ("h", "x", "5")])
 
 
 def test_feed_in_any_order(spark, monkeypatch):
@@ -211,6 +211,15 @@ def test_feed_in_any_order(spark, monkeypatch):
     assert got(change_feed.apply_feed(df)) == want(brute.p4(rows(df)))
 
 
+def test_numbers_keep_their_spelling_and_half_characters_do_no_harm(spark):
+    t = T0
+    changes = [("a", 1, 0, 0, "", '{"a":23.0,"b":[1e2, 2.50,{"c":1}],"d":"\\ud83d x","e":"\\u00e9"}', t)]
+    assert [r[2:] for r in got(change_feed.apply_feed(feed(spark, changes)))] == want([("a", "23.0"), ("b", '[1e2,2.50,{"c":1}]'), ("d", '"\ufffd x"'), ("e", '"é"')])
+    df = record(spark, {"id": "a", "data": '{"\\ud83d":[{"x":"\\ud83d"}]}', "created_at": T0})
+    assert nested.nodes(df).first().node_path == "data.\ufffd[0]"
+    assert differences.compare_copies(df, df.withColumn("data", F.lit("{}")), scalars=HASH).first().finding == "data.\ufffd"
+
+
 def test_feed_with_nulls(spark):
     df = spark.createDataFrame([(None, None, None, None, None, None, None, None, None, '{"a":1}', None, None, "", ""), (1, None, None, 1, None, None, 0, "b", None, "not json", None, None, "", "")], FEED)
     assert got(change_feed.apply_feed(df)) == want([(None, None, "a", "1"), (None, None, "b", '"not json"')])
