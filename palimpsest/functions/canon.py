@@ -6,6 +6,8 @@ fraction, other floats in their shortest form (exponent below 1e-6 and from 1e21
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,11 @@ from pyspark.sql import types as T
 from palimpsest.model import DiffFallback
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once and written once, where it is long and body uses it often."""
+    return F.transform(F.array(value), body)[0]
+
+
 def json_string(c: Column) -> Column:
     """A JSON string literal; null for null."""
     text = F.to_json(c.cast("variant"))

@@ -14,6 +14,7 @@ from palimpsest.operators import diff, guardrails, integrity, lifecycle, query,
 from palimpsest.plans.hooks import Hooks
 from palimpsest.plans.migrations import Migrations
 from palimpsest.plans.registry import EntityType, Registry, tagged
+from palimpsest.sources.scratch import materialize
 
 S, L, D, B, TS = T.StringType(), T.LongType(), T.DoubleType(), T.BooleanType(), T.TimestampType()
 ADDRESS = T.StructType([tagged("Street", S), tagged("City", S)])
@@ -288,3 +289,32 @@ def test_previous_rows_across_blocks(spark, size):
     df = spark.createDataFrame([(k, v, f"{k}{v}") for k, vs in (("a", (1, 2, 5, 6, 11)), (None, (3, 4)), ("c", (9,))) for v in vs], "k string, v int, x string")
     got = {(r.k, r.v): r.previous and r.previous.x for r in with_previous(df, ["k"], "v", ["x"], block=size).collect()}
     assert got == {("a", 1): None, ("a", 2): "a1", ("a", 5): "a2", ("a", 6): "a5", ("a", 11): "a6", (None, 3): None, (None, 4): "None3", ("c", 9): None}
+
+
+def test_applying_a_diff_leads_to_the_new_state(spark):
+    """Many random pairs of states in one job: the delta leads from one to the other, and a second diff is empty."""
+    import random
+
+    rng = random.Random(7)
+    geo = T.StructType([tagged("Lat", D), tagged("Lng", D)])
+    place = T.StructType([tagged("Label", S), tagged("Coord", geo)])
+    schema = struct(tagged("N", S), tagged("A", L), tagged("F", D), tagged("B", B), tagged("T", TS), tagged("P", place), tagged("M", T.MapType(S, S)), tagged("MM", T.MapType(S, T.MapType(S, S))), tagged("R", T.ArrayType(L)), tagged("I", T.ArrayType(T.StructType([T.StructField("q", L), T.StructField("s", S)]))))
+    text = lambda: rng.choice(["", "x", 'q"\\', "é<&>", "a.b"])
+    maybe = lambda f: None if rng.random() < 0.25 else f()
+
+    def state():
+        m = lambda: {rng.choice("uvw"): text() for _ in range(rng.randint(0, 3))}
+        coord = lambda: (maybe(lambda: rng.choice([0.5, 1e-9, 2e22, 3.0])), maybe(lambda: 1.25))
+        return (
+            "1", maybe(text), maybe(lambda: rng.randint(-5, 5)), maybe(lambda: rng.choice([1.0, 2.5, 1e7, 1e-5])), maybe(lambda: rng.random() < 0.5), maybe(lambda: T0 + timedelta(microseconds=rng.randint(0, 3))),
+            maybe(lambda: (maybe(text), maybe(coord))), m(), {rng.choice("xy"): m() for _ in range(rng.randint(0, 2))}, maybe(lambda: [rng.randint(0, 2) for _ in range(rng.randint(0, 3))]), maybe(lambda: [(1, maybe(text))]),
+        )
+
+    both = T.StructType([T.StructField("a", schema), T.StructField("b", schema)])
+    df = spark.createDataFrame([(state(), state()) for _ in range(300)], both).cache()
+    delta = diff.changes(F.col("a"), F.col("b"), schema)
+    rows = materialize(df.withColumn("d", delta).withColumn("c", diff.apply(F.col("a"), F.col("d"), schema)), "applied")
+    assert rows.where(~diff.valid(F.col("a"), F.col("b"), F.col("d"), schema)).count() == 0
+    wrong = rows.where((canon.json_text(F.col("c"), schema) != canon.json_text(F.col("b"), schema)) | (F.size(diff.changes(F.col("c"), F.col("b"), schema)) > 0))
+    assert [r.asDict() for r in wrong.limit(1).collect()] == []
+    assert rows.where("size(d) = 0").count() < 300
