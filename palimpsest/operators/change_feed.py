@@ -20,6 +20,7 @@ import json
 from collections.abc import Iterator
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import arrow, jsonval
 from palimpsest.sources.scratch import new_path, publish, read_snapshot
 
-BUCKET_ROWS = 100_000  # rows of a bucket's embedded table at most, on average; the number of buckets follows from it
+BUCKET_ROWS, BUCKET_BYTES = 100_000, 64 << 20  # what a bucket's embedded tables get, on average; their number follows
 NULL = "\0"  # stands for a null key column inside the keyed tables
 EVENT = "entity_type string, entity_id string, version long, change_seq int, received_at long, feed_id long, strategy short, path string, new_value string"
 STATE = "entity_type string, entity_id string, path string, version long, change_seq int, kind string, new_value string"
@@ -85,12 +86,34 @@ def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _export(db, "select * from events", arrow.schema(EVENT))
 
 
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """Slices of one bucket each, of batches in order of bucket; and whether the slice begins a bucket."""
+    last = None
+    for batch in batches:
+        buckets = batch.column("bucket").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(buckets)) + 1).tolist(), len(buckets)]
+        rows = batch.drop_columns("bucket")
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                yield rows.slice(a, b - a), buckets[a] != last
+                last = buckets[a]
+
+
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The state of each bucket of events."""
     db = _open(_EVENTS, _STATE)
-    for batch in batches:
-        _take(db, "delivered", batch, _TAKE_EVENTS)
-    db.execute(_TAKE_STATE.replace("from changed", f"from ({_CHANGES})"))
-    yield from _export(db, _EXPORT_STATE, arrow.schema(STATE))
+
+    def export():
+        db.execute(_TAKE_STATE.replace("from changed", f"from ({_CHANGES})"))
+        yield from _export(db, _EXPORT_STATE, arrow.schema(STATE))
+        db.execute("delete from events")
+        db.execute("delete from state")
+
+    for rows, begins in _by_bucket(batches):
+        if begins:
+            yield from export()
+        _take(db, "delivered", rows, _TAKE_EVENTS)
+    yield from export()
 
 
 class _Number(str):
@@ -164,34 +187,37 @@ def assemble(rows: list[tuple]) -> Iterator[tuple[str, str]]:
 
 
 def _entities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    db = _open(_STATE)
-    for batch in batches:
-        _take(db, "changed", batch, _TAKE_STATE)
-    schema = arrow.schema(LEAF)
+    """The leaves of each bucket of entities."""
+    db, schema = _open(_STATE), arrow.schema(LEAF)
     out: list[tuple] = []
 
-    def flush():
-        leaves = arrow.batch(out, schema)
-        out.clear()
-        return leaves
-
-    def end():
-        if entity is not None:
-            key = tuple(None if k == NULL else k for k in entity)
-            out.extend((*key, *leaf) for leaf in assemble(rows))
-
-    entity, rows = None, []
-    cursor = db.execute(_EXPORT_STATE)
-    while part := cursor.fetchmany(10_000):
-        for t, e, path, version, seq, kind, text in part:
-            if (t, e) != entity:
-                end()
-                entity, rows = (t, e), []
-            rows.append((path, version, seq, kind, text))
-        if len(out) >= 10_000:
-            yield flush()
-    end()
-    yield flush()
+    def end(entity, rows):
+        key = tuple(None if k == NULL else k for k in entity)
+        out.extend((*key, *leaf) for leaf in assemble(rows))
+
+    def export():
+        cursor = db.execute(_EXPORT_STATE)
+        entity, rows = None, []
+        while part := cursor.fetchmany(10_000):
+            for t, e, path, version, seq, kind, text in part:
+                if (t, e) != entity:
+                    if entity:
+                        end(entity, rows)
+                    entity, rows = (t, e), []
+                rows.append((path, version, seq, kind, text))
+            if len(out) >= 10_000:
+                yield arrow.batch(out, schema)
+                out.clear()
+        if entity:
+            end(entity, rows)
+        db.execute("delete from state")
+
+    for rows, begins in _by_bucket(batches):
+        if begins:
+            yield from export()
+        _take(db, "changed", rows, _TAKE_STATE)
+    yield from export()
+    yield arrow.batch(out, schema)
 
 
 def rebuild_state(feed: DataFrame) -> DataFrame:
@@ -212,10 +238,20 @@ def rebuild_state(feed: DataFrame) -> DataFrame:
         F.coalesce(F.unix_micros(F.col("received_at").cast("timestamp")), F.lit(early)).alias("received_at"), F.coalesce(F.col("feed_id").cast("long"), F.lit(early)).alias("feed_id"),
         F.coalesce(F.col("strategy"), F.when(path == "", 0).otherwise(1)).cast("short").alias("strategy"), path.alias("path"), "new_value",
     )
-    spark = feed.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-feed.count() // BUCKET_ROWS))
-    events = rows.mapInArrow(_combine, EVENT).repartition(n, "entity_type", "entity_id", "version", "change_seq")
-    return events.mapInArrow(_bucket, STATE).repartition(n, "entity_type", "entity_id").mapInArrow(_entities, LEAF)
+    # sizes cost a look at one column; tasks are the session's matter, buckets inside a task are as many as memory asks
+    size = feed.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("new_value")), F.lit(0))).first()
+    tasks = int(feed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 1 + max(size[0] // BUCKET_ROWS, size[1] // BUCKET_BYTES)
+    whole = buckets >= tasks  # else buckets are cut further, by key, so that all tasks have some
+    if whole:
+        buckets = max(buckets, 4 * tasks)
+
+    def bucketed(df: DataFrame, *key: str) -> DataFrame:
+        of = df.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(buckets)))
+        return (of.repartition("bucket") if whole else of.repartition("bucket", *key)).sortWithinPartitions("bucket")
+
+    state = bucketed(rows.mapInArrow(_combine, EVENT), "entity_type", "entity_id", "version", "change_seq").mapInArrow(_bucket, STATE)
+    return bucketed(state, "entity_type", "entity_id").mapInArrow(_entities, LEAF)
 
 
 def apply_feed(feed: DataFrame, root: str | None = None) -> DataFrame:
