@@ -107,7 +107,7 @@ class Auditor:
     def verify_integrity(self, entity_type: str | None = None, anchored: bool = False) -> DataFrame:
         if not self.chain:
             raise ConfigurationError("hash chains are off")
-        df = self.store.read()
+        df = self.hooks.reading(self.store.read())
         return integrity.verify_chains(df if entity_type is None else df.where(F.col("entity_type") == entity_type), anchored)
 
     def redact_field(self, entity_type: str, path: str, entity_id: str | None = None, rechain: bool = False) -> int:
