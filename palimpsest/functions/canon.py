@@ -21,11 +21,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def json_string(c: Column) -> Column:
-    """A JSON string literal; null for null."""
+    """A JSON string literal; null for null. Texts without special characters, nearly all, are just quoted."""
     text = F.to_json(c.cast("variant"))
-    for raw, escaped in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), (" ", "\\u2028"), (" ", "\\u2029")):
+    for raw, escaped in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")):
         text = F.replace(text, F.lit(raw), F.lit(escaped))
-    return text
+    return F.when(c.rlike(r'["\\<>&\x00-\x1f\x7f\u2028\u2029]'), text).otherwise(F.concat(F.lit('"'), c, F.lit('"')))
 
 
 def _float(c: Column) -> Column:
