@@ -11,8 +11,11 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -179,35 +182,76 @@ def drift_report(df: DataFrame, **options) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "entity_type string, schema_version int, change_kind string, old_field string, new_field string")
 
 
-def compile_projections(scripts: dict[tuple[str, int, int], list[Step]]) -> dict[tuple[str, int], dict[str, str | None]]:
-    """(entity_type, schema_version) -> {its field: the newest version's field, None if removed}, unchanged fields left out."""
-    out: dict = {}
+@dataclass(frozen=True)
+class Projection:
+    """From a schema_version to the newest: ``moves`` (its field -> the newest name, None if removed) and ``casts``
+    (newest name -> type); unchanged fields are left out."""
+
+    moves: dict[str, str | None]
+    casts: dict[str, str]
+
+    @cached_property
+    def above(self) -> frozenset[str]:
+        """Objects inside which something moves or changes type."""
+        return frozenset(m[:n] for m in (*self.moves, *self.casts) for n in range(len(m)) if m[n] == ".")
+
+
+def compile_projections(scripts: dict[tuple[str, int, int], list[Step]]) -> dict[tuple[str, int], Projection]:
+    """(entity_type, schema_version) -> Projection, composed from the newest script down."""
+    out: dict[tuple[str, int], Projection] = {}
     for t in {k[0] for k in scripts}:
-        later: dict[str, str | None] = {}
+        moves: dict[str, str | None] = {}
+        casts: dict[str, str] = {}
         for _, lo, hi in sorted((k for k in scripts if k[0] == t), reverse=True):
-            mine = dict(later)
+            before, moves, casts = moves, dict(moves), dict(casts)
             for s in scripts[t, lo, hi]:
                 if s.kind in ("renamed", "moved"):
-                    mine[s.old] = later.get(s.new, s.new)
+                    moves[s.old] = before.get(s.new, s.new)
                 elif s.kind == "removed":
-                    mine[s.old] = None
+                    moves[s.old] = None
                 elif s.kind == "added":
-                    mine.pop(s.new, None)
-            # a name that means another field later on must not be taken for it
-            later = out[t, lo] = mine
+                    moves.pop(s.new, None)  # an older field of that name is another one
+                elif (name := before.get(s.new, s.new)) is not None:
+                    casts.setdefault(name, s.to)
+            out[t, lo] = Projection(moves, casts)
     return out
 
 
-def _project(value: dict, moves: dict[str, str | None], closed: frozenset[str]) -> dict:
-    """The record with its fields under the newest names; removed ones are kept under `_removed`, as no value is dropped."""
+def convert(value, kind: str):
+    """The value in another JSON type; ValueError if it has no such form. Lists of strings are joined by commas."""
+    have = jsonval.kind(value)
+    if have in ("", kind):
+        return value
+    if kind == "string" and have in ("number", "boolean"):
+        return jsonval.dump(value)
+    if kind == "string" and have == "array" and all(isinstance(x, str) for x in value):
+        return ",".join(value)
+    if have == "string" and kind in ("number", "boolean"):
+        read = jsonval.load(value.strip())
+        if jsonval.kind(read) == kind:
+            return read
+    if have == "string" and kind == "array":
+        return [x for x in re.split(r"\s*[,;]\s*", value.strip()) if x]
+    raise ValueError(f"no {kind}")
+
+
+def _project(value: dict, by: Projection, closed: frozenset[str]) -> dict:
+    """The record under the newest names and types; what has no place or form there is kept aside, no value is dropped."""
     result: dict = {}
 
     def put(path: str, x) -> None:
+        if path in by.casts:
+            try:
+                x = convert(x, by.casts[path])
+            except ValueError:
+                result.setdefault("_unconverted", {})[path] = x
+                return
         at = result
         *head, tail = path.split(".")
         for p in head:
             at = at.setdefault(p, {})
             if not isinstance(at, dict):
+                result.setdefault("_removed", {})[path] = x
                 return
         if isinstance(x, dict) and isinstance(at.get(tail), dict):
             at[tail] |= x
@@ -217,10 +261,10 @@ def _project(value: dict, moves: dict[str, str | None], closed: frozenset[str])
     def walk(node: dict, path: str) -> None:
         for k, x in node.items():
             p = f"{path}.{k}" if path else k
-            to = moves.get(p, p)
+            to = by.moves.get(p, p)
             if to is None:
                 result.setdefault("_removed", {})[p] = x
-            elif isinstance(x, dict) and x and k not in closed and any(m.startswith(p + ".") for m in moves):
+            elif isinstance(x, dict) and x and k not in closed and p in by.above:
                 walk(x, p)
             else:
                 put(to, x)
@@ -232,16 +276,18 @@ def _project(value: dict, moves: dict[str, str | None], closed: frozenset[str])
 def unify(df: DataFrame, scripts: dict[tuple[str, int, int], list[Step]], closed: tuple[str, ...] = ("Tags", "Settings", "Nested", "Items")) -> DataFrame:
     """Current rows with data in the newest schema of their type: (id, entity_type, entity_id, version, schema_version, data).
 
-    data is canonical JSON under the newest names; members of removed fields go to ``_removed`` under their old path.
+    data is canonical JSON under the newest names and types. Members of removed fields go to ``_removed`` under their old
+    path, values that the newest type can't hold to ``_unconverted``. Data that is not an object stays as it is.
     """
-    moves, shut = compile_projections(scripts), frozenset(closed)
+    projections, shut = compile_projections(scripts), frozenset(closed)
+    none = Projection({}, {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
             for t, s, text in zip(*(batch.column(c).to_pylist() for c in ("entity_type", "schema_version", "data"))):
                 value = jsonval.load_any(text)
-                texts.append(None if value is None else jsonval.dump(_project(value, moves.get((t, s), {}), shut)) if isinstance(value, dict) else text)
+                texts.append(None if value is None else jsonval.dump(_project(value, projections.get((t, s), none), shut)) if isinstance(value, dict) else text)
             yield batch.set_column(batch.schema.get_field_index("data"), "data", pa.array(texts, pa.string()))
 
     columns = [F.col(c) for c in ("entity_type", "entity_id", "version", "schema_version", "data")]

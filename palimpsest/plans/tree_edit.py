@@ -18,6 +18,7 @@ class Step:
     old: str
     new: str
     cost: float
+    to: str = ""  # the new type of a retyped field
 
 
 def _assign(cost: list[list[float]]) -> list[int]:
@@ -79,7 +80,7 @@ def edit_script(old: dict[str, str], new: dict[str, str], alike: dict[tuple[str,
         else:
             steps.append(Step("removed", g, "", 1.0))
     steps += [Step("added", "", f, 1.0) for f in fresh if f not in pairs.values()]
-    return steps + [Step("retyped", p, p, 0.5) for p in sorted(old.keys() & new.keys()) if old[p] and new[p] and old[p] != new[p]]
+    return steps + [Step("retyped", p, p, 0.5, new[p]) for p in sorted(old.keys() & new.keys()) if old[p] and new[p] and old[p] != new[p]]
 
 
 def distance(steps: list[Step]) -> float:

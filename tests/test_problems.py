@@ -129,6 +129,21 @@ def test_drift_across_blocks(spark, monkeypatch):
     assert got(schema_drift.drift_report(df)) == want([("t", 2, "renamed", "Old", "New"), ("t", 2, "retyped", "Deep.In", "Deep.In")])
 
 
+def test_projections_compose(spark):
+    from palimpsest.plans.tree_edit import Step
+
+    scripts = {
+        ("t", 1, 2): [Step("renamed", "A", "B", 0.5), Step("moved", "P.x", "y", 0.5), Step("removed", "Gone", "", 1), Step("retyped", "N", "N", 0.5, "string"), Step("added", "", "New", 1)],
+        ("t", 2, 4): [Step("moved", "B", "Q.C", 0.5), Step("retyped", "N", "N", 0.5, "number"), Step("retyped", "R", "R", 0.5, "array"), Step("removed", "New", "", 1)],
+    }
+    old = {"A": 1, "P": {"x": 2, "z": 3}, "Gone": {"g": 1}, "N": 5, "R": "u; v", "New": "other", "Tags": {"A": 1}}
+    rows = [{"id": "1", "entity_type": "t", "version": 1, "schema_version": 1, "data": json.dumps(old)}, {"id": "2", "entity_type": "t", "version": 2, "schema_version": 2, "data": '{"B":1,"N":"x","New":7,"R":{}}'}, {"id": "3", "entity_type": "t", "schema_version": 4, "data": '{"Q":{"C":1}}'}, {"id": "4", "entity_type": "t", "schema_version": 1, "data": "[1]"}]
+    out = {r.id: json.loads(r.data) for r in schema_drift.unify(record(spark, *rows), scripts).collect()}
+    assert out["1"] == {"Q": {"C": 1}, "P": {"z": 3}, "y": 2, "N": 5, "R": ["u", "v"], "New": "other", "Tags": {"A": 1}, "_removed": {"Gone": {"g": 1}}}
+    assert out["2"] == {"Q": {"C": 1}, "_removed": {"New": 7}, "_unconverted": {"N": "x", "R": {}}}
+    assert out["3"] == {"Q": {"C": 1}} and out["4"] == [1]
+
+
 def test_unified_records(spark, data):
     df = g.table(spark, data, "audit_versions")
     scripts = schema_drift.edit_scripts(df)
