@@ -49,7 +49,8 @@ def p3_variants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_order_items(spark: SparkSession, d: str) -> DataFrame:
-    return nested.subtype_table(nested.subtype_store(_versions(spark, d)), "data.Items[]", {"SKU": "string", "Quantity": "long", "Price": "decimal(18,2)"})
+    table = nested.subtype_table(nested.subtype_store(_versions(spark, d)), "data.Items[]", {"SKU": "string", "Quantity": "long", "Price": "decimal(18,2)"})
+    return table.drop("variant", "Price")  # a digest and a decimal: no SQL twin
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -85,7 +86,46 @@ found as (select table_name, id, case when found = 0 then 'missing' when placed
   strftime(created_at at time zone 'UTC', '%Y-%m') as month from j)
 """
 
+#: A scalar of a JSON tree by its value.
+_ATOM = "concat(j.fullkey, ' ', case when j.type in ('DOUBLE', 'BIGINT', 'UBIGINT') then 'NUMBER ' || cast(cast(j.atom as double) as varchar) else j.type || ' ' || coalesce(cast(j.atom as varchar), '') end)"
+
+_DIFFERENCES = f"""with a as (select distinct on (id) id, hash, data from audit_versions order by id, created_at desc),
+b as (select distinct on (id) id, hash, data from audit_versions_olap order by id, created_at desc),
+both_sides as (select 0 as side, a.id, a.data from a semi join b on a.id = b.id union all select 1, b.id, b.data from b semi join a on a.id = b.id),
+n as (select side, both_sides.id, regexp_replace(j.fullkey, '\\[.*$', '') as p, max(j.type) filter (not contains(j.fullkey, '[')) as kind, max(j.path) filter (not contains(j.fullkey, '[')) as up, string_agg({_ATOM}, chr(1) order by j.fullkey) as sig
+  from both_sides, json_tree(both_sides.data) j where coalesce(trim(data), '') not in ('', 'null') group by all),
+l as (select * from n where side = 0 and p <> '$'), r as (select * from n where side = 1 and p <> '$'),
+m as (select coalesce(l.id, r.id) as id, coalesce(l.p, r.p) as p, coalesce(l.up, r.up) as up, l.kind as lk, r.kind as rk, l.sig as ls, r.sig as rs from l full join r on l.id = r.id and l.p = r.p),
+c as (select * from m where not (lk is not null and rk is not null) or (not (lk = 'OBJECT' and rk = 'OBJECT') and ls <> rs))
+select a.id, 'only_primary' as finding from a anti join b on a.id = b.id
+union all select b.id, 'only_olap' from b anti join a on a.id = b.id
+union all select a.id, 'hash' from a join b on a.id = b.id where coalesce(lower(trim(a.hash)), '') <> coalesce(lower(trim(b.hash)), '')
+union all select c.id, replace('data' || substr(c.p, 2), '"', '') from c left join m u on u.id = c.id and u.p = c.up
+  where (c.lk is not null and c.rk is not null) or c.up = '$' or (u.lk = 'OBJECT' and u.rk = 'OBJECT')"""
+
+_NODES = """with cur as (select distinct on (id) id, data, metadata.custom as custom from audit_versions order by id, created_at desc),
+roots as (select id, 'data' as root, data as j from cur where json_valid(data)
+  union all select id, 'custom.' || e.key, e.value from (select id, unnest(map_entries(custom)) as e from cur) where json_valid(e.value)),
+fixed as (select id, root, case when root = 'data' and json_type(j, '$.Items') = 'OBJECT' then cast(json_merge_patch(j, json_object('Items', json_array(json_extract(j, '$.Items')))) as varchar)
+  when root = 'data' and json_type(j, '$.Items') = 'VARCHAR' and json_valid(json_extract_string(j, '$.Items')) then cast(json_merge_patch(j, json_object('Items', json(json_extract_string(j, '$.Items')))) as varchar) else j end as j from roots),
+nodes as (select fixed.id, replace(fixed.root || substr(t.fullkey, 2), '"', '') as node_path from fixed, json_tree(fixed.j) t where t.type = 'OBJECT' and t.fullkey like '%]')
+"""
+
+_HISTORY = f"""with cur as (select distinct on (id) id, entity_type, entity_id, version, data, created_at from audit_versions order by id, created_at desc),
+v as (select * from cur where entity_type in ('orderentity', 'fixtureaddress', 'flatentity') qualify row_number() over (partition by entity_type, entity_id, version order by created_at desc, id desc) = 1),
+t as (select * from v qualify row_number() over (partition by entity_type, entity_id, created_at order by version desc) = 1),
+sig as (select t.id, string_agg({_ATOM}, chr(1) order by j.fullkey) as s from t, json_tree(t.data) j where coalesce(trim(data), '') not in ('', 'null') group by 1),
+s as (select t.*, sig.s as state from t left join sig using (id)),
+g as (select *, lag(state) over (partition by entity_type, entity_id order by created_at) as before from s),
+b as (select *, lead(created_at) over (partition by entity_type, entity_id order by created_at) as following from g where state is distinct from before)
+select entity_type, entity_id, version as first_version, epoch_us(created_at) as valid_from_us, coalesce(epoch_us(following), -1) as valid_to_us from b where state is not null"""
+
 ORACLES = {
+    "p1_found": _DIFFERENCES,
+    "p3_found": _NODES + "select id, node_path, regexp_extract(node_path, '^(.*\\])\\.', 1) as parent_path from nodes",
+    "p3_order_items": _NODES.replace("select fixed.id, replace", "select fixed.id, t.value, replace") + """select id, node_path, '' as parent_path, cast(regexp_extract(node_path, '([0-9]+)\\]$', 1) as integer) as position, json_extract_string(value, '$.SKU') as SKU, try_cast(json_extract_string(value, '$.Quantity') as bigint) as Quantity
+from nodes where regexp_full_match(node_path, 'data\\.Items\\[[0-9]+\\]')""",
+    "p5_found": _HISTORY,
     "p1_presence": """with a as (select distinct id from audit_versions), b as (select distinct id from audit_versions_olap)
 select (select count(*) from a) as n_left, (select count(*) from b) as n_right, count(*) filter (a.id is not null and b.id is not null) as n_both,
   count(*) filter (b.id is null) as n_only_left, count(*) filter (a.id is null) as n_only_right from a full join b on a.id = b.id""",
