@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,17 +41,24 @@ def p2_unified(spark: SparkSession, d: str) -> DataFrame:
     return schema_drift.unify(df, schema_drift.edit_scripts(df))
 
 
+ITEMS = "Items"  # may be an array, its JSON text or, for one element, the bare object
+CLOSED = ("Tags", "Settings", "Nested", "Items")  # members whose inside is data, not schema
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.subtype_store(_versions(spark, d)).select(*nested.KEYS)
+    return nested.subtypes(_versions(spark, d), ITEMS).rows.select(*nested.KEYS)
 
 
 def p3_variants(spark: SparkSession, d: str) -> DataFrame:
-    return nested.variants(nested.subtype_store(_versions(spark, d)))
+    return nested.variants(nested.subtypes(_versions(spark, d), ITEMS).rows)
 
 
 def p3_order_items(spark: SparkSession, d: str) -> DataFrame:
-    table = nested.subtype_table(nested.subtype_store(_versions(spark, d)), "data.Items[]", {"SKU": "string", "Quantity": "long", "Price": "decimal(18,2)"})
-    return table.drop("variant", "Price")  # a digest and a decimal: no SQL twin
+    """The typed tables of the items of orders, as their types were inferred."""
+    store = nested.subtypes(_versions(spark, d), ITEMS)
+    parts = [store.table(t.number) for t in store.of("data.Items[]")]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return every.select(*nested.KEYS, "position", "SKU", "Quantity", "Price")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -123,7 +131,7 @@ select entity_type, entity_id, version as first_version, epoch_us(created_at) as
 ORACLES = {
     "p1_found": _DIFFERENCES,
     "p3_found": _NODES + "select id, node_path, regexp_extract(node_path, '^(.*\\])\\.', 1) as parent_path from nodes",
-    "p3_order_items": _NODES.replace("select fixed.id, replace", "select fixed.id, t.value, replace") + """select id, node_path, '' as parent_path, cast(regexp_extract(node_path, '([0-9]+)\\]$', 1) as integer) as position, json_extract_string(value, '$.SKU') as SKU, try_cast(json_extract_string(value, '$.Quantity') as bigint) as Quantity
+    "p3_order_items": _NODES.replace("select fixed.id, replace", "select fixed.id, t.value, replace") + """select id, node_path, '' as parent_path, cast(regexp_extract(node_path, '([0-9]+)\\]$', 1) as integer) as position, json_extract_string(value, '$.SKU') as SKU, try_cast(json_extract_string(value, '$.Quantity') as bigint) as Quantity, try_cast(json_extract_string(value, '$.Price') as double) as Price
 from nodes where regexp_full_match(node_path, 'data\\.Items\\[[0-9]+\\]')""",
     "p5_found": _HISTORY,
     "p1_presence": """with a as (select distinct id from audit_versions), b as (select distinct id from audit_versions_olap)

@@ -127,29 +127,24 @@ def _refuse(name: str):
 _decode = json.JSONDecoder(parse_float=_Number, parse_int=_Number, parse_constant=_refuse).decode
 
 
-def _text(value) -> str:
-    if isinstance(value, _Number):
-        return str(value)
-    if isinstance(value, dict):
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_text(x)}" for k, x in value.items()) + "}"
-    if isinstance(value, list):
-        return "[" + ",".join(map(_text, value)) + "]"
-    return json.dumps(value, ensure_ascii=False)
+def _leaf(value) -> str:
+    return str(value) if isinstance(value, _Number) else json.dumps(value, ensure_ascii=False)
 
 
 def _leaves(value, path: str) -> Iterator[tuple[str, str]]:
-    if isinstance(value, dict) and value:
-        for k, x in value.items():
-            yield from _leaves(x, f"{path}.{k}" if path else k)
-    else:
-        yield path, _text(value)
+    todo = [(path, value)]
+    while todo:
+        at, x = todo.pop()
+        if isinstance(x, dict) and x:
+            todo += [(f"{at}.{k}" if at else k, c) for k, c in x.items()]
+        else:
+            yield at, jsonval.spell(x, _leaf) if isinstance(x, (dict, list)) else _leaf(x)
 
 
 def _value(text: str):
     try:
-        jsonval.load(text)  # not too deep
-        return _decode(text)
-    except (ValueError, RecursionError):
+        return jsonval.load(text, _decode, (_Number, _Number))
+    except ValueError:
         return text
 
 

@@ -44,19 +44,18 @@ def _differ(a: pa.Array, b: pa.Array) -> np.ndarray:
 
 def _paths(name: str, a, b) -> Iterator[str]:
     """Paths at which two JSON values differ; no data is an object without members."""
-    a, b = ({} if x is None else x for x in (a, b))
-    if not (isinstance(a, dict) and isinstance(b, dict)):
-        if not jsonval.equal(a, b):
-            yield name
-        return
-    for k in sorted(a.keys() | b.keys()):
-        path = f"{name}.{k}"
-        if k not in a or k not in b:
-            yield path
-        elif isinstance(a[k], dict) and isinstance(b[k], dict):
-            yield from _paths(path, a[k], b[k])
-        elif not jsonval.equal(a[k], b[k]):
-            yield path
+    todo = [(name, {} if a is None else a, {} if b is None else b)]
+    while todo:
+        at, x, y = todo.pop()
+        if not (isinstance(x, dict) and isinstance(y, dict)):
+            if not jsonval.equal(x, y):
+                yield at
+            continue
+        for k in x.keys() | y.keys():
+            if k in x and k in y:
+                todo.append((f"{at}.{k}", x[k], y[k]))
+            else:
+                yield f"{at}.{k}"
 
 
 def _comparer(scalars: list[str], documents: list[str], only_left: str, only_right: str):

@@ -32,14 +32,16 @@ SCAN = "kind string, entity_type string, entity_id string, block long, older int
 EVIDENCE = "entity_type string, older int, newer int, gone string, fresh string, both long, same long"
 
 
-def fields(value, closed: frozenset[str], path: str = "") -> Iterator[tuple[str, object]]:
+def fields(value, closed: frozenset[str]) -> Iterator[tuple[str, object]]:
     """(dotted path, value) of members of an object and of objects inside it; not inside arrays and closed members."""
-    if isinstance(value, dict):
-        for k, x in value.items():
+    todo = [("", value)] if isinstance(value, dict) else []
+    while todo:
+        path, at = todo.pop()
+        for k, x in at.items():
             p = f"{path}.{k}" if path else k
             yield p, x
-            if k not in closed:
-                yield from fields(x, closed, p)
+            if isinstance(x, dict) and k not in closed:
+                todo.append((p, x))
 
 
 def _profiler(closed: frozenset[str]):

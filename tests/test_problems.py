@@ -172,7 +172,7 @@ def test_nodes_of_hostile_rows(spark):
         ("a", "data.A[0]", ""), ("a", "data.A[0].B[1]", "data.A[0]"), ("a", "data.A[0].B[1].c[0][0]", "data.A[0].B[1]"), ("b", "data.Items[0]", ""), ("b", "data.Items[0].x[0]", "data.Items[0]"), ("c", "data.Items[0]", ""),
         ("d", "custom.ok[0]", ""), ("d", "custom.ok[0].a[0]", "custom.ok[0]"), ("e", "data[0]", ""), (None, "data.x[0]", ""), ("j", "data.Items[0]", ""),
     ]
-    full = nested.subtype_store(df)
+    full = nested.subtype_store(df, "Items")
     assert got(full.select("id", "node_path", "parent_path")) == want(expected)
     assert full.where("node_path = 'data.A[0].B[1].c[0][0]'").select("supertype", "position", "shape").first() == ("data.A[].B[].c[][]", 0, "d:number")
 
@@ -185,6 +185,48 @@ def test_variants_and_subtype_tables(spark):
     assert sorted((r.position, r.SKU, r.Price) for r in t.collect()) == [(0, "x", 1.5), (1, "y", None), (2, "z", 2.0)]
 
 
+def test_typed_tables_of_the_variants(spark):
+    items = [{"SKU": "x", "Price": 1.5, "Gift": {"On": True, "Notes": [{"n": 1}]}}, {"SKU": "y", "Tags": ["a"], "Mixed": [1, "b"]}, {"Price": 2, "SKU": None}, {"SKU": 7}, {"sku": "a", "SKU": "b"}, {}]
+    wide = '{"Items":[{"Price":123456789012345678.123456789,"N":12345678901234567890,"M":[1,2.5]}]}'
+    df = record(spark, {"id": "a", "data": json.dumps({"Items": items}), "created_at": T0}, {"id": "b", "data": wide, "created_at": T0})
+    store = nested.subtypes(df)
+    assert got(store.rows.select(*nested.KEYS)) == got(nested.nodes(df).select(*nested.KEYS))
+    tables = {t.number: store.table(t.number) for t in store.of("data.Items[]")}
+    cells = {(r.id, r.position): r.asDict(recursive=True) for t in tables.values() for r in t.collect()}
+    assert cells["a", 0]["Price"] in (1.5, "1.5") and cells["a", 0]["Gift"] == {"On": True} and cells["a", 1]["Tags"] == ["a"] and json.loads(cells["a", 1]["Mixed"]) == [1, "b"]
+    assert cells["b", 0]["Price"] == "123456789012345678.123456789" and cells["b", 0]["N"] == "12345678901234567890" and cells["b", 0]["M"] == [1.0, 2.5]
+    assert cells["a", 3]["SKU"] == 7 and len({k for k in cells}) == 6  # a number and a string don't share a column
+    rest = store.stored.where(f"subtype = {nested.OTHER}").collect()
+    assert [json.loads(r.body) for r in rest] == [{"sku": "a", "SKU": "b"}]  # names that differ in case only
+    inner = store.of("data.Items[].Gift.Notes[]")
+    assert [tuple(r) for r in store.table(inner[0].number).collect()] == [("a", "data.Items[0].Gift.Notes[0]", "data.Items[0]", 0, 1)]
+
+
+def test_more_forms_than_tables(spark, monkeypatch):
+    monkeypatch.setattr(nested, "MOST_TABLES", 2)
+    df = record(spark, *[{"id": str(n), "data": json.dumps({f"m{n % 5}": [{"x": n}]}), "created_at": T0} for n in range(20)])
+    store = nested.subtypes(df)
+    assert store.rows.count() == 20 and len(store.tables) == 2 and store.stored.where("body is not null").count() == 12
+
+
+@pytest.mark.parametrize("levels", [500, 2000])
+def test_very_deep_records(spark, levels):
+    """A text nested thousands of levels deep is JSON like any other."""
+    text = '{"a":[' * levels + "1" + "]}" * levels
+    other = text.replace("1", "1.0")
+    df = record(spark, {"id": "x", "data": text, "created_at": T0})
+    assert nested.subtypes(df).rows.count() == levels - 1
+    assert got(differences.compare_copies(df, df.withColumn("data", F.lit(other)), scalars=HASH)) == []
+    assert got(differences.compare_copies(df, df.withColumn("data", F.lit(text.replace("1", "2"))), scalars=HASH)) == [("x", "data.a")]
+    objects = '{"a":' * levels + "1" + "}" * levels
+    row = record(spark, {"id": "x", "data": objects, "created_at": T0})
+    assert got(differences.compare_copies(row, row.withColumn("data", F.lit(objects.replace("1", "2"))), scalars=HASH)) == [("x", "data" + ".a" * levels)]
+    fed = feed(spark, [("e", 1, 0, 0, "", '{"k":' + text + ',"o":' + objects + "}", T0)])
+    assert got(change_feed.apply_feed(fed).select("path", "new_value")) == want([("k.a", text[5:-1]), ("o" + ".a" * levels, "1")])
+    assert history.history(record(spark, {"id": "x", "entity_type": "t", "data": text, "created_at": T0})).count() == 1
+    assert got(schema_drift.drift_report(record(spark, {"id": "x", "entity_type": "t", "schema_version": 1, "data": objects, "created_at": T0}))) == []
+
+
 FEED = "feed_id long, entity_type string, entity_id string, version long, strategy short, op string, change_seq int, path string, old_value string, new_value string, created_at timestamp, received_at timestamp, kind string, slot string"
 
 
