@@ -24,6 +24,10 @@ def _olap(spark, d):
     return table(spark, d, "audit_versions_olap")
 
 
+ITEMS = "Items"  # may be an array, its JSON text or, for one element, the bare object
+CLOSED = ("Tags", "Settings", "Nested", "Items")  # members whose inside is data, not schema
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return differences.compare_copies(_versions(spark, d), _olap(spark, d), scalars={"hash": lambda df: normal_hash("hash")})
 
@@ -33,16 +37,19 @@ def p1_presence(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return schema_drift.drift_report(_versions(spark, d))
+    return schema_drift.drift_report(_versions(spark, d), closed=CLOSED)
 
 
 def p2_unified(spark: SparkSession, d: str) -> DataFrame:
     df = _versions(spark, d)
-    return schema_drift.unify(df, schema_drift.edit_scripts(df))
+    return schema_drift.unify(df, schema_drift.edit_scripts(df, closed=CLOSED), CLOSED)
 
 
-ITEMS = "Items"  # may be an array, its JSON text or, for one element, the bare object
-CLOSED = ("Tags", "Settings", "Nested", "Items")  # members whose inside is data, not schema
+def p2_users(spark: SparkSession, d: str) -> DataFrame:
+    """All records of one type in one typed table, whatever their schema_version."""
+    df = _versions(spark, d)
+    columns = {"ID": "string", "Name": "string", "EmailAddress": "string", "Address.City": "string", "Address.Postcode": "string", "Quota": "bigint", "Locale": "string"}
+    return schema_drift.unified_table(df, schema_drift.edit_scripts(df, closed=CLOSED), "userentity", columns, CLOSED)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +85,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_presence, p2_found, p2_unified, p3_found, p3_variants, p3_order_items, p4_found, p5_found, p6_found, p6_report)
+    f.__name__: f for f in (p1_found, p1_presence, p2_found, p2_unified, p2_users, p3_found, p3_variants, p3_order_items, p4_found, p5_found, p6_found, p6_report)
 }
 
 _ORPHANS = """with t as (
@@ -137,6 +144,12 @@ from nodes where regexp_full_match(node_path, 'data\\.Items\\[[0-9]+\\]')""",
     "p1_presence": """with a as (select distinct id from audit_versions), b as (select distinct id from audit_versions_olap)
 select (select count(*) from a) as n_left, (select count(*) from b) as n_right, count(*) filter (a.id is not null and b.id is not null) as n_both,
   count(*) filter (b.id is null) as n_only_left, count(*) filter (a.id is null) as n_only_right from a full join b on a.id = b.id""",
+    "p2_users": """with cur as (select distinct on (id) * from audit_versions order by id, created_at desc)
+select id, entity_id, version, schema_version, json_extract_string(data, '$.ID') as "ID", json_extract_string(data, '$.Name') as "Name",
+  coalesce(case when schema_version < 2 then json_extract_string(data, '$.Email') end, json_extract_string(data, '$.EmailAddress')) as "EmailAddress", json_extract_string(data, '$.Address.City') as "Address_City",
+  coalesce(case when schema_version < 4 then json_extract_string(data, '$.Address.ZipCode') end, json_extract_string(data, '$.Address.Postcode')) as "Address_Postcode",
+  try_cast(json_extract_string(data, '$.Quota') as bigint) as "Quota", json_extract_string(data, '$.Locale') as "Locale"
+from cur where entity_type = 'userentity' and coalesce(trim(data), '') not in ('', 'null')""",
     "p6_found": _ORPHANS + "select table_name, id, reason, month from found where reason is not null",
     "p6_report": _ORPHANS + "select table_name, month, reason, count(*) as n from found where reason is not null group by all",
 }

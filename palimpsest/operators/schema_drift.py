@@ -5,8 +5,8 @@
    of records between which an entity goes from one schema_version to another. Blocks' ends are stitched afterwards.
 2. Fields that a quarter of a schema_version's records have are its schema; the number of such fields is bounded by what
    records hold, so schemas are the driver's. For removed and added fields the pairs tell how often values stay equal.
-3. A minimum-cost edit script between neighbouring schemas names the changes (plans/tree_edit.py), and scripts compose
-   into one projection per schema_version that is applied to every record.
+3. The tree edit distance between neighbouring schemas gives a minimum-cost script of changes (plans/tree_edit.py), and
+   scripts compose into one projection per schema_version that is applied to every record.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import arrow, jsonval
 from palimpsest.operators.current import current_rows
-from palimpsest.plans.tree_edit import Step, edit_script
+from palimpsest.plans.tree_edit import Step, edit_script, new_path, renames
 from palimpsest.sources.scratch import materialize
 
 BLOCK = 4096  # versions of an entity that are scanned by one task
@@ -154,8 +154,32 @@ def schemas(scanned: DataFrame, least_share: float) -> dict[str, dict[int, dict[
     return out
 
 
-def edit_scripts(df: DataFrame, closed: tuple[str, ...] = ("Tags", "Settings", "Nested", "Items"), least_share: float = 0.25) -> dict[tuple[str, int, int], list[Step]]:
-    """(entity_type, older, newer schema_version) -> edit script, for each schema_version and the one below it.
+@dataclass(frozen=True)
+class Drift:
+    """From a schema_version to the next: both schemas (path -> type), how alike pairs of fields are, and the script."""
+
+    old: dict[str, str]
+    new: dict[str, str]
+    alike: dict[tuple[str, str], float]
+    script: list[Step]
+
+    def changes(self) -> list[tuple[str, str, str]]:
+        """(change_kind, old_field, new_field): the script's steps field by field.
+
+        Members carried by a renamed object are named like it. A pair of fields is renamed if its values are equal in
+        most cases; of one that the script maps for its place only, one field is removed and one added.
+        """
+        moved, gone = renames(self.script), {s.old for s in self.script if s.kind == "removed"}
+        pairs = {p: new_path(p, moved) for p in self.old.keys() - self.new.keys() - gone}
+        pairs = {p: q for p, q in pairs.items() if (p, q) in self.alike}
+        out = [("renamed", p, q) for p, q in pairs.items()]
+        out += [("removed", p, "") for p in self.old.keys() - self.new.keys() - pairs.keys()]
+        out += [("added", "", q) for q in self.new.keys() - self.old.keys() - set(pairs.values())]
+        return out + [(s.kind, s.old, s.new) for s in self.script if s.kind == "retyped" and s.old == s.new]
+
+
+def drifts(df: DataFrame, closed: tuple[str, ...] = (), least_share: float = 0.25) -> dict[tuple[str, int, int], Drift]:
+    """(entity_type, older, newer schema_version) -> Drift, for each schema_version and the one below it.
 
     A field is the dotted path of a member of data or of an object inside it (arrays and ``closed`` members are not
     entered). It belongs to a schema_version if ``least_share`` of its current rows with data have it, null included;
@@ -175,27 +199,47 @@ def edit_scripts(df: DataFrame, closed: tuple[str, ...] = ("Tags", "Settings", "
         for t, lo, hi, g, f, both, same in rows.groupBy("entity_type", "older", "newer", "gone", "fresh").agg(F.sum("both"), F.sum("same")).collect():
             if 2 * same > both:
                 alike[t, lo, hi][g, f] = same / both
-    return {k: edit_script(a, b, alike[k]) for k, (a, b) in steps.items()}
+    return {k: Drift(a, b, alike[k], edit_script(a, b, alike[k])) for k, (a, b) in steps.items()}
+
+
+def edit_scripts(df: DataFrame, **options) -> dict[tuple[str, int, int], list[Step]]:
+    """(entity_type, older, newer schema_version) -> edit script."""
+    return {k: d.script for k, d in drifts(df, **options).items()}
 
 
 def drift_report(df: DataFrame, **options) -> DataFrame:
-    """(entity_type, schema_version, change_kind, old_field, new_field) of each step; a move is reported as renamed."""
-    rows = [(t, hi, "renamed" if s.kind == "moved" else s.kind, s.old, s.new) for (t, _, hi), script in edit_scripts(df, **options).items() for s in script]
+    """(entity_type, schema_version, change_kind, old_field, new_field) of each field that changes; a move is reported as renamed."""
+    rows = [(t, hi, *change) for (t, _, hi), d in drifts(df, **options).items() for change in d.changes()]
     return df.sparkSession.createDataFrame(rows, "entity_type string, schema_version int, change_kind string, old_field string, new_field string")
 
 
 @dataclass(frozen=True)
 class Projection:
-    """From a schema_version to the newest: ``moves`` (its field -> the newest name, None if removed) and ``casts``
-    (newest name -> type); unchanged fields are left out."""
+    """From a schema_version to the newest: ``moves`` (its field -> the newest name, None if removed; what lies below
+    goes along) and ``casts`` (newest name -> type); unchanged fields are left out."""
 
     moves: dict[str, str | None]
     casts: dict[str, str]
 
     @cached_property
-    def above(self) -> frozenset[str]:
-        """Objects inside which something moves or changes type."""
-        return frozenset(m[:n] for m in (*self.moves, *self.casts) for n in range(len(m)) if m[n] == ".")
+    def above(self) -> tuple[frozenset[str], frozenset[str]]:
+        """Objects inside which something moves (by old name), and those inside which something changes type (by newest)."""
+        prefixes = lambda names: frozenset(m[:n] for m in names for n in range(len(m)) if m[n] == ".")
+        return prefixes(self.moves), prefixes(self.casts)
+
+
+def _nearest(path: str, among) -> str | None:
+    """The path or the nearest one above it that is among these."""
+    while path:
+        if path in among:
+            return path
+        path = path.rpartition(".")[0]
+    return None
+
+
+def _follow(path: str, moves: dict[str, str | None]) -> str | None:
+    up = _nearest(path, moves)
+    return path if up is None else None if moves[up] is None else moves[up] + path[len(up) :]
 
 
 def compile_projections(scripts: dict[tuple[str, int, int], list[Step]]) -> dict[tuple[str, int], Projection]:
@@ -205,15 +249,23 @@ def compile_projections(scripts: dict[tuple[str, int, int], list[Step]]) -> dict
         moves: dict[str, str | None] = {}
         casts: dict[str, str] = {}
         for _, lo, hi in sorted((k for k in scripts if k[0] == t), reverse=True):
-            before, moves, casts = moves, dict(moves), dict(casts)
-            for s in scripts[t, lo, hi]:
+            script, before, casts = scripts[t, lo, hi], moves, dict(casts)
+            came, gone = {s.new: s.old for s in script if s.kind in ("renamed", "moved")}, renames(script)
+            fresh = {s.new for s in script if s.kind == "added"}
+            moves = {}
+            for path, target in before.items():  # later moves, under the names that this version has for them
+                up = _nearest(path, came.keys() | fresh)
+                if up is None:
+                    if _nearest(path, gone) is None:
+                        moves[path] = target
+                elif up in came:
+                    moves[came[up] + path[len(up) :]] = target
+            for s in script:
                 if s.kind in ("renamed", "moved"):
-                    moves[s.old] = before.get(s.new, s.new)
+                    moves[s.old] = _follow(s.new, before)
                 elif s.kind == "removed":
                     moves[s.old] = None
-                elif s.kind == "added":
-                    moves.pop(s.new, None)  # an older field of that name is another one
-                elif (name := before.get(s.new, s.new)) is not None:
+                elif s.kind == "retyped" and (name := _follow(s.new, before)) is not None:
                     casts.setdefault(name, s.to)
             out[t, lo] = Projection(moves, casts)
     return out
@@ -260,22 +312,23 @@ def _project(value: dict, by: Projection, closed: frozenset[str]) -> dict:
         else:
             at[tail] = x
 
-    def walk(node: dict, path: str) -> None:
+    inside_moves, inside_casts = by.above
+    todo: list[tuple[dict, str, str | None]] = [(value, "", "")]  # object, its old path, its newest (None: removed)
+    while todo:
+        node, path, target = todo.pop(0)
         for k, x in node.items():
             p = f"{path}.{k}" if path else k
-            to = by.moves.get(p, p)
-            if to is None:
+            to = by.moves[p] if p in by.moves else None if target is None else f"{target}.{k}" if target else k
+            if isinstance(x, dict) and x and k not in closed and (p in inside_moves or to in inside_casts):
+                todo.append((x, p, to))
+            elif to is None:
                 result.setdefault("_removed", {})[p] = x
-            elif isinstance(x, dict) and x and k not in closed and p in by.above:
-                walk(x, p)
             else:
                 put(to, x)
-
-    walk(value, "")
     return result
 
 
-def unify(df: DataFrame, scripts: dict[tuple[str, int, int], list[Step]], closed: tuple[str, ...] = ("Tags", "Settings", "Nested", "Items")) -> DataFrame:
+def unify(df: DataFrame, scripts: dict[tuple[str, int, int], list[Step]], closed: tuple[str, ...] = ()) -> DataFrame:
     """Current rows with data in the newest schema of their type: (id, entity_type, entity_id, version, schema_version, data).
 
     data is canonical JSON under the newest names and types. Members of removed fields go to ``_removed`` under their old
@@ -297,8 +350,8 @@ def unify(df: DataFrame, scripts: dict[tuple[str, int, int], list[Step]], closed
     return rows.mapInArrow(run, rows.schema).where("data is not null")
 
 
-def unified_table(df: DataFrame, scripts: dict[tuple[str, int, int], list[Step]], entity_type: str, columns: dict[str, str]) -> DataFrame:
+def unified_table(df: DataFrame, scripts: dict[tuple[str, int, int], list[Step]], entity_type: str, columns: dict[str, str], closed: tuple[str, ...] = ()) -> DataFrame:
     """One typed table of a type's records: a column for each (dotted field -> Spark type), null where it doesn't fit."""
-    rows = unify(df.where(F.col("entity_type") == entity_type), scripts)
+    rows = unify(df.where(F.col("entity_type") == entity_type), scripts, closed)
     typed = [F.expr(f"try_cast(get_json_object(data, '$.{path}') as {kind})").alias(path.replace(".", "_")) for path, kind in columns.items()]
     return rows.select("id", "entity_id", "version", "schema_version", *typed)

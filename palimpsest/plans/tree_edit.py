@@ -1,15 +1,20 @@
 """Edit scripts between two nested schemas.
 
-A schema is a tree of named nodes, given by its dotted paths. A script turns one into the other with the steps add (1),
-delete (1), retype (1/2), rename (same parent) and move (other parent). A rename or move stands for one delete and one
-add; it is allowed where the data show that both nodes hold the same values, and costs 1 - (share of equal values) / 2,
-so it is always cheaper than the pair. Trees are unordered and a moved node needs no moved parent; the edit distance is
-then a minimum-cost assignment of deleted to added nodes, solved exactly.
+A schema is an unordered tree of named, typed nodes, given by its dotted paths. The script comes from the tree edit
+distance that keeps subtrees together (a node's descendants map into its partner's descendants, separate subtrees into
+separate ones), which, other than the unrestricted one, can be found exactly by dynamic programming over pairs of nodes
+with a minimum-cost assignment of their children. Steps are add (1), delete (1), retype (1/2) and rename; a renamed
+object carries its members along. What is deleted in one place and added in another and holds the same values is moved:
+a second minimum-cost assignment over what the distance left.
+
+A field that exists on both sides stays itself. Two others may be mapped to each other if the data show that they hold
+the same values, if both are objects, or if they have the same name below mapped objects; the more their values differ,
+the more that costs.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 
 @dataclass(frozen=True)
@@ -21,7 +26,35 @@ class Step:
     to: str = ""  # the new type of a retyped field
 
 
-def _assign(cost: list[list[float]]) -> list[int]:
+@dataclass
+class Node:
+    path: str
+    name: str
+    kind: str
+    children: list[Node] = field(default_factory=list)
+
+    size: int = 1
+    depth: int = 1
+
+
+def tree(paths: dict[str, str]) -> Node:
+    """The schema's tree. A node's parent is the longest other path that it continues, as names may hold dots."""
+    nodes = {"": Node("", "", "object")}
+    for p in sorted(paths, key=len):
+        up = p
+        while up:
+            up = up.rpartition(".")[0]
+            if up in nodes:
+                break
+        nodes[p] = Node(p, p[len(up) + 1 :] if up else p, paths[p])
+        nodes[up].children.append(nodes[p])
+    for n in sorted(nodes.values(), key=lambda n: -len(n.path)):
+        n.size += sum(c.size for c in n.children)
+        n.depth += max((c.depth for c in n.children), default=0)
+    return nodes[""]
+
+
+def assign(cost: list[list[float]]) -> list[int]:
     """Column of each row in a minimum-cost assignment of a matrix with no more rows than columns."""
     n, m = len(cost), len(cost[0]) if cost else 0
     inf = float("inf")
@@ -57,31 +90,160 @@ def _assign(cost: list[list[float]]) -> list[int]:
     return out
 
 
+_NEVER = 1e6
+DEEPEST, MOST_PAIRS = 100, 200_000  # levels and pairs of nodes for which the distance is computed; beyond, values alone pair fields
+
+
+class _Distance:
+    """Distances between subtrees and between the forests below them, each pair once."""
+
+    def __init__(self, alike: dict[tuple[str, str], float]):
+        self.alike = alike
+        self.trees: dict[tuple[str, str], tuple[float, tuple]] = {}
+        self.forests: dict[tuple[str, str], tuple[float, tuple]] = {}
+
+    def pair(self, a: Node, b: Node, inside: bool) -> float:
+        """What mapping a to b costs, without their children."""
+        if (share := self.alike.get((a.path, b.path))) is not None:
+            base = 1 - share / 2
+        elif a.kind == b.kind == "object" and (a.children or b.children):
+            base = 1.25
+        elif inside and a.name == b.name:
+            base = 1.25
+        else:
+            return _NEVER
+        return base if a.name != b.name else base / 2
+
+    def tree(self, a: Node, b: Node, inside: bool = True) -> float:
+        key = a.path, b.path
+        if key not in self.trees:
+            best = self.forest(a, b) + self.pair(a, b, inside), ("map",)
+            # all of a goes below one child of b, the rest of b is new; or the other way round
+            for c in b.children:
+                best = min(best, (b.size - c.size + self.tree(a, c), ("under", c)), key=lambda x: x[0])
+            for c in a.children:
+                best = min(best, (a.size - c.size + self.tree(c, b), ("over", c)), key=lambda x: x[0])
+            self.trees[key] = best
+        return self.trees[key][0]
+
+    def forest(self, a: Node, b: Node) -> float:
+        key = a.path, b.path
+        if key not in self.forests:
+            cost, pairs = self.children(a.children, b.children)
+            best = cost, ("match", pairs)
+            below_a, below_b = a.size - 1, b.size - 1
+            for c in b.children:
+                if c.children and a.children:
+                    best = min(best, (below_b - (c.size - 1) + self.forest(a, c), ("under", c)), key=lambda x: x[0])
+            for c in a.children:
+                if c.children and b.children:
+                    best = min(best, (below_a - (c.size - 1) + self.forest(c, b), ("over", c)), key=lambda x: x[0])
+            self.forests[key] = best
+        return self.forests[key][0]
+
+    def children(self, a: list[Node], b: list[Node], inside: bool = True) -> tuple[float, list[tuple[Node, Node]]]:
+        """The cheapest assignment of subtrees to each other; the others are deleted or added whole."""
+        total = float(sum(x.size for x in a) + sum(x.size for x in b))
+        costs = [[self.tree(x, y, inside) - x.size - y.size for y in b] for x in a]
+        rows = [i for i, line in enumerate(costs) if any(c < 0 for c in line)]
+        columns = sorted({j for i in rows for j, c in enumerate(costs[i]) if c < 0})
+        # a row's own column at the end: its subtree is deleted
+        found = assign([[min(costs[i][j], 0.5) for j in columns] + [0.0] * len(rows) for i in rows])
+        pairs = [(a[i], b[columns[k]]) for i, k in zip(rows, found) if k < len(columns) and costs[i][columns[k]] < 0]
+        return total + sum(self.trees[x.path, y.path][0] - x.size - y.size for x, y in pairs), pairs
+
+    def mapped(self, pairs: list[tuple[Node, Node]]) -> list[tuple[Node, Node]]:
+        """The pairs of nodes that the cheapest mapping of these subtrees holds."""
+        out = []
+        todo: list[tuple[str, Node, Node]] = [("tree", *p) for p in pairs]
+        while todo:
+            what, a, b = todo.pop()
+            how = (self.trees if what == "tree" else self.forests)[a.path, b.path][1]
+            if how[0] == "map":
+                out.append((a, b))
+                todo.append(("forest", a, b))
+            elif how[0] == "match":
+                todo += [("tree", *p) for p in how[1]]
+            else:
+                todo.append((what, a, how[1]) if how[0] == "under" else (what, how[1], b))
+        return out
+
+
+def _gone(a: Node, b: Node) -> list[tuple[list[Node], list[Node]]]:
+    """Below each node that both trees have: the subtrees only the first has, and those only the second has."""
+    out, todo = [], [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        other = {c.name: c for c in y.children}
+        todo += [(c, other[c.name]) for c in x.children if c.name in other]
+        mine = {c.name for c in x.children}
+        out.append(([c for c in x.children if c.name not in other], [c for c in y.children if c.name not in mine]))
+    return out
+
+
 def edit_script(old: dict[str, str], new: dict[str, str], alike: dict[tuple[str, str], float]) -> list[Step]:
     """The cheapest script from ``old`` to ``new`` (path -> type, '' unknown).
 
-    ``alike``: share of equal values of (deleted path, added path), above 1/2. Ties go to the paths first in order.
+    ``alike``: share of equal values of (deleted path, added path), above 1/2. Members of a renamed or moved object that
+    keep their name below it have no step of their own. Ties go to the paths first in order.
     """
-    gone, fresh = sorted(set(old) - set(new)), sorted(set(new) - set(old))
-    steps = []
-    pairs: dict[str, str] = {}
-    rows = [g for g in gone if any((g, f) in alike for f in fresh)]
+    found = _Distance(alike)
+    mapped: dict[str, str] = {}
+    for gone, fresh in _gone(tree(old), tree(new)):
+        gone, fresh = sorted(gone, key=lambda n: n.path), sorted(fresh, key=lambda n: n.path)
+        if gone and fresh and max(n.depth for n in gone + fresh) <= DEEPEST and sum(n.size for n in gone) * sum(n.size for n in fresh) <= MOST_PAIRS:
+            mapped |= {a.path: b.path for a, b in found.mapped(found.children(gone, fresh, False)[1])}
+    # a pair whose values differ gives way to one whose values are equal
+    weak = {a for a, b in mapped.items() if (a, b) not in alike}
+    taken = {b for a, b in mapped.items() if a not in weak}
+    rows = sorted({a for a, b in alike if a in old and (a not in mapped or a in weak) and b in new and b not in taken})
+    columns = sorted({b for a, b in alike if a in rows and b in new and b not in taken})
+    moves: dict[str, str] = {}
     if rows:
-        # one further column for each row: it is deleted, its partner added
-        cost = [[1 - alike[g, f] / 2 if (g, f) in alike else 9.0 for f in fresh] + [2.0 if i == k else 9.0 for k in range(len(rows))] for i, g in enumerate(rows)]
-        # a pair saves one add besides
-        for i, j in enumerate(_assign(cost)):
-            if j < len(fresh) and (rows[i], fresh[j]) in alike:
-                pairs[rows[i]] = fresh[j]
-    for g in gone:
-        if g in pairs:
-            f = pairs[g]
-            steps.append(Step("renamed" if g.rpartition(".")[0] == f.rpartition(".")[0] else "moved", g, f, 1 - alike[g, f] / 2))
-        else:
-            steps.append(Step("removed", g, "", 1.0))
-    steps += [Step("added", "", f, 1.0) for f in fresh if f not in pairs.values()]
+        # one further column for each row: it finds no partner
+        cost = [[1 - alike[a, b] / 2 if (a, b) in alike else 9.0 for b in columns] + [2.0 if i == k else 9.0 for k in range(len(rows))] for i, a in enumerate(rows)]
+        moves = {rows[i]: columns[j] for i, j in enumerate(assign(cost)) if j < len(columns) and (rows[i], columns[j]) in alike}
+        lost = set(moves.values())
+        mapped = {a: b for a, b in mapped.items() if a not in moves and b not in lost}
+    partner = mapped | moves
+    steps = []
+    for a in sorted(set(old) - set(new)):
+        if a not in partner:
+            steps.append(Step("removed", a, "", 1.0))
+            continue
+        b, share = partner[a], alike.get((a, partner[a]), 0.0)
+        if old[a] and new[b] and old[a] != new[b]:
+            steps.append(Step("retyped", a, b, 0.5, new[b]))
+        up, over = _above(a, old), _above(b, new)
+        carried = partner.get(up, up if up in new else None) == over and a[len(up) :] == b[len(over) :]
+        if carried and up:
+            continue
+        steps.append(Step("renamed" if partner.get(up, up) == over else "moved", a, b, 1 - share / 2))
+    steps += [Step("added", "", b, 1.0) for b in sorted(set(new) - set(old) - set(partner.values()))]
     return steps + [Step("retyped", p, p, 0.5, new[p]) for p in sorted(old.keys() & new.keys()) if old[p] and new[p] and old[p] != new[p]]
 
 
+def _above(path: str, among: dict[str, str]) -> str:
+    while path:
+        path = path.rpartition(".")[0]
+        if path in among:
+            return path
+    return ""
+
+
+def renames(script: list[Step]) -> dict[str, str]:
+    return {s.old: s.new for s in script if s.kind in ("renamed", "moved")}
+
+
+def new_path(path: str, moved: dict[str, str]) -> str:
+    """Where a path lies after the renames: its own, or that of the object it is carried with."""
+    up = path
+    while up:
+        if up in moved:
+            return moved[up] + path[len(up) :]
+        up = up.rpartition(".")[0]
+    return path
+
+
 def distance(steps: list[Step]) -> float:
     return sum(s.cost for s in steps)
