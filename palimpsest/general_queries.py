@@ -106,7 +106,8 @@ _ATOM = "concat(j.fullkey, ' ', case when j.type in ('DOUBLE', 'BIGINT', 'UBIGIN
 
 _DIFFERENCES = f"""with a as (select distinct on (id) id, hash, data from audit_versions order by id, created_at desc),
 b as (select distinct on (id) id, hash, data from audit_versions_olap order by id, created_at desc),
-both_sides as (select 0 as side, a.id, a.data from a semi join b on a.id = b.id union all select 1, b.id, b.data from b semi join a on a.id = b.id),
+unlike as (select a.id, a.data as x, b.data as y from a join b on a.id = b.id where a.data is distinct from b.data),
+both_sides as (select 0 as side, id, x as data from unlike union all select 1, id, y from unlike),
 n as (select side, both_sides.id, regexp_replace(j.fullkey, '\\[.*$', '') as p, max(j.type) filter (not contains(j.fullkey, '[')) as kind, max(j.path) filter (not contains(j.fullkey, '[')) as up, string_agg({_ATOM}, chr(1) order by j.fullkey) as sig
   from both_sides, json_tree(both_sides.data) j where coalesce(trim(data), '') not in ('', 'null') group by all),
 l as (select * from n where side = 0 and p <> '$'), r as (select * from n where side = 1 and p <> '$'),

@@ -1,9 +1,10 @@
 """Differences between two copies of a table.
 
-One shuffle: both copies are reduced to their current rows by key in the same aggregate, so that each key comes out
-once with what either side holds. A key's place in this output is its ordinal, shared by both sides. Per block of
-ordinals, compressed bitmaps hold which side has the key: AND-NOT gives the missing rows, AND the ordinals whose columns
-are then compared, aligned, column by column. JSON columns are parsed only where their texts differ.
+One shuffle. Rows of both copies that repeat a key are reduced inside the batches they are read in, so a hot key shrinks
+before it travels; then rows go to ranges of the key's hash and are sorted there by key. A range's task numbers the keys
+in order, the same number for both copies, and keeps for either copy a compressed bitmap of the numbers it has: AND-NOT
+gives the missing rows, AND the numbers by which the columns of both copies are aligned and compared, column by column.
+JSON columns are parsed only where their texts differ.
 """
 
 from __future__ import annotations
@@ -19,27 +20,80 @@ from pyspark.sql import functions as F
 from palimpsest.functions import arrow, jsonval
 from palimpsest.functions.bitmap import Bitmap
 
+RANGES = 1 << 16  # of the key's hash; a task takes several
+BLOCK_ROWS = 65_536  # rows of a range that are held at once
 
-def paired(left: DataFrame, right: DataFrame, key: str, order: str, columns: dict[str, Callable[[DataFrame], Column]]) -> DataFrame:
-    """(key, l, r): each key once, with the current row of either side as a struct, null where that side has none."""
-    def side(df: DataFrame, n: int) -> DataFrame:
-        return df.select(F.col(key).alias("key"), F.lit(n).alias("side"), F.struct(F.col(order).alias("_at"), *[c(df).alias(name) for name, c in columns.items()]).alias("row"))
 
-    both = side(left, 0).unionByName(side(right, 1))
-    return both.groupBy("key").agg(*[F.max(F.when(F.col("side") == n, F.col("row"))).alias(name) for n, name in enumerate("lr")])
+def _differ(a: pa.Array, b: pa.Array) -> np.ndarray:
+    unlike = pc.fill_null(pc.not_equal(a, b), False).to_numpy(False)
+    return unlike | (a.is_null().to_numpy(False) != b.is_null().to_numpy(False))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, Bitmap, Bitmap]]:
-    """Batches with the ordinal of their first row and the presence of either side."""
-    base = 0
+def _first(rows: pa.RecordBatch) -> np.ndarray:
+    """Where a sorted batch begins a new (key, side)."""
+    n = rows.num_rows
+    out = np.ones(n, bool)
+    for c in ("key", "side")[: n and 2]:
+        x = rows.column(c)
+        now = _differ(x.slice(1), x.slice(0, n - 1))
+        out[1:] = now if c == "key" else out[1:] | now
+    return out
+
+
+def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the rows of one key and side in a batch the greatest by time, then by columns."""
     for batch in batches:
-        yield batch, base, *(Bitmap.of(base + np.flatnonzero(batch.column(s).is_valid().to_numpy(False))) for s in "lr")
-        base += batch.num_rows
+        if batch.num_rows and pc.count_distinct(batch.column("key"), "all").as_py() < batch.num_rows:
+            by = [("key", "ascending"), ("side", "ascending")] + [(n, "descending") for n in batch.schema.names[3:] if not pa.types.is_nested(batch.schema.field(n).type)]
+            ordered = batch.take(pc.sort_indices(batch, by, null_placement="at_end"))
+            batch = ordered.filter(pa.array(_first(ordered)))
+        yield batch
 
 
-def _differ(a: pa.Array, b: pa.Array) -> np.ndarray:
-    unlike = pc.fill_null(pc.not_equal(a, b), False).to_numpy(False)
-    return np.flatnonzero(unlike | (a.is_null().to_numpy(False) != b.is_null().to_numpy(False)))
+def _ranged(left: DataFrame, right: DataFrame, key: str, order: str | None, columns: dict[str, Callable[[DataFrame], Column]]) -> tuple[DataFrame, list[str]]:
+    """Rows (key, side, range, at, one column for each of ``columns``) of both copies, in ranges, sorted; and the names."""
+    names = [f"c{n}" for n in range(len(columns))]
+
+    def side(df: DataFrame, n: int) -> DataFrame:
+        k = F.col(key)
+        at = F.col(order) if order else F.lit(0)
+        return df.select(k.alias("key"), F.lit(n).alias("side"), F.pmod(F.xxhash64(k), F.lit(RANGES)).cast("int").alias("range"), at.alias("at"), *[c(df).alias(f"c{i}") for i, c in enumerate(columns.values())])
+
+    both = side(left, 0).unionByName(side(right, 1))
+    small = both.mapInArrow(_reduce, both.schema)
+    newest = [F.col(c).desc_nulls_last() for c in ("at", *names)]
+    return small.repartition("range").sortWithinPartitions("range", "key", "side", *newest), names
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows of whole keys, current rows only, with each row's number and side. Numbers go on through the task."""
+    held: list[pa.RecordBatch] = []
+    size = base = 0
+
+    def cut(final: bool):
+        nonlocal held, size, base
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()
+        if not rows:
+            return
+        rows = rows[0]
+        rows = rows.filter(pa.array(_first(rows)))
+        key = rows.column("key")
+        begins = np.ones(rows.num_rows, bool)
+        begins[1:] = _differ(key.slice(1), key.slice(0, rows.num_rows - 1))
+        end = rows.num_rows if final else int(np.flatnonzero(begins)[-1])  # the last key may go on
+        held, size = [rows.slice(end)], rows.num_rows - end
+        if end:
+            numbers = base - 1 + np.cumsum(begins[:end])
+            base = int(numbers[-1]) + 1
+            yield rows.slice(0, end), numbers, rows.column("side").to_numpy()[:end]
+
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= BLOCK_ROWS:
+            yield from cut(False)
+    if held:
+        yield from cut(True)
 
 
 def _paths(name: str, a, b) -> Iterator[str]:
@@ -58,28 +112,36 @@ def _paths(name: str, a, b) -> Iterator[str]:
                 yield f"{at}.{k}"
 
 
-def _comparer(scalars: list[str], documents: list[str], only_left: str, only_right: str):
+def _presence(numbers: np.ndarray, sides: np.ndarray) -> tuple[Bitmap, Bitmap]:
+    return Bitmap.of(numbers[sides == 0]), Bitmap.of(numbers[sides == 1])
+
+
+def _comparer(scalars: dict[str, str], documents: dict[str, str], only_left: str, only_right: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, base, left, right in _blocks(batches):
-            ids, at, found = batch.column("key"), [], []
-            for bits, finding in ((left.andnot(right), only_left), (right.andnot(left), only_right)):
-                at += (bits.ordinals() - base).tolist()
+        for rows, numbers, sides in _blocks(batches):
+            left, right = _presence(numbers, sides)
+            base = int(numbers[0])
+            place = np.zeros((2, int(numbers[-1]) - base + 1), np.int64)  # the row of each number on either side
+            for s in (0, 1):
+                place[s, numbers[sides == s] - base] = np.flatnonzero(sides == s)
+            at, found = [], []
+            for s, bits, finding in ((0, left.andnot(right), only_left), (1, right.andnot(left), only_right)):
+                at += place[s, bits.ordinals() - base].tolist()
                 found += [finding] * (len(at) - len(found))
-            shared = pa.array((left & right).ordinals() - base)
-            a, b = (batch.column(s).take(shared) for s in "lr")
-            where = shared.to_numpy()
-            for name in scalars:
-                hit = where[_differ(pc.struct_field(a, name), pc.struct_field(b, name))].tolist()
+            shared = (left & right).ordinals() - base
+            a, b = (rows.take(pa.array(place[s, shared])) for s in (0, 1))
+            where = place[0, shared]
+            for name, column in scalars.items():
+                hit = where[_differ(a.column(column), b.column(column))].tolist()
                 at += hit
                 found += [name] * len(hit)
-            for name in documents:
-                x, y = pc.struct_field(a, name), pc.struct_field(b, name)
-                hit = _differ(x, y)
-                for n, s, t in zip(where[hit].tolist(), x.take(hit).to_pylist(), y.take(hit).to_pylist()):
+            for name, column in documents.items():
+                hit = np.flatnonzero(_differ(a.column(column), b.column(column)))
+                for n, s, t in zip(where[hit].tolist(), a.column(column).take(hit).to_pylist(), b.column(column).take(hit).to_pylist()):
                     paths = list(_paths(name, jsonval.load_any(s), jsonval.load_any(t)))
                     at += [n] * len(paths)
                     found += paths
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at, pa.int64())), arrow.array(found, pa.string())], ["key", "finding"])
+            yield pa.RecordBatch.from_arrays([rows.column("key").take(pa.array(at, pa.int64())), arrow.array(found, pa.string())], ["key", "finding"])
 
     return run
 
@@ -91,25 +153,29 @@ def compare_copies(left: DataFrame, right: DataFrame, key: str = "id", order: st
     (null-safe) or, of a JSON column, its name and the dotted path of the member that differs: objects on both sides are
     entered, arrays compared whole. ``scalars`` maps a name to a function from the DataFrame to the Column to compare.
     No data (null, blank, JSON null) counts as an object without members. A text that is not JSON equals only the same
-    text; against anything else it is one case under the column's name. Null keys are one key. Empty tables: everything
-    on the other side is missing. Repeated rows don't matter. Other columns are not read, whatever their names.
+    text; against anything else it is one case under the column's name. The current row of a key is the one with the
+    greatest ``order`` (null is the least), of equal ones the one with the greatest values. Null keys are one key. Empty
+    tables: everything on the other side is missing. Repeated rows don't matter. Other columns are not read, whatever
+    their names.
     """
     scalars = scalars or {}
     columns = scalars | {d: (lambda df, d=d: F.col(d)) for d in documents}
-    pairs = paired(left, right, key, order, columns)
-    kind = left.schema[key].dataType.simpleString()
-    found = pairs.mapInArrow(_comparer(list(scalars), list(documents), only_left, only_right), f"key {kind}, finding string")
-    return found.withColumnRenamed("key", key)
+    rows, names = _ranged(left, right, key, order, columns)
+    at = dict(zip(columns, names))
+    kind = rows.schema["key"].dataType.simpleString()
+    compare = _comparer({n: at[n] for n in scalars}, {n: at[n] for n in documents}, only_left, only_right)
+    return rows.select("key", "side", *names).mapInArrow(compare, f"key {kind}, finding string").withColumnRenamed("key", key)
 
 
 def presence(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
     """(n_left, n_right, n_both, n_only_left, n_only_right): keys by side, counted on the presence bitmaps."""
     def run(batches):
         totals = np.zeros(5, np.int64)
-        for _, _, a, b in _blocks(batches):
+        for _, numbers, sides in _blocks(batches):
+            a, b = _presence(numbers, sides)
             totals += [len(a), len(b), len(a & b), len(a.andnot(b)), len(b.andnot(a))]
         yield pa.RecordBatch.from_arrays([pa.array([n]) for n in totals.tolist()], names)
 
     names = ["n_left", "n_right", "n_both", "n_only_left", "n_only_right"]
-    keys = paired(left.select(key, F.lit(0).alias("_o")), right.select(key, F.lit(0).alias("_o")), key, "_o", {})
-    return keys.mapInArrow(run, ", ".join(f"{n} long" for n in names)).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+    rows, _ = _ranged(left, right, key, None, {})
+    return rows.select("key", "side").mapInArrow(run, ", ".join(f"{n} long" for n in names)).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])

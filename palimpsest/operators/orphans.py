@@ -1,9 +1,12 @@
 """References to records that do not exist.
 
-Keys of references and of the rows they may refer to are aggregated together (so hot keys shrink before the shuffle);
-a key's place in the sorted output of its range is its integer in that range's dictionary. Per range and period a
-compressed bitmap holds the referenced integers, another the existing ones: reference AND-NOT parent leaves the orphans,
-whose bits are decoded to keys and joined back to the referring rows.
+Keys are 16-byte digests, spread evenly, so their leading bits cut them into key ranges of known size. References and the
+rows they may refer to are first reduced, in the map, to one row per key, side and period, then sorted inside key ranges.
+A range's task numbers its keys in order, which is the range's dictionary, and builds over these integers one compressed
+bitmap per period of the references, one of all parents, and one per period of the parents that are there by its end.
+Reference AND-NOT parent leaves what refers to nothing; reference AND parent AND-NOT parents there by then what refers to
+something that came in a later period; inside the period in which a parent came, times are compared, aligned by integer.
+The surviving bits are decoded to keys and joined back to the referring rows.
 """
 
 from __future__ import annotations
@@ -12,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,33 +22,108 @@ from palimpsest.functions.bitmap import Bitmap
 from palimpsest.operators.current import current_rows, normal_hash
 from palimpsest.sources.scratch import materialize
 
+RANGE_KEYS = 50_000  # keys of a range, on average
+SURVIVOR = "key binary, period string, finding string, parent_at long"
+ABSENT, LATER = "absent", "later"
+_NO_TIME = -(2**63) + 1  # a parent without time isn't after anything
+
 
 def _key(*columns):
     """16 bytes from the columns' values; null and '' differ."""
     return F.unhex(F.md5(F.to_json(F.array(*[(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns]))))
 
 
-def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Range:
+    """One key range: its dictionary and, by period, what is referenced and what is there."""
+
+    def __init__(self) -> None:
+        self.keys: list[bytes] = []
+        self.rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: list[bytes], parent: np.ndarray, period: np.ndarray, at: np.ndarray) -> None:
+        ordinals = np.empty(len(keys), np.int64)
+        last, n = (self.keys[-1] if self.keys else None), len(self.keys) - 1
+        for i, k in enumerate(keys):
+            if k != last:
+                self.keys.append(k)
+                last, n = k, n + 1
+            ordinals[i] = n
+        self.rows.append((ordinals, parent, period, at))
+
+    def survivors(self) -> Iterator[tuple[str, str, np.ndarray, np.ndarray | None]]:
+        """(period, finding, ordinals, parents' times)."""
+        if not self.rows:
+            return
+        ordinal, parent, period, at = (np.concatenate(c) for c in zip(*self.rows))
+        born = np.full(len(self.keys), np.iinfo(np.int64).max)
+        np.minimum.at(born, ordinal[parent], at[parent])
+        parents = Bitmap.of(ordinal[parent])
+        first: dict[int, str] = {}  # the period of each parent's earliest time
+        for o, t, p in zip(ordinal[parent].tolist(), at[parent].tolist(), period[parent].tolist()):
+            if t == born[o]:
+                first[o] = min(p, first.get(o, p))
+        came: dict[str, list[int]] = {}
+        for o, p in first.items():
+            came.setdefault(p, []).append(o)
+        there = Bitmap()
+        steps = sorted(came)
+        done = 0
+        for p in sorted(set(period[~parent].tolist())):
+            mine = ~parent & (period == p)
+            referenced = Bitmap.of(ordinal[mine])
+            yield p, ABSENT, referenced.andnot(parents).ordinals(), None
+            if not p:
+                continue  # a reference without time is never early
+            while done < len(steps) and steps[done] <= p:
+                there = there | Bitmap.of(sorted(came[steps[done]]))
+                done += 1
+            late = (referenced & parents).andnot(there)
+            same = referenced & Bitmap.of(sorted(came.get(p, [])))
+            early = np.full(len(self.keys), np.iinfo(np.int64).max)
+            early[ordinal[mine]] = at[mine]
+            inside = same.ordinals()
+            late = late | Bitmap.of(inside[early[inside] < born[inside]])
+            yield p, LATER, late.ordinals(), born
+
+
+def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Survivors of the ranges of a task; rows come in order of range and key."""
+    held, last = _Range(), None
+
+    def end() -> Iterator[pa.RecordBatch]:
+        for period, finding, ordinals, born in held.survivors():
+            if n := len(ordinals):
+                keys = pa.array([held.keys[o] for o in ordinals.tolist()], pa.binary())
+                at = pa.array(born[ordinals]) if born is not None else pa.nulls(n, pa.int64())
+                yield pa.RecordBatch.from_arrays([keys, pa.array([period] * n), pa.array([finding] * n), at], ["key", "period", "finding", "parent_at"])
+
     for batch in batches:
-        # the batch is a key range; a row's position is its key's integer
-        parents = Bitmap.of(np.flatnonzero(batch.column("parent").to_numpy(False)))
-        periods = batch.column("periods")
-        row, period = pc.list_parent_indices(periods), pc.list_flatten(periods)
-        order = {}
-        for p in pc.unique(period).to_pylist():
-            referenced = Bitmap.of(pc.filter(row, pc.equal(period, p)).to_numpy())
-            order[p] = referenced.andnot(parents).ordinals()
-        at = pa.array(np.concatenate([*order.values(), np.zeros(0, np.int64)]))
-        named = pa.array([p for p, o in order.items() for _ in range(len(o))], pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column("key").take(at), named], ["key", "period"])
-
-
-def dangling(references: DataFrame, parents: DataFrame) -> DataFrame:
-    """(key, period) of references (key binary, period string) whose key is in no row of parents (key binary)."""
-    refs = references.select("key", "period", F.lit(False).alias("parent"))
-    both = refs.unionByName(parents.select("key", F.lit(None).cast("string").alias("period"), F.lit(True).alias("parent")))
-    by = both.groupBy("key").agg(F.max("parent").alias("parent"), F.collect_set("period").alias("periods"))
-    return by.where(F.size("periods") > 0).mapInArrow(_survivors, "key binary, period string")
+        ranges = batch.column("range").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(ranges)) + 1).tolist(), len(ranges)]
+        for a, b in zip(cuts, cuts[1:]):
+            if b == a:
+                continue
+            if last is not None and ranges[a] != last:
+                yield from end()
+                held = _Range()
+            last = ranges[a]
+            part = batch.slice(a, b - a)
+            held.add(part.column("key").to_pylist(), part.column("parent").to_numpy(False).astype(bool), np.array(part.column("period").to_pylist(), object), part.column("at").to_numpy(False))
+    yield from end()
+
+
+def dangling(references: DataFrame, parents: DataFrame, keys: int) -> DataFrame:
+    """SURVIVOR rows: (key, period) of references (key, period, at) that are ``absent`` from parents (key, period, at), or
+    of which one is ``later``: earlier than all parents with its key. Keys are binary, periods sortable text, '' for no
+    time, at microseconds. ``keys``: about how many keys there are.
+    """
+    # leading bits of the key name its range
+    bits = min(28, max(0, (keys // RANGE_KEYS).bit_length()))
+    both = references.select("key", "period", "at", F.lit(False).alias("parent")).unionByName(parents.select("key", "period", "at", F.lit(True).alias("parent")))
+    by = both.groupBy("key", "parent", "period").agg(F.min("at").alias("at"))
+    of = F.shiftright(F.conv(F.substring(F.hex("key"), 1, 7), 16, 10).cast("int"), 28 - bits)
+    ranged = by.withColumn("range", of).repartition("range").sortWithinPartitions("range", "key")
+    return ranged.mapInArrow(_resolve, SURVIVOR)
 
 
 def orphan_references(tables: dict[str, DataFrame]) -> DataFrame:
@@ -55,42 +132,36 @@ def orphan_references(tables: dict[str, DataFrame]) -> DataFrame:
     Only current rows of the same table, entity_type and entity_id are looked up. reason: ``missing`` if none has the
     hash, else ``misplaced`` if none of those is the version before, else ``later`` if all of those were created after
     the row. month is that of the row's created_at. Unset hashes neither refer nor are found; null entity ids are one
-    entity; a row without version refers to no version, so it is misplaced if its hash exists; without created_at it is
-    never ``later`` and its month is null. Empty tables give no rows.
+    entity; a row without version is the version before of none and refers to none, so it is misplaced if its hash
+    exists; without created_at it is never ``later`` and its month is null. Empty tables give no rows.
     """
     rows = None
     for name, df in tables.items():
         part = df.select(F.lit(name).alias("table_name"), "id", "created_at", "entity_type", "entity_id", "version", normal_hash("hash").alias("h"), normal_hash("previous_hash").alias("p"))
         rows = part if rows is None else rows.unionByName(part)
     entity = ["table_name", "entity_type", "entity_id"]
+    known = F.col("version").isNotNull()
     keyed = rows.select(
         "table_name", "id", "created_at",
-        F.when(F.col("h").isNotNull(), _key(*entity, "h")).alias("own_hash"), F.when(F.col("h").isNotNull(), _key(*entity, "h", "version")).alias("own"),
-        F.when(F.col("p").isNotNull(), _key(*entity, "p")).alias("ref_hash"), F.when(F.col("p").isNotNull(), _key(*entity, "p", F.col("version") - 1)).alias("ref"),
+        F.when(F.col("h").isNotNull(), _key(*entity, "h")).alias("own_hash"), F.when(F.col("h").isNotNull() & known, _key(*entity, "h", "version")).alias("own"),
+        F.when(F.col("p").isNotNull(), _key(*entity, "p")).alias("ref_hash"), F.when(F.col("p").isNotNull() & known, _key(*entity, "p", F.col("version") - 1)).alias("ref"),
     )
     log = materialize(current_rows(keyed, *[F.col(c) for c in ("own_hash", "own", "ref_hash", "ref")], key=("table_name", "id")), "references")
+    n = log.count()
     month = F.date_format("created_at", "yyyy-MM")
-    refs = log.where(F.col("ref").isNotNull()).withColumn("month", month).withColumn("period", F.coalesce("month", F.lit("")))
-    # the version before is there and in time: that is nearly every row, and it is settled here
-    parents = log.where(F.col("own").isNotNull())
-    absent = dangling(refs.select(F.col("ref").alias("key"), "period"), parents.select(F.col("own").alias("key")))
-    unplaced = materialize(refs.join(absent.withColumnRenamed("key", "ref"), ["ref", "period"]).select("table_name", "id", "month", "period", "ref_hash"), "unplaced")
-    unknown = dangling(unplaced.select(F.col("ref_hash").alias("key"), "period"), parents.select(F.col("own_hash").alias("key")))
-    unknown = unknown.select(F.col("key").alias("ref_hash"), "period", F.lit(True).alias("gone"))
+    timed = log.select("*", month.alias("month"), F.coalesce(month, F.lit("")).alias("period"), F.unix_micros("created_at").alias("us"))
+    refs = timed.where(F.col("ref_hash").isNotNull())
+    known_at = F.coalesce("us", F.lit(_NO_TIME)).alias("at")
+
+    def found(ref: str, own: str, of: DataFrame) -> DataFrame:
+        """What dangles, by (``ref``, period)."""
+        wanted = of.where(F.col(ref).isNotNull()).select(F.col(ref).alias("key"), "period", F.coalesce("us", F.lit(2**62)).alias("at"))
+        return dangling(wanted, timed.where(F.col(own).isNotNull()).select(F.col(own).alias("key"), "period", known_at), n).withColumnRenamed("key", ref)
+
+    # nearly every row is settled here: the version before is there and in time
+    loose = refs.join(found("ref", "own", refs), ["ref", "period"], "left").where((F.col("finding") == ABSENT) | (F.col("us") < F.col("parent_at")) | F.col("ref").isNull())
+    loose = materialize(loose.select("table_name", "id", "month", "period", "us", "ref_hash", "finding"), "loose")
+    unplaced = loose.where(F.coalesce(F.col("finding") != LATER, F.lit(True)))
+    unknown = found("ref_hash", "own_hash", unplaced).where(F.col("finding") == ABSENT).select("ref_hash", "period", F.lit(True).alias("gone"))
     first = unplaced.join(unknown, ["ref_hash", "period"], "left").select("table_name", "id", F.when(F.col("gone"), F.lit("missing")).otherwise(F.lit("misplaced")).alias("reason"), "month")
-    return first.unionByName(_later(refs, parents))
-
-
-def _later(refs: DataFrame, parents: DataFrame) -> DataFrame:
-    """References to the version before that was created after the referring row.
-
-    Earliest times on both sides are aggregated by key first; only keys with a reference before the earliest parent are
-    joined back to rows.
-    """
-    known = F.coalesce("created_at", F.lit("0001-01-01 00:00:00").cast("timestamp"))  # a parent without time isn't after anything
-    sides = parents.select(F.col("own").alias("key"), known.alias("parent_at"), F.lit(None).cast("timestamp").alias("ref_at")).unionByName(
-        refs.select(F.col("ref").alias("key"), F.lit(None).cast("timestamp").alias("parent_at"), F.col("created_at").alias("ref_at"))
-    )
-    early = sides.groupBy("key").agg(F.min("parent_at").alias("parent_at"), F.min("ref_at").alias("ref_at")).where(F.col("ref_at") < F.col("parent_at"))
-    hit = refs.join(early.select(F.col("key").alias("ref"), "parent_at"), "ref").where(F.col("created_at") < F.col("parent_at"))
-    return hit.select("table_name", "id", F.lit("later").alias("reason"), "month")
+    return first.unionByName(loose.where(F.col("finding") == LATER).select("table_name", "id", F.lit("later").alias("reason"), "month"))

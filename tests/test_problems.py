@@ -444,3 +444,19 @@ def test_orphans_of_hostile_rows(spark):
     )
     expected = [("3", "missing", "2024-01"), ("4", "misplaced", "2024-01"), ("5", "later", "2024-01"), ("7", "missing", "2024-01"), ("9", "later", "2024-01"), ("10", "misplaced", "2024-01"), (None, "missing", "2024-01")]
     assert got(orphans.orphan_references({"t": df}).drop("table_name")) == want(expected)
+
+
+def test_references_without_versions_and_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(orphans, "RANGE_KEYS", 3)
+    e = {"entity_type": "t", "entity_id": "a"}
+    lost = record(spark, {"id": "1", "version": None, "hash": "x", "created_at": T0, **e}, {"id": "2", "version": None, "previous_hash": "x", "created_at": T0, **e}, {"id": "3", "version": 1, "hash": "y", "created_at": T0, **e}, {"id": "4", "version": None, "previous_hash": "y", "created_at": T0, **e})
+    assert got(orphans.orphan_references({"t": lost}).select("id", "reason")) == [("2", "misplaced"), ("4", "misplaced")]
+    import random
+
+    rng = random.Random(8)
+    values = []
+    for n in range(600):
+        v = rng.randint(1, 9)
+        values.append({"id": str(n % 550), "version": v, "hash": rng.choice(["", f"h{v}", f"h{v}-{n % 3}", None]), "previous_hash": rng.choice([None, f"h{v - 1}", f"h{v - 1}-{n % 3}", "h4", "gone"]), "created_at": T0 + timedelta(days=rng.randint(0, 200), seconds=n), "entity_type": "t", "entity_id": rng.choice("aaab")})
+    df = record(spark, *values)
+    assert got(orphans.orphan_references({"t": df})) == want(brute.p6("t", rows(df)))
