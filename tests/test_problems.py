@@ -330,7 +330,9 @@ def feed(spark, changes):
     return spark.createDataFrame([(n, "t", *c[:3], None, *c[3:5], None, c[5], None, c[6], "clash", "clash") for n, c in enumerate(changes)], FEED)
 
 
-def test_feed_semantics(spark):
+@pytest.mark.parametrize("hot", [10**9, 0])
+def test_feed_semantics(spark, monkeypatch, hot):
+    monkeypatch.setattr(change_feed, "HOT_ROWS", hot)
     t = lambda n: T0 + timedelta(minutes=n)
     changes = [
         ("a", 1, 0, 0, "", '{"x":{"y":1},"k":2.50,"é":"ü"}', t(0)), ("a", 2, 1, 0, "x.z", "5", t(9)), ("a", 2, 1, 0, "x.q", "6", t(3)),  # the delivery received last counts, though its path is another
@@ -345,10 +347,12 @@ def test_feed_semantics(spark):
     assert out == want([("a", "k", "2.50"), ("a", "x", "{}"), ("a", "é", '"ü"'), ("b", "p.q.s.t", "[1,{}]"), ("b", "p.n", "null"), ("e", "x", "3"), ("f", "", "{}"), ("g", "", "[]"), ("h", "x", "5")])
 
 
-def test_feed_in_any_order(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [10**9, 60, 0])
+def test_feed_in_any_order(spark, monkeypatch, hot):
     import random
 
     monkeypatch.setattr(change_feed, "BUCKET_ROWS", 40)
+    monkeypatch.setattr(change_feed, "HOT_ROWS", hot)
     rng = random.Random(3)
     changes = []
     for e in "abcd":
