@@ -6,11 +6,12 @@ scan). Latest and state-at-a-time are aggregates, not sorts: repeated and old ve
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.model import ENTITY
 from palimpsest.operators.diff import changes, explode_changes, history_changes
+from palimpsest.plans.blocks import Blocks, ranked
 from palimpsest.plans.registry import EntityType
 
 PAGE = 50
@@ -43,8 +44,7 @@ def state_at_time(df: DataFrame, at: str | Column, by: list[str] = ENTITY) -> Da
 
 def list_versions(df: DataFrame, limit: int = PAGE, offset: int = 0, ascending: bool = False, by: list[str] = ENTITY) -> DataFrame:
     """A page of each entity's versions, newest first; a limit of 0 or less is unlimited. The limit is the feature."""
-    order = F.col("version").asc() if ascending else F.col("version").desc()
-    rows = df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
+    rows = ranked(df, by, "version", ascending, "_n")
     page = (F.col("_n") > offset) & (F.lit(True) if limit <= 0 else F.col("_n") <= offset + limit)
     return rows.where(page).drop("_n")
 
@@ -64,14 +64,17 @@ def bulk_state_at_time(df: DataFrame, wanted: DataFrame, by: list[str] = ENTITY)
 def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, values: list[str], tie: str) -> DataFrame:
     """left with ``values`` of the right row that is the last at or before it; null if there is none.
 
-    One union, one window: no rows are paired. Of right rows at one time the greatest ``tie`` counts.
+    One union, one window: no rows are paired; long histories are cut at quantiles of their times. Of right rows at one
+    time the greatest ``tie`` counts; a right row without time comes before all others, a left one has only such.
     """
     carried = F.struct(*values)
     l = left.select("*", F.col(left_at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[tie].dataType).alias("_tie"), F.lit(None).cast(right.select(carried.alias("v")).schema["v"].dataType).alias("_v"))
     r = right.select(*by, F.col(right_at).alias("_at"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"), carried.alias("_v"))
-    w = Window.partitionBy(*by).orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    both = l.unionByName(r, allowMissingColumns=True).withColumn("_v", F.last("_v", ignorenulls=True).over(w))
-    return both.where("_side = 1").select(*left.columns, "_v.*")
+    b = Blocks(l.unionByName(r, allowMissingColumns=True), by, ["_at", "_side", "_tie"], slice_by="_at")
+    rows = b.rows.withColumn("_n", F.row_number().over(b.inside)).withColumn("_own", F.last("_v", ignorenulls=True).over(b.running))
+    rows = b.carry(rows, {"_end": F.max_by("_own", "_n")}, {"_prior": F.last("_end", ignorenulls=True)})
+    rows = rows.where("_side = 1").withColumn("_v", F.coalesce("_own", "_prior"))
+    return rows.select(*left.columns, "_v.*")
 
 
 def compare_versions(states: DataFrame, kind: EntityType, v1: int, v2: int, by: tuple[str, ...] = ("entity_id",)) -> DataFrame:
@@ -88,7 +91,7 @@ def find_changes(states: DataFrame, kind: EntityType, path: str, first: int | No
     """
     rows = states
     if first is not None:
-        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("version"))).where(F.col("_n") <= first)
+        rows = ranked(rows, list(by), "version", name="_n").where(F.col("_n") <= first).drop("_n")
     head = path.split(".", 1)[0]
     chosen = [f for f in kind.schema.fields if f.name == head]
     if chosen:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.model import ENTITY, FULL
 from palimpsest.operators.change_feed import rebuild_state
+from palimpsest.plans.blocks import Blocks
 
 
 def reconstruct(df: DataFrame, target: int | None = None) -> DataFrame:
@@ -27,14 +28,22 @@ def reconstruct(df: DataFrame, target: int | None = None) -> DataFrame:
 def compaction_plan(df: DataFrame, most: int = 50, by: list[str] = ENTITY) -> DataFrame:
     """df with ``compact``: true where a version that would be the ``most``-th delta in a row becomes full.
 
-    Closed form of the walk: inside each run of deltas after a full version, every ``most``-th row.
+    Closed form of the walk: inside each run of deltas after a full version, every ``most``-th row. Runs go on across
+    blocks of versions.
     """
-    w = Window.partitionBy(*by).orderBy("version")
+    b = Blocks(df, by, ["version"], dense="version")
     full = F.col("strategy") == FULL
-    rows = df.withColumn("_run", F.sum(full.cast("int")).over(w))
-    run = Window.partitionBy(*by, "_run").orderBy("version")
-    k = F.sum((~full).cast("int")).over(run)
-    return rows.withColumn("compact", ~full & (k % most == 0)).drop("_run")
+    rows = b.rows.withColumn("_deltas", F.sum((~full).cast("long")).over(b.running))
+    # deltas of the block up to its last full version so far
+    rows = rows.withColumn("_base", F.max(F.when(full, F.col("_deltas"))).over(b.running))
+    rows = b.carry(
+        rows,
+        {"_all": F.max("_deltas"), "_tail": F.max("_deltas") - F.max(F.when(full, F.col("_deltas")))},
+        {"_before": F.last("_upto"), "_mark": F.max(F.col("_upto") - F.col("_tail"))},
+        through={"_upto": F.sum("_all")},
+    )
+    since = F.when(F.col("_base").isNotNull(), F.col("_deltas") - F.col("_base")).otherwise(F.col("_deltas") + F.coalesce("_before", F.lit(0)) - F.coalesce("_mark", F.lit(0)))
+    return b.done(rows.withColumn("compact", ~full & (since % most == 0)), "compact")
 
 
 def compact(df: DataFrame, most: int = 50) -> DataFrame:
@@ -42,7 +51,3 @@ def compact(df: DataFrame, most: int = 50) -> DataFrame:
     rows = compaction_plan(df, most)
     delta = F.when(~F.col("compact"), F.col("delta"))
     return rows.withColumns({"strategy": F.when(F.col("compact"), FULL).otherwise(F.col("strategy")).cast("short"), "delta": delta}).drop("compact")
-
-
-def is_full(strategy: Column) -> Column:
-    return strategy == FULL
