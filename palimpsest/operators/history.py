@@ -3,8 +3,9 @@
 ``change_log`` reduces version records to slim raw changes (a 16-byte digest stands for the state). ``build_chains``
 orders them by entity and time across the whole cluster: the range partitioning cuts hot entities into pieces too, each
 task derives the periods inside its piece in one pass, and what is open at either end (two fragments a task at most) is
-stitched afterwards. ``rebuild_chains`` handles late and corrected rows: only the touched entities' raw changes are
-retrieved, all their periods built anew, and their chains replaced in one published step.
+stitched afterwards. ``rebuild_chains`` handles late and corrected rows: raw changes and chains lie in buckets of entities,
+so only the touched buckets' folders are read; the touched entities' raw changes are retrieved, all their periods built
+anew, and their chains replaced in one published step that writes these buckets only.
 """
 
 from __future__ import annotations
@@ -13,18 +14,19 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from palimpsest.functions import arrow, jsonval
 from palimpsest.operators.current import current_rows
-from palimpsest.sources.scratch import materialize, new_path, publish, read_snapshot
+from palimpsest.sources.scratch import BUCKET, buckets_of, materialize, materialize_buckets, new_path, publish_buckets, read_buckets, with_bucket
 
 ENTITY = ["entity_type", "entity_id"]
 PIECE = "entity_type string, entity_id string, first_version long, valid_from_us long, valid_to_us long, piece int, place int, first_state binary, second_us long, last_version long, last_us long, last_state binary"
 CHAIN = ["entity_type", "entity_id", "first_version", "valid_from_us", "valid_to_us"]
 OPEN = -1
+BUCKETS = 32  # of entities, in which raw changes and chains are kept
 
 
 @F.arrow_udf(BinaryType())
@@ -41,7 +43,8 @@ def change_log(df: DataFrame, entity_types: tuple[str, ...] | None, late: Column
     late = F.coalesce(late, F.lit(False)) if late is not None else F.lit(False)
     rows = df.select("id", "created_at", F.when(wanted, F.col("entity_type")).alias("entity_type"), F.when(wanted, F.col("entity_id")).alias("entity_id"), F.col("version").cast("long").alias("version"), wanted.alias("wanted"), late.alias("late"), _digests(F.when(wanted, F.col("data"))).alias("state"))
     rows = current_rows(rows, *[F.col(c) for c in (*ENTITY, "version", "wanted", "late", "state")]).where("wanted and created_at is not null")
-    return materialize(rows.select(*ENTITY, "version", "id", F.unix_micros("created_at").alias("us"), "state", "late"), "changes")
+    slim = rows.select(*ENTITY, "version", "id", F.unix_micros("created_at").alias("us"), "state", "late")
+    return materialize_buckets(with_bucket(slim, BUCKETS, *ENTITY), "changes")
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,13 +139,19 @@ def build_chains(log: DataFrame) -> DataFrame:
     return pieces.where("piece is null").select(*CHAIN).unionByName(rows)
 
 
-def rebuild_chains(chains: DataFrame, log: DataFrame, touched: DataFrame) -> DataFrame:
-    """The chains with those of the touched entities built anew from all their raw changes."""
-    keys = touched.select(*ENTITY).distinct()
+def rebuild_chains(chains: DataFrame, log: DataFrame, touched: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(rows, buckets): what the buckets of the touched entities hold once these entities' chains are built anew.
+
+    Raw changes and chains of other buckets are not read; inside the buckets only the touched entities' changes are used,
+    all of them, and the other entities' chains stay.
+    """
+    keys = materialize(touched.select(*ENTITY, BUCKET).distinct(), "touched")
+    buckets = buckets_of(keys)
     on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ENTITY]
-    raw = log.alias("a").join(keys.alias("b"), on[0] & on[1], "left_semi")
-    kept = chains.alias("a").join(keys.alias("b"), on[0] & on[1], "left_anti")
-    return kept.unionByName(build_chains(raw))
+    mine = F.col(BUCKET).isin(buckets)
+    raw = log.where(mine).alias("a").join(keys.alias("b"), on[0] & on[1], "left_semi")
+    kept = chains.where(mine).alias("a").join(keys.alias("b"), on[0] & on[1], "left_anti")
+    return kept.select(*CHAIN, BUCKET).unionByName(with_bucket(build_chains(raw), BUCKETS, *ENTITY)), buckets
 
 
 def history(df: DataFrame, entity_types: tuple[str, ...] | None = None, late_by: str = "1 hour", root: str | None = None) -> DataFrame:
@@ -158,6 +167,15 @@ def history(df: DataFrame, entity_types: tuple[str, ...] | None = None, late_by:
     spark = df.sparkSession
     root = root or new_path(spark, "history")
     log = change_log(df, entity_types, F.col("created_at") > F.col("metadata.timestamp") + F.expr(f"interval {late_by}"))
-    publish(build_chains(log.where("not late")), root)
-    publish(rebuild_chains(read_snapshot(spark, root), log, log.where("late")), root)
-    return read_snapshot(spark, root)
+    publish_buckets(with_bucket(build_chains(log.where("not late")), BUCKETS, *ENTITY), root)
+    apply_late(spark, root, log, log.where("late"))
+    return read_buckets(spark, root).select(*CHAIN)
+
+
+def apply_late(spark: SparkSession, root: str, log: DataFrame, delivery: DataFrame) -> int:
+    """Fold a delivery of late or corrected changes, which ``log`` holds too, into the published chains in one step.
+
+    Its cost grows with the buckets that the delivery touches; the others' files stay as they are.
+    """
+    rows, buckets = rebuild_chains(read_buckets(spark, root), log, delivery)
+    return publish_buckets(rows, root, replaced=buckets)

@@ -1,16 +1,20 @@
 """Tables written between the steps of an operator, and snapshots that appear all at once.
 
-Everything goes below the shared folder of ``spark.checkpoint.dir``; only where that is unset (tests, a single machine)
-an own folder is made. Written tables cut the lineage: a lost executor costs only the tasks it ran.
+Everything goes below the shared folder of ``spark.checkpoint.dir``; only where that is unset and all tasks run on this
+machine (tests) an own folder is made. Written tables cut the lineage: a lost executor costs only the tasks it ran.
 """
 
 from __future__ import annotations
 
 import atexit
+import json
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -18,6 +22,8 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.match(r"local(\[|$)", spark.conf.get("spark.master", "local")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
         spark.conf.set("spark.checkpoint.dir", at)
         _written.append((spark, at))
@@ -64,12 +70,15 @@ def publish(df: DataFrame, root: str) -> int:
     leaves the old one current. Two writers of one number: the second rename fails.
     """
     spark = df.sparkSession
-    number = (current(spark, root) or 0) + 1
-    data = f"{root}/data-{number:010d}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(data)
+    data = f"data-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(f"{root}/{data}")
+    return _point(spark, root, (current(spark, root) or 0) + 1, data)
+
+
+def _point(spark: SparkSession, root: str, number: int, text: str) -> int:
     fs, staged = _fs(spark, f"{root}/.staged-{uuid.uuid4().hex}")
     stream = fs.create(staged)
-    stream.write(bytearray(data.rsplit("/", 1)[1].encode()))
+    stream.write(bytearray(text.encode()))
     stream.close()
     _, final = _fs(spark, f"{root}/current-{number:010d}")
     if fs.exists(final) or not fs.rename(staged, final):
@@ -77,6 +86,71 @@ def publish(df: DataFrame, root: str) -> int:
     return number
 
 
+BUCKET = "_bucket"
+
+
+def with_bucket(df: DataFrame, buckets: int, *by: str | Column) -> DataFrame:
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int"))
+
+
+def materialize_buckets(df: DataFrame, name: str) -> DataFrame:
+    """``materialize`` in a folder for each bucket, so that a filter on BUCKET reads only its folders."""
+    path = new_path(df.sparkSession, name)
+    df.hint("rebalance", BUCKET).write.partitionBy(BUCKET).option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def buckets_of(df: DataFrame) -> list[int]:
+    """The buckets that rows lie in; no more than there are buckets."""
+    return sorted(r[0] for r in df.select(BUCKET).distinct().collect())
+
+
+def publish_buckets(df: DataFrame, root: str, replaced: list[int] | None = None, added: list[int] | None = None) -> int:
+    """Make rows (with BUCKET) part of a new snapshot in one step; only they are written.
+
+    ``replaced``: these buckets' older rows are no longer in the snapshot (None, without ``added``: all older rows).
+    ``added``: the rows come to these buckets' older ones. A snapshot is a list of parts with their live buckets, in its
+    pointer file, so what a publication costs grows with its rows and the buckets it replaces, not with the table.
+    """
+    spark = df.sparkSession
+    old = _manifest(spark, root) if current(spark, root) else None
+    part = uuid.uuid4().hex
+    df.hint("rebalance", BUCKET).write.partitionBy(BUCKET).option("compression", "zstd").parquet(f"{root}/part={part}")
+    parts = [] if old is None or (replaced is None and added is None) else [[p, [b for b in live if b not in set(replaced or ())]] for p, live in old["parts"]]
+    live = replaced if replaced is not None else added if added is not None else buckets_of(spark.read.schema(df.schema).parquet(f"{root}/part={part}"))
+    parts = [p for p in parts if p[1]] + ([[part, live]] if live else [])
+    return _point(spark, root, (current(spark, root) or 0) + 1, json.dumps({"parts": parts, "schema": df.schema.jsonValue()}))
+
+
+def _manifest(spark: SparkSession, root: str, number: int | None = None) -> dict:
+    return json.loads(_pointed(spark, root, number))
+
+
+def read_buckets(spark: SparkSession, root: str, number: int | None = None) -> DataFrame:
+    """The rows, with BUCKET, of a snapshot that ``publish_buckets`` made."""
+    manifest = _manifest(spark, root, number)
+    schema = StructType.fromJson(manifest["schema"])
+    fs, _ = _fs(spark, root)
+    paths = [p for part, live in manifest["parts"] for b in live if fs.exists(_fs(spark, p := f"{root}/part={part}/{BUCKET}={b}")[1])]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    whole = StructType([f for f in schema.fields if f.name != BUCKET]).add("part", StringType()).add(BUCKET, IntegerType())
+    return spark.read.schema(whole).option("basePath", root).parquet(*paths).select(*schema.fieldNames())
+
+
+def vacuum(spark: SparkSession, root: str, keep: int = 1) -> int:
+    """Delete parts that none of the last ``keep`` snapshots holds, and older pointers; returns how many parts went."""
+    names = _pointers(spark, root)
+    needed = {p for n in names[-keep:] for p, _ in _manifest(spark, root, int(n.split("-")[1]))["parts"]}
+    fs, p = _fs(spark, root)
+    for n in names[:-keep]:
+        fs.delete(_fs(spark, f"{root}/{n}")[1], False)
+    gone = [s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("part=") and s.getPath().getName()[5:] not in needed]
+    for x in gone:
+        fs.delete(x, True)
+    return len(gone)
+
+
 def _pointers(spark: SparkSession, root: str) -> list[str]:
     fs, p = _fs(spark, root)
     return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("current-")) if fs.exists(p) else []
@@ -87,15 +161,19 @@ def current(spark: SparkSession, root: str) -> int | None:
     return int(names[-1].split("-")[1]) if names else None
 
 
-def read_snapshot(spark: SparkSession, root: str, number: int | None = None) -> DataFrame:
-    """The rows of the newest (or the numbered) snapshot."""
+def _pointed(spark: SparkSession, root: str, number: int | None = None) -> str:
     names = _pointers(spark, root)
     if number is not None:
         names = [n for n in names if int(n.split("-")[1]) == number]
     if not names:
         raise FileNotFoundError(f"no snapshot in {root}")
     fs, p = _fs(spark, f"{root}/{names[-1]}")
-    reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(fs.open(p)))
-    data = reader.readLine()
+    reader = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(fs.open(p), "UTF-8"))
+    text = reader.readLine()
     reader.close()
-    return spark.read.parquet(f"{root}/{data}")
+    return text
+
+
+def read_snapshot(spark: SparkSession, root: str, number: int | None = None) -> DataFrame:
+    """The rows of the newest (or the numbered) snapshot."""
+    return spark.read.parquet(f"{root}/{_pointed(spark, root, number)}")

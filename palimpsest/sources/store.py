@@ -5,28 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.model import CHANGE, KEY, METADATA, RECORD, DuplicateVersion, NotFound, StorageError, cold_key
+from palimpsest.model import CHANGE, ENTITY, KEY, METADATA, RECORD, DuplicateVersion, NotFound, StorageError, cold_key
 from palimpsest.operators.lifecycle import union_tiers
-from palimpsest.sources.scratch import current, publish, read_snapshot
+from palimpsest.sources.scratch import BUCKET, buckets_of, current, materialize, publish_buckets, read_buckets, vacuum, with_bucket
 
 DRIVERS = {"postgresql": "org.postgresql.Driver", "mysql": "com.mysql.cj.jdbc.Driver", "clickhouse": "com.clickhouse.jdbc.ClickHouseDriver"}
 
 
 class VersionStore:
-    """Version records under one root; each write publishes a new snapshot in one step.
+    """Version records under one root, in buckets of entities; each write publishes a new snapshot in one step.
 
-    Key: entity_type, entity_id, version. Writers are one at a time: of two, the second to publish fails.
+    Key: entity_type, entity_id, version. An append writes the new rows only and looks for their keys in their buckets;
+    updates and deletions rewrite the buckets they touch. Writers are one at a time: of two, the second to publish fails.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def migrate(self) -> int:
         """Make the table if it isn't there; returns the snapshot's number."""
-        return current(self.spark, self.root) or publish(self.spark.createDataFrame([], RECORD), self.root)
+        return current(self.spark, self.root) or publish_buckets(self._bucketed(self.spark.createDataFrame([], RECORD)), self.root)
 
     def read(self, snapshot: int | None = None) -> DataFrame:
-        return read_snapshot(self.spark, self.root, snapshot)
+        return read_buckets(self.spark, self.root, snapshot).drop(BUCKET)
+
+    def _bucketed(self, df: DataFrame) -> DataFrame:
+        """As records are stored; what is missing is null, other columns stay out."""
+        return with_bucket(df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in RECORD.fields]), self.buckets, *ENTITY)
+
+    def _touched(self, rows: DataFrame) -> tuple[list[int], DataFrame]:
+        buckets = buckets_of(rows)
+        return buckets, read_buckets(self.spark, self.root).where(F.col(BUCKET).isin(buckets))
 
     def append(self, records: DataFrame, strict: bool = False) -> int:
         """Add records. Keys that are there already are left out, or (``strict``) nothing is written and it raises.
@@ -34,25 +43,41 @@ class VersionStore:
         Of several records with one key the one created first is kept.
         """
         self.migrate()
-        old = self.read()
-        rest = [c for c in records.columns if c not in KEY]
-        if strict and (records.groupBy(*KEY).count().where("count > 1").limit(1).count() or records.join(old, KEY, "left_semi").limit(1).count()):
+        rest = [f.name for f in RECORD.fields if f.name not in KEY]
+        one = self._bucketed(records).groupBy(*KEY, BUCKET).agg(F.min_by(F.struct(*rest), F.struct("created_at", "id")).alias("_r"), F.count("*").alias("_n"))
+        one = materialize(one.select(*KEY, "_r.*", BUCKET, "_n"), "append")
+        touched, old = self._touched(one)
+        known = one.select(*KEY, BUCKET, "_n").join(old.select(*KEY, BUCKET, F.lit(True).alias("_old")), [*KEY, BUCKET], "left")
+        if strict and known.where("_n > 1 or _old").limit(1).count():
             raise DuplicateVersion("a version is there already")
-        one = records.groupBy(*KEY).agg(F.min_by(F.struct(*rest), F.struct("created_at", "id")).alias("_r")).select(*KEY, "_r.*")
-        return publish(old.unionByName(one.join(old.select(*KEY), KEY, "left_anti"), allowMissingColumns=True), self.root)
+        new = one if strict else one.join(old.select(*KEY, BUCKET), [*KEY, BUCKET], "left_anti")
+        return publish_buckets(new.select(*RECORD.fieldNames(), BUCKET), self.root, added=touched)
 
     def update(self, records: DataFrame, columns: tuple[str, ...] = ("data", "hash", "previous_hash", "metadata", "strategy", "delta")) -> int:
         """Replace columns of existing records by key; raises if a key isn't there."""
-        old = self.read()
-        if records.join(old, KEY, "left_anti").limit(1).count():
-            raise NotFound("a version to update isn't there")
         columns = tuple(c for c in columns if c in records.columns)
-        new = records.select(*KEY, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_hit"))
-        joined = old.join(new, KEY, "left")
-        return publish(joined.select(*[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in old.columns]), self.root)
+        new = materialize(with_bucket(records.select(*KEY, *[F.col(c).alias(f"_new_{c}") for c in columns]), self.buckets, *ENTITY), "update")
+        touched, old = self._touched(new)
+        if new.join(old.select(*KEY, BUCKET), [*KEY, BUCKET], "left_anti").limit(1).count():
+            raise NotFound("a version to update isn't there")
+        joined = old.join(new.withColumn("_hit", F.lit(True)), [*KEY, BUCKET], "left")
+        out = joined.select(*[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in old.columns])
+        return publish_buckets(out, self.root, replaced=touched)
 
     def delete(self, condition: Column) -> int:
-        return publish(self.read().where(~F.coalesce(condition, F.lit(False))), self.root)
+        """Take out the records for which the condition is true."""
+        gone = F.coalesce(condition, F.lit(False))
+        touched = buckets_of(read_buckets(self.spark, self.root).where(gone))
+        return publish_buckets(read_buckets(self.spark, self.root).where(F.col(BUCKET).isin(touched) & ~gone), self.root, replaced=touched)
+
+    def tidy(self) -> int:
+        """Write each bucket that lies in several parts anew, in one."""
+        rows = read_buckets(self.spark, self.root)
+        return publish_buckets(rows, self.root, replaced=buckets_of(rows))
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete parts that only snapshots before the last ``keep`` hold."""
+        return vacuum(self.spark, self.root, keep)
 
 
 def jdbc_options(kind: str, url: str, table: str, **more: str) -> dict[str, str]:

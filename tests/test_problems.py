@@ -432,11 +432,29 @@ def test_rebuild_replaces_touched_chains_only(spark):
     log = history.change_log(df, None)
     chains = history.build_chains(log).withColumn("valid_to_us", F.when(F.col("entity_id") == "b", 77).otherwise(F.col("valid_to_us")))
     everything = history.change_log(df.unionByName(late), None)
-    out = history.rebuild_chains(chains, everything, late.select("entity_type", "entity_id"))
+    chains, touched = (history.with_bucket(x, history.BUCKETS, "entity_type", "entity_id") for x in (chains, late))
+    out, buckets = history.rebuild_chains(chains, everything, touched)
+    assert buckets == history.buckets_of(touched)
+    out = out.unionByName(chains.where(~F.col("_bucket").isin(buckets)))
     assert [r[:3] for r in periods(out.where("entity_id = 'a'"))] == [("a", 1, 0), ("a", 2, 5), ("a", 3, 2)]
     assert out.where("entity_id = 'b'").first().valid_to_us == 77
 
 
+def test_a_late_delivery_writes_its_buckets_only(spark):
+    df = chain(spark, *[(f"{e}{v}", f"e{e}", v, json.dumps({"x": v}), v, 0) for e in range(60) for v in range(3)])
+    late = chain(spark, ("new", "e7", 9, '{"x":"late"}', 1, 30))
+    root = new_path(spark, "chains")
+    log = history.change_log(df, None)
+    history.publish_buckets(history.with_bucket(history.build_chains(log), history.BUCKETS, "entity_type", "entity_id"), root)
+    before = history.read_buckets(spark, root)
+    everything = history.change_log(df.unionByName(late), None)
+    history.apply_late(spark, root, everything, everything.where("id = 'new'"))
+    after = history.read_buckets(spark, root)
+    assert len(set(after.inputFiles()) - set(before.inputFiles())) == 1 and len(set(before.inputFiles()) - set(after.inputFiles())) == 1
+    assert periods(after.where("entity_id <> 'e7'")) == periods(before.where("entity_id <> 'e7'"))
+    assert [r[1:3] for r in periods(after.where("entity_id = 'e7'"))] == [(0, 0), (2, 2), (9, 1)]
+
+
 def test_orphans_of_hostile_rows(spark):
     h = lambda n: T0 + timedelta(hours=n)
     e = {"entity_type": "t", "entity_id": "a"}

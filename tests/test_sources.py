@@ -40,6 +40,36 @@ def test_store(spark):
     assert store.read().count() == 1
 
 
+def test_an_append_writes_its_rows_only(spark):
+    store = VersionStore(spark, new_path(spark, "store"), buckets=8)
+    store.append(record(spark, *[(f"e{n}", 1) for n in range(40)]))
+    files = set(store.read().inputFiles())
+    store.append(record(spark, ("e3", 2)))
+    more = set(store.read().inputFiles())
+    assert files < more and len(more - files) == 1
+    store.update(record(spark, ("e3", 1), data="new"), ("data",))
+    touched = set(store.read().inputFiles())
+    assert len(touched - more) == 1 and len(more - touched) == 2 and store.read().count() == 41
+    store.delete(F.col("entity_id") == "nobody")
+    assert set(store.read().inputFiles()) == touched
+    store.tidy()
+    assert store.read().count() == 41 and store.vacuum() > 0 and store.read().count() == 41
+
+
+def test_no_local_folder_on_a_cluster(spark):
+    from palimpsest.sources import scratch
+
+    class Conf:
+        def get(self, name, default=None):
+            return {"spark.master": "spark://there:7077"}.get(name, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(RuntimeError):
+        scratch.shared_dir(Session())
+
+
 def test_tiers(spark):
     main, olap = VersionStore(spark, new_path(spark, "main")), VersionStore(spark, new_path(spark, "olap"))
     router = Router(main, olap)
