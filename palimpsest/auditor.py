@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,12 +12,13 @@ from palimpsest.functions.metadata import Context
 from palimpsest.model import ENTITY, HYBRID, ConfigurationError, NotFound, ValidationError
 from palimpsest.operators import integrity, query, reconstruct, redact
 from palimpsest.operators.guardrails import split_by_size, tenant_scope
-from palimpsest.operators.versioning import reject_invalid, version_batch
+from palimpsest.operators.versioning import payload, reject_invalid, version_batch
 from palimpsest.plans.hooks import Hooks
 from palimpsest.plans.migrations import Migrations
 from palimpsest.plans.registry import EntityType, Registry
 from palimpsest.sources.scratch import current, materialize
 from palimpsest.sources.store import VersionStore
+from palimpsest.streaming.monitor import Meter
 
 
 class Auditor:
@@ -25,6 +27,7 @@ class Auditor:
     def __init__(self, spark: SparkSession, root: str, strategy: int = HYBRID, interval: int = 10, chain: bool = True, max_entity: int = 0, max_metadata: int = 0):
         self.spark, self.store = spark, VersionStore(spark, root)
         self.registry, self.hooks, self.migrations = Registry(), Hooks(), Migrations()
+        self.meter = Meter()
         self.strategy, self.interval, self.chain = strategy, interval, chain
         self.max_entity, self.max_metadata = max_entity, max_metadata
         self.store.migrate()
@@ -35,8 +38,13 @@ class Auditor:
     def version(self, entity_type: str, states: DataFrame, context: Context | None = None, order: tuple[str, ...] = ("created_at",)) -> DataFrame:
         """Version the states (entity_id, state, created_at); returns the rows that were rejected, with ``error``.
 
-        One snapshot is published for all of them, or none.
+        One snapshot is published for all of them, or none. What is too large is refused before it is numbered: it is no
+        version and no later state is compared with it.
         """
+        with self.meter.span("audit.version", entity_type=entity_type):
+            return self._version(entity_type, states, context, order)
+
+    def _version(self, entity_type: str, states: DataFrame, context: Context | None, order: tuple[str, ...]) -> DataFrame:
         kind = self.registry.get(entity_type)
         if states is None:
             raise ValidationError("no states")
@@ -44,15 +52,18 @@ class Auditor:
         if "metadata" not in states.columns:
             states = states.withColumn("metadata", (context or Context()).metadata(F.col("created_at")))
         good, bad = reject_invalid(states)
+        large = None
+        if self.max_entity > 0 or self.max_metadata > 0:
+            good, large = split_by_size(good.withColumn("data", payload(kind, F.col("state"))), self.max_entity, self.max_metadata)
         latest = query.latest_versions(self.store.read().where(F.col("entity_type") == kind.name))
         stored = latest.select("entity_id", "version", F.from_json("data", kind.schema).alias("state"))
-        records = version_batch(good, kind, list(order), stored, self.strategy, self.interval)
-        kept, large = split_by_size(records, self.max_entity, self.max_metadata)
+        records = version_batch(good.drop("data"), kind, list(order), stored, self.strategy, self.interval)
         if self.chain:
-            kept = integrity.hash_chain(kept, latest.select(*ENTITY, "hash"))
-        self.store.append(materialize(kept, "versions"), strict=True)
-        errors = bad.select(F.lit(kind.name).alias("entity_type"), "entity_id", "error")
-        return errors.unionByName(large.select("entity_type", "entity_id", "error"))
+            records = integrity.hash_chain(records, latest.select(*ENTITY, "hash"))
+        with self.meter.span("audit.store.write", entity_type=entity_type):
+            self.store.append(materialize(records, "versions"), strict=True)
+        refused = bad if large is None else bad.unionByName(large, allowMissingColumns=True)
+        return refused.select(F.lit(kind.name).alias("entity_type"), "entity_id", "error")
 
     def records(self, entity_type: str | None = None, tenant: str | None = None) -> DataFrame:
         """All records the hooks and the tenant let through, migrated to the latest schema_version."""
@@ -101,8 +112,10 @@ class Auditor:
         return reconstruct.reconstruct(self.records(entity_type), version)
 
     def compact(self, most: int = 50) -> int:
-        rows = reconstruct.compaction_plan(self.store.read(), most).where("compact").drop("compact")
-        return self.store.update(rows.withColumns({"strategy": F.lit(0).cast("short"), "delta": F.lit(None).cast(rows.schema["delta"].dataType)}), ("strategy", "delta"))
+        rows = materialize(reconstruct.compaction_plan(self.store.read(), most).where("compact").drop("compact"), "compacted")
+        self.meter.record("audit.compaction.versions_merged", rows.count())
+        with self.meter.span("audit.compaction"):
+            return self.store.update(rows.withColumns({"strategy": F.lit(0).cast("short"), "delta": F.lit(None).cast(rows.schema["delta"].dataType)}), ("strategy", "delta"))
 
     def verify_integrity(self, entity_type: str | None = None, anchored: bool = False) -> DataFrame:
         if not self.chain:
@@ -120,11 +133,14 @@ class Auditor:
             self.store.update(integrity.hash_chain(done) if rechain else done, ("data", "delta", "hash", "previous_hash"))
         return n
 
-    def health(self) -> DataFrame:
-        """(name, healthy, error, millis) of the store."""
-        begun, error = time.time(), ""
-        try:
-            current(self.spark, self.store.root)
-        except Exception as e:
-            error = str(e)
-        return self.spark.createDataFrame([("store", not error, error, round(1000 * (time.time() - begun)))], "name string, healthy boolean, error string, millis long")
+    def health(self, **probes: Callable[[], object]) -> DataFrame:
+        """(name, healthy, error, millis) of the store and of further probes, which fail by raising or by saying False."""
+        rows = []
+        for name, probe in {"store": lambda: current(self.spark, self.store.root), **probes}.items():
+            begun, error = time.time(), ""
+            try:
+                error = "unhealthy" if probe() is False else ""
+            except Exception as e:
+                error = str(e)
+            rows.append((name, not error, error, round(1000 * (time.time() - begun))))
+        return self.spark.createDataFrame(rows, "name string, healthy boolean, error string, millis long")

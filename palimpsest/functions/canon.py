@@ -91,9 +91,13 @@ def strip_nul(c: Column) -> Column:
     return F.translate(c, "\0", "")
 
 
+def chain_parts(entity_type: Column, entity_id: Column, data: Column) -> tuple[Column, Column]:
+    """What a version's hash is taken of, before its version and between its version and the hash before."""
+    head = F.concat(F.lit('{"entity_type":'), json_string(entity_type), F.lit(',"entity_id":'), json_string(entity_id), F.lit(',"version":'))
+    return head, F.concat(F.lit(',"data":"'), base64(F.coalesce(data.cast("binary"), F.lit(b""))), F.lit('","previous_hash":'))
+
+
 def chain_payload(entity_type: Column, entity_id: Column, version: Column, data: Column, previous_hash: Column) -> Column:
     """What a version's hash is taken of. data goes in as base64; the first version's previous_hash as ''."""
-    return F.concat(
-        F.lit('{"entity_type":'), json_string(entity_type), F.lit(',"entity_id":'), json_string(entity_id), F.lit(',"version":'), version.cast("string"),
-        F.lit(',"data":"'), base64(F.coalesce(data.cast("binary"), F.lit(b""))), F.lit('","previous_hash":'), json_string(F.coalesce(previous_hash, F.lit(""))), F.lit("}"),
-    )
+    head, tail = chain_parts(entity_type, entity_id, data)
+    return F.concat(head, version.cast("string"), tail, json_string(F.coalesce(previous_hash, F.lit(""))), F.lit("}"))

@@ -113,21 +113,3 @@ class DuplicateVersion(StorageError):
 
 class NotFound(AuditError):
     pass
-
-
-class OperationTimeout(AuditError):
-    pass
-
-
-class TooLarge(AuditError):
-    def __init__(self, entity_type: str, size: int, limit: int):
-        super().__init__(f"{entity_type}: {size} bytes, at most {limit} are allowed")
-        self.entity_type, self.size, self.limit = entity_type, size, limit
-
-
-class EntityTooLarge(TooLarge):
-    pass
-
-
-class MetadataTooLarge(TooLarge):
-    pass

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.canon import chain_payload
+from palimpsest.functions.canon import chain_parts, chain_payload
 from palimpsest.model import ENTITY
 from palimpsest.plans.blocks import with_previous
 
@@ -19,11 +19,11 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     entity, previous = None, ""
     for batch in batches:
         hashes, before = [], []
-        for t, e, head, tail, seed in zip(*(batch.column(c).to_pylist() for c in ("entity_type", "entity_id", "_head", "_tail", "_seed"))):
+        for t, e, head, seed in zip(*(batch.column(c).to_pylist() for c in ("entity_type", "entity_id", "_head", "_seed"))):
             if (t, e) != entity:
                 entity, previous = (t, e), seed or ""
             before.append(previous)
-            previous = sha256((head + previous + tail).encode()).hexdigest()
+            previous = sha256(f'{head}{previous}"}}'.encode()).hexdigest()
             hashes.append(previous)
         keep = [n for n in batch.schema.names if not n.startswith("_")]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(hashes), pa.array(before)], [*keep, "hash", "previous_hash"])
@@ -36,14 +36,9 @@ def hash_chain(df: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
     fold streams over sorted partitions, so a long chain needs time but no memory.
     """
     rows = df.drop("hash", "previous_hash")
-    marker = "\x01"
-    payload = chain_payload(F.col("entity_type"), F.col("entity_id"), F.col("version"), F.col("data"), F.lit(marker))
-    parts = F.split(payload, "\\\\u0001")
+    head, tail = chain_parts(F.col("entity_type"), F.col("entity_id"), F.col("data"))
     joined = rows.withColumn("_seed", F.lit(None).cast("string")) if seeds is None else rows.join(seeds.select(*ENTITY, F.col("hash").alias("_seed")), ENTITY, "left")
-    size = F.size(parts)
-    # the marker stands at the end, so an id that holds it doesn't matter
-    head = F.array_join(F.slice(parts, F.lit(1), size - 1), "\\u0001")
-    ready = joined.withColumn("_head", head).withColumn("_tail", F.element_at(parts, -1)).repartition(*ENTITY).sortWithinPartitions(*ENTITY, "version")
+    ready = joined.withColumn("_head", F.concat(head, F.col("version").cast("string"), tail, F.lit('"'))).repartition(*ENTITY).sortWithinPartitions(*ENTITY, "version")
     kept = [f for f in ready.schema.fields if not f.name.startswith("_")]
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", hash string, previous_hash string"
     return ready.mapInArrow(_fold, out)

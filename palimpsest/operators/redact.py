@@ -9,15 +9,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from palimpsest.functions import arrow, jsonval
 
 REDACTED = "[REDACTED]"
 
 
+class _Number(str):
+    """A number as it was spelled."""
+
+
+def _refuse(name: str):
+    raise ValueError(name)
+
+
+_decode = json.JSONDecoder(parse_float=_Number, parse_int=_Number, parse_constant=_refuse).decode
+
+
+def _leaf(value) -> str:
+    return str(value) if isinstance(value, _Number) else json.dumps(value, ensure_ascii=False)
+
+
 def redact_json(text: str | None, path: str) -> str | None:
-    """The text with the member at the dotted path replaced; unchanged if there is none or it is no JSON object."""
+    """The text with the member at the dotted path replaced; unchanged if there is none or it is no JSON object.
+
+    Names come out sorted, numbers as they were spelled.
+    """
     try:
-        value = json.loads(text) if text else None
-    except (ValueError, RecursionError):
+        value = jsonval.load(text, _decode, (_Number, _Number)) if text else None
+    except ValueError:
         return text
     *head, tail = path.split(".")
     at = value
@@ -26,14 +45,14 @@ def redact_json(text: str | None, path: str) -> str | None:
     if not isinstance(at, dict) or tail not in at:
         return text
     at[tail] = REDACTED
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    return jsonval.spell(value, _leaf, True)
 
 
 def redact_text(c: Column | str, path: str) -> Column:
     """Rows whose text can't hold the member's name don't go to Python."""
     @F.arrow_udf(StringType())
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([redact_json(t, path) for t in texts.to_pylist()], pa.string())
+        return arrow.array([redact_json(t, path) for t in texts.to_pylist()], pa.string())
 
     c = F.col(c) if isinstance(c, str) else c
     name = path.rsplit(".", 1)[-1]
@@ -41,13 +60,6 @@ def redact_text(c: Column | str, path: str) -> Column:
     return F.when(hit, run(F.when(hit, c))).otherwise(c)
 
 
-def redact_member(c: Column, member: str) -> Column:
-    """The same for a top-level string, number or boolean member of flat canonical JSON, inside the JVM."""
-    name = '"' + member + '":'
-    pattern = "(" + "".join("\\" + x if not x.isalnum() else x for x in name) + r')("(?:[^"\\]|\\.)*"|[^,{}\[\]"]+)'
-    return F.regexp_replace(c, pattern, "$1" + json.dumps(REDACTED))
-
-
 def redact_field(df: DataFrame, path: str, deltas: bool = True) -> DataFrame:
     """All version records with the field's value replaced, in data and (``deltas``) in the changes that hold it.
 
@@ -66,6 +78,3 @@ def redact_field(df: DataFrame, path: str, deltas: bool = True) -> DataFrame:
 
 def count_redacted(before: DataFrame, path: str) -> int:
     return before.where(~redact_text("data", path).eqNullSafe(F.col("data"))).count()
-
-
-

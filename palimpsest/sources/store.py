@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions import arrow
 from palimpsest.model import CHANGE, ENTITY, KEY, METADATA, RECORD, DuplicateVersion, NotFound, StorageError, cold_key
 from palimpsest.operators.lifecycle import union_tiers
 from palimpsest.sources.scratch import BUCKET, buckets_of, current, materialize, publish_buckets, read_buckets, vacuum, with_bucket
@@ -130,6 +134,30 @@ class ColdStore:
         return self.spark.read.parquet(self.root).where((F.col("entity_type") == entity_type) & (F.col("key") == f"{entity_type}/{entity_id}/{version}")).select("data").distinct()
 
 
+OBJECT = "entity_type string, entity_id string, version long, data string"
+
+
+def _opener(compression: str | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column("content").to_pylist()
+            texts = [pa.input_stream(pa.py_buffer(x), compression=compression).read().decode() for x in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("entity_type", "entity_id", "version")] + [arrow.array(texts, pa.string())], ["entity_type", "entity_id", "version", "data"])
+
+    return run
+
+
+def read_objects(spark: SparkSession, root: str, entity_type: str = "*", entity_id: str = "*", version: int | str = "*", compression: str | None = None) -> DataFrame:
+    """OBJECT rows of single archived objects ``type/id/version`` of a bucket: each holds one payload, ``compression``: as it was put (zstd, gzip, ...).
+
+    What is named goes into the listing. Objects that can't be opened fail the read; names with other levels aren't seen.
+    """
+    parts = F.slice(F.split("path", "/"), -3, 3)
+    found = spark.read.format("binaryFile").load(f"{root}/{entity_type}/{entity_id}/{version}")
+    named = found.select(F.url_decode(parts[0]).alias("entity_type"), F.url_decode(parts[1]).alias("entity_id"), parts[2].try_cast("long").alias("version"), "content").where("version is not null")
+    return named.mapInArrow(_opener(compression), OBJECT)
+
+
 class Router:
     """Writes to the main store, and to the analytics store as far as it is up; reads from either or both."""
 

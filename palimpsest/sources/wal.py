@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import arrow
 from palimpsest.model import KEY, WALError
+from palimpsest.sources.scratch import BUCKET, current, materialize, publish_buckets, read_buckets, with_bucket
 
+# Fixed value: frames beyond this size end a file.
 LARGEST = 100 * 1024 * 1024
 ENTRY = "id string, record string, created_at string"
 
@@ -101,6 +103,44 @@ class FileLog:
         self._acks.close()
 
 
+class TableLog:
+    """A log as a staging table on shared storage: entries and acknowledgements, each write one published part.
+
+    Writers of either kind are one at a time. ``purge`` drops what is acknowledged.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+
+    def _write(self, name: str, rows: DataFrame, **how) -> None:
+        publish_buckets(with_bucket(rows, self.buckets, "id"), f"{self.root}/{name}", **({"added": list(range(self.buckets))} | how))
+
+    def _read(self, name: str, kind: str) -> DataFrame:
+        root = f"{self.root}/{name}"
+        return read_buckets(self.spark, root) if current(self.spark, root) else with_bucket(self.spark.createDataFrame([], kind), self.buckets, "id")
+
+    def append(self, entries: DataFrame) -> None:
+        """Entries (ENTRY) are stored when this returns."""
+        if entries.where(F.coalesce(F.trim("id"), F.lit("")) == "").limit(1).count():
+            raise WALError("an entry needs an id")
+        self._write("entries", entries.select("id", "record", "created_at"))
+
+    def ack(self, ids: DataFrame) -> None:
+        self._write("acks", ids.select("id"))
+
+    def replay(self) -> DataFrame:
+        """Entries that are not acknowledged; repeated ones once. Sort them by created_at to store them in order."""
+        entries, acks = self._read("entries", ENTRY), self._read("acks", "id string")
+        return entries.dropDuplicates(["id", BUCKET]).join(acks.select("id", BUCKET).distinct(), ["id", BUCKET], "left_anti").select("id", "record", "created_at")
+
+    def purge(self) -> int:
+        """Rewrite the log without acknowledged entries; returns how many are left."""
+        left = materialize(self.replay(), "replay")
+        self._write("entries", left, added=None)
+        self._write("acks", self.spark.createDataFrame([], "id string"), added=None)
+        return left.count()
+
+
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [(str(e.get("id", "")), json.dumps(e.get("record"), ensure_ascii=False), str(e.get("created_at", ""))) for raw in batch.column("content").to_pylist() for e in frames(raw)]

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import logging
 import threading
+import time
 from collections import Counter
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
@@ -38,6 +40,31 @@ class Monitor(StreamingQueryListener):
             log.error("a stream failed: %s", event.exception)
 
 
+class Meter:
+    """Durations and counters of operations. ``export`` gets each measure as it comes (name, value, tags)."""
+
+    def __init__(self, export: Callable[[str, float, dict], None] | None = None):
+        self.counts: Counter = Counter()
+        self.export = export
+
+    def record(self, name: str, value: float = 1.0, **tags) -> None:
+        self.counts[name] += value
+        if self.export:
+            self.export(name, value, tags)
+
+    @contextmanager
+    def span(self, name: str, **tags):
+        """Adds the seconds of what runs inside to ``name.duration``; a failure counts as ``name.error_total``."""
+        begun = time.time()
+        try:
+            yield
+        except Exception:
+            self.record(f"{name}.error_total", 1.0, **tags)
+            raise
+        finally:
+            self.record(f"{name}.duration", time.time() - begun, **tags)
+
+
 def buffered(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, every: str = "5 seconds") -> StreamingQuery:
     """Write micro-batches at most this often. A failed batch is tried again from the checkpoint; none is dropped.
 

@@ -9,50 +9,65 @@ from hashlib import sha256
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-VERSIONED = "entity_type string, entity_id string, id string, version long, strategy short, data string, created_at timestamp, hash string, previous_hash string"
+from palimpsest.functions.canon import chain_parts
+from palimpsest.model import FULL, HYBRID
+from palimpsest.operators.diff import CHANGE_TYPE
+from palimpsest.operators.versioning import DEFAULT_INTERVAL, stored_form, visible_fields
+from palimpsest.plans.registry import EntityType
+
+CHAINED = "entity_type string, entity_id string, id string, version long, data string, created_at timestamp, hash string, previous_hash string, previous_data string"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class _Versioner(StatefulProcessor):
     """Keeps of each entity its last version number, hash and payload."""
 
-    def __init__(self, interval: int):
-        self.interval = interval
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "version long, hash string, data string")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:  # noqa: N802
         version, previous, payload = tuple(self.last.get()) if self.last.exists() else (0, "", None)
-        # a micro-batch's rows of one entity come in any order
+        # a micro-batch's rows of one entity come in any order; the source's trigger options bound how many there are
         pending = pd.concat(list(rows)).sort_values(["created_at", "id"], kind="stable")
         out = []
         for row in pending.itertuples(index=False):
             if row.data == payload:
                 continue
             version += 1
-            own = sha256(f"{key[0]}\0{key[1]}\0{version}\0{row.data}\0{previous}".encode()).hexdigest()
-            strategy = 0 if version == 1 or version % self.interval == 1 else 1
-            out.append((key[0], key[1], row.id, version, strategy, row.data, row.created_at, own, previous))
+            own = sha256(f'{row.head}{version}{row.tail}"{previous}"}}'.encode()).hexdigest()
+            out.append((key[0], key[1], row.id, version, row.data, row.created_at, own, previous, payload))
             previous, payload = own, row.data
         self.last.update((version, previous, payload))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in VERSIONED.split(", ")])
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in CHAINED.split(", ")])
 
     def close(self) -> None:
         pass
 
 
-def version_stream(states: DataFrame, interval: int = 10, delay: str | None = None) -> DataFrame:
-    """Rows of VERSIONED for a stream of (entity_type, entity_id, id, data, created_at).
+def version_stream(states: DataFrame, kind: EntityType | None = None, interval: int = DEFAULT_INTERVAL, delay: str | None = None, default: int = HYBRID) -> DataFrame:
+    """Version records for a stream of (entity_type, entity_id, id, data, created_at), as the batch would write them.
 
-    Repeats of an id are dropped (within ``delay`` of event time, if given), states equal to the one before give no
-    version. Numbers and hash chain go on across micro-batches and restarts: they are in the state store.
+    Columns: entity_type, entity_id, id, version, strategy, data, delta, created_at, hash, previous_hash. Repeats of an id
+    are dropped (within ``delay`` of event time, if given); states equal to the one before and rows without data give no
+    version. Numbers and hash chain go on across micro-batches and restarts: they are in the state store. ``kind``: the
+    entities' type, whose schema the deltas follow; without it all versions are stored full.
     """
     states.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     once = states.withWatermark("created_at", delay).dropDuplicatesWithinWatermark(["id"]) if delay else states
-    return once.groupBy("entity_type", "entity_id").transformWithStateInPandas(_Versioner(interval), VERSIONED, "Append", "None")
+    head, tail = chain_parts(F.col("entity_type"), F.col("entity_id"), F.col("data"))
+    ready = once.where("data is not null").select("entity_type", "entity_id", "id", "data", "created_at", head.alias("head"), tail.alias("tail"))
+    chained = ready.groupBy("entity_type", "entity_id").transformWithStateInPandas(_Versioner(), CHAINED, "Append", "None")
+    if kind is None:
+        form = F.struct(F.lit(FULL).cast("short").alias("strategy"), F.lit(None).cast(CHANGE_TYPE).alias("delta"))
+    else:
+        shape = T.StructType(visible_fields(kind))
+        then, now = (F.from_json(c, shape) for c in ("previous_data", "data"))
+        form = stored_form(F.col("version"), then, now, shape, default, interval=interval)
+    formed = chained.withColumn("_form", form)
+    return formed.select("entity_type", "entity_id", "id", "version", "_form.strategy", "data", "_form.delta", "created_at", "hash", "previous_hash")
 
 
 def change_windows(events: DataFrame, at: str, width: str, slide: str | None = None, by: list[str] | None = None, delay: str = "10 minutes") -> DataFrame:

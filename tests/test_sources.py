@@ -9,15 +9,18 @@ from pyspark.sql import types as T
 from palimpsest import model
 from palimpsest.auditor import Auditor
 from palimpsest.functions.metadata import Context
-from palimpsest.plans.registry import tagged
+from palimpsest.operators import integrity, reconstruct, redact
+from palimpsest.plans.registry import EntityType, tagged
 from palimpsest.sources import wal
 from palimpsest.sources.scratch import new_path
-from palimpsest.sources.store import ColdStore, Router, VersionStore, decode, encode, jdbc_options
+from palimpsest.sources.store import ColdStore, Router, VersionStore, decode, encode, jdbc_options, read_objects
 from palimpsest.streaming import versioner
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = T.StructType([tagged("ID", T.StringType(), "id"), tagged("Name", T.StringType(), "tracked"), tagged("Age", T.LongType(), "tracked")])
 
+PERSON = EntityType("person", SCHEMA, "ID")
+
 
 def record(spark, *keys, data="{}"):
     rows = [(f"{e}-{v}", "t", e, v, 0, 1, data, "application/json", None, None, "", "", T0) for e, v in keys]
@@ -156,16 +159,85 @@ def test_versions_go_on_after_a_restart(spark):
     schema = "entity_type string, entity_id string, id string, data string, created_at timestamp"
 
     def run():
-        q = versioner.version_stream(spark.readStream.schema(schema).parquet(f"{at}/in/*"), interval=2)
+        q = versioner.version_stream(spark.readStream.schema(schema).parquet(f"{at}/in/*"), PERSON, interval=2)
         q.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/log").trigger(availableNow=True).start().awaitTermination()
 
-    _files(spark, f"{at}/in", [("t", "a", "1", "x", T0), ("t", "a", "2", "y", T0 + timedelta(1)), ("t", "b", "3", "x", T0)])
+    def state(e, n):
+        return f'{{"ID":"{e}","Name":"{n}","Age":1}}'
+
+    _files(spark, f"{at}/in", [("t", "a", "1", state("a", "x"), T0), ("t", "a", "2", state("a", "y"), T0 + timedelta(1)), ("t", "b", "3", state("b", "x<\n\u00e9"), T0), ("t", "b", "9", None, T0)])
     run()
-    spark.createDataFrame([("t", "a", "4", "y", T0 + timedelta(2)), ("t", "a", "5", "z", T0 + timedelta(3))], schema).coalesce(1).write.parquet(f"{at}/in/9")
+    spark.createDataFrame([("t", "a", "4", state("a", "y"), T0 + timedelta(2)), ("t", "a", "5", state("a", "z"), T0 + timedelta(3))], schema).coalesce(1).write.parquet(f"{at}/in/9")
     run()
-    out = spark.read.parquet(f"{at}/out").orderBy("entity_id", "version").collect()
+    stored = spark.read.parquet(f"{at}/out")
+    out = stored.orderBy("entity_id", "version").collect()
     assert [(r.entity_id, r.version, r.id, r.strategy) for r in out] == [("a", 1, "1", 0), ("a", 2, "2", 1), ("a", 3, "5", 0), ("b", 1, "3", 0)]
     assert out[0].previous_hash == "" and out[1].previous_hash == out[0].hash and out[2].previous_hash == out[1].hash
+    assert [tuple(c) for c in out[1].delta] == [("Name", '"x"', '"y"')] and out[2].delta is None
+    assert integrity.verify_chains(stored).where("ok").count() == 2  # the chain is the one the batch verifies
+    leaves = reconstruct.reconstruct(stored.withColumn("data", F.when(F.col("strategy") == 0, F.col("data"))), 2)
+    assert {(r.path, r.new_value) for r in leaves.where("entity_id = 'a'").collect()} == {("ID", '"a"'), ("Name", '"y"'), ("Age", "1")}
+    plain = versioner.version_stream(spark.readStream.schema(schema).parquet(f"{at}/in/*"))
+    plain.writeStream.format("memory").queryName("plain").option("checkpointLocation", f"{at}/log2").trigger(availableNow=True).start().awaitTermination()
+    assert {(r.strategy, r.delta) for r in spark.table("plain").collect()} == {(0, None)}
+
+
+def test_refused_states_leave_no_trace(spark):
+    """A state over the limit is not numbered, and the next state's delta leads from the version before it."""
+    audit = Auditor(spark, new_path(spark, "audit"), max_entity=60)
+    audit.register("person", SCHEMA)
+    refused = audit.version("person", people(spark, ("a", "x", 1, 0), ("a", "y" * 80, 2, 1), ("a", "x", 2, 2)))
+    assert [tuple(r) for r in refused.collect()] == [("person", "a", "entity too large")]
+    records = audit.list_versions("person", "a", ascending=True).orderBy("version").collect()
+    assert [(r.version, r.strategy) for r in records] == [(1, 0), (2, 1)] and [tuple(c) for c in records[1].delta] == [("Age", "1", "2")]
+    assert audit.verify_integrity().first().ok
+    leaves = audit.reconstruct("person")
+    assert {(r.path, r.new_value) for r in leaves.collect()} == {("ID", '"a"'), ("Name", '"x"'), ("Age", "2")}
+    assert audit.meter.counts["audit.version.duration"] > 0 and audit.meter.counts["audit.store.write.error_total"] == 0
+    probes = {r.name: (r.healthy, r.error) for r in audit.health(cache=lambda: False, queue=lambda: 1 / 0, olap=lambda: True).collect()}
+    assert probes["store"][0] and probes["olap"][0] and probes["cache"] == (False, "unhealthy") and "zero" in probes["queue"][1]
+
+
+def test_types_that_cannot_be_compared_are_stored_full(spark):
+    kind = T.StructType([tagged("ID", T.StringType(), "id"), tagged("Took", T.DayTimeIntervalType(), "tracked"), tagged("N", T.LongType(), "tracked")])
+    audit = Auditor(spark, new_path(spark, "audit"))
+    audit.register("odd", kind)
+    states = spark.createDataFrame([("a", ("a", timedelta(seconds=n), n), T0 + timedelta(minutes=n)) for n in range(3)], T.StructType([T.StructField("entity_id", T.StringType()), T.StructField("state", kind), T.StructField("created_at", T.TimestampType())]))
+    assert audit.version("odd", states).count() == 0
+    assert [(r.strategy, r.delta) for r in audit.get_latest("odd").collect()] == [(0, None)] and '"N":2' in audit.get_latest("odd").first().data
+
+
+def test_table_log(spark):
+    log = wal.TableLog(spark, new_path(spark, "log"), buckets=4)
+    assert log.replay().count() == 0
+    rows = lambda *ids: spark.createDataFrame([(i, "{}", "t") for i in ids], wal.ENTRY)
+    log.append(rows("1", "2", "3"))
+    log.append(rows("3", "4"))
+    log.ack(rows("1", "4"))
+    assert sorted(r.id for r in log.replay().collect()) == ["2", "3"]
+    with pytest.raises(model.WALError):
+        log.append(rows(""))
+    assert log.purge() == 2 and sorted(r.id for r in log.replay().collect()) == ["2", "3"]
+    log.append(rows("1"))
+    assert log.replay().count() == 3
+
+
+def test_objects_of_a_bucket(spark, tmp_path):
+    import gzip
+
+    for e, v, text in (("a", 1, '{"x":"é"}'), ("a", 2, "{}"), ("b", 1, "")):
+        (tmp_path / "t" / e).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "t" / e / str(v)).write_bytes(gzip.compress(text.encode()))
+    out = read_objects(spark, f"file://{tmp_path}", compression="gzip")
+    assert {tuple(r) for r in out.collect()} == {("t", "a", 1, '{"x":"é"}'), ("t", "a", 2, "{}"), ("t", "b", 1, "")}
+    assert read_objects(spark, f"file://{tmp_path}", "t", "a", 2, "gzip").first().data == "{}"
+
+
+def test_redaction_keeps_numbers(spark):
+    text = '{"b":1e400,"a":{"x":"secret","n":12345678901234567.123456789}}'
+    assert redact.redact_json(text, "a.x") == '{"a":{"n":12345678901234567.123456789,"x":"[REDACTED]"},"b":1e400}'
+    deep = '{"a":' * 3000 + "1" + "}" * 3000
+    assert redact.redact_json(deep, "a.a") == '{"a":{"a":"[REDACTED]"}}' and redact.redact_json("{bad", "a") == "{bad"
 
 
 def test_fan_out_isolates_subscribers(spark):
