@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from palimpsest.auditor import Auditor
 from palimpsest.functions import canon, metadata
 from palimpsest.model import ENTITY, strategy_name
 from palimpsest.operators import analytics, diff, guardrails, integrity, lifecycle, query, reconstruct, redact, versioning
@@ -18,6 +19,7 @@ from palimpsest.plans.migrations import Migrations
 from palimpsest.plans.registry import EntityType, tagged
 from palimpsest.sources import wal
 from palimpsest.sources.scratch import materialize, new_path
+from palimpsest.sources.store import ColdStore, Router, VersionStore
 from palimpsest.streaming import versioner
 
 USER = EntityType("user", T.StructType([tagged("ID", T.StringType(), "id"), tagged("Status", T.StringType(), "tracked"), tagged("Cents", T.LongType(), "tracked"), tagged("K", T.LongType(), "tracked")]), "ID")
@@ -165,12 +167,37 @@ def validated_strategy(spark, d):
     return rows.select("entity_id", "version", strategy_name(F.col("strategy")).alias("strategy"), F.coalesce(F.size("delta"), F.lit(0)).cast("long").alias("changes"), "data")
 
 
+_GUARDED = f"""{_U}, ok as (select *, row_number() over (partition by entity_id order by created_at, id) as n from u where strlen(data) <= 49), g as (select * replace (cast(n as bigint) as version) from ok)"""
+
+
+def _guarded(spark: SparkSession, d: str) -> Auditor:
+    """An auditor that refuses payloads of more than 49 bytes, which hits a third of the states or so."""
+    audit = Auditor(spark, new_path(spark, "guarded"), max_entity=49)
+    audit.register("user", USER.schema)
+    audit.version("user", users(spark, d).select("entity_id", "state", "created_at", "id"), order=("created_at", "id"))
+    return audit
+
+
+@_query(f"with {_GUARDED}, {_CHANGED.replace('from u window', 'from g window')}, n as (select entity_id, version, count(*) as n from ch group by all) select g.entity_id, g.version, case when g.version % 10 = 1 then 0 else 1 end as strategy, case when g.version % 10 = 1 then 0 else coalesce(n.n, 0) end as changes, g.data, true as ok from g left join n using (entity_id, version)")
+def guarded_versions(spark, d):
+    """Refused states are no versions: numbers have no holes, deltas lead from one accepted state to the next, chains hold."""
+    audit = _guarded(spark, d)
+    return audit.store.read().join(audit.verify_integrity().select("entity_id", "ok"), "entity_id").select("entity_id", "version", F.col("strategy").cast("int").alias("strategy"), F.coalesce(F.size("delta"), F.lit(0)).cast("long").alias("changes"), "data", "ok")
+
+
+@_query(f"with {_GUARDED}, t as (select * from g qualify row_number() over (partition by entity_id order by version desc) = 1) select entity_id, 'ID' as path, concat('\"', entity_id, '\"') as new_value from t union all select entity_id, 'Status', concat('\"', status, '\"') from t union all select entity_id, 'Cents', cast(cents as varchar) from t union all select entity_id, 'K', cast(k as varchar) from t")
+def guarded_reconstruct(spark, d):
+    """What is rebuilt from snapshots and deltas after refusals is the last accepted state."""
+    stored = _guarded(spark, d).store.read()
+    return reconstruct.reconstruct(stored.withColumn("data", F.when(F.col("strategy") == 0, F.col("data")))).select("entity_id", "path", "new_value")
+
+
 # differences
 
 
-@_query(f"with {_U}, {_CHANGED} select entity_id, version, path, old_value, new_value from ch")
+@_query(f"with {_U}, {_CHANGED} select entity_id, version, cast(row_number() over (partition by entity_id, version order by o) - 1 as integer) as position, path, old_value, new_value from ch")
 def field_changes(spark, d):
-    return diff.explode_changes(diff.history_changes(users(spark, d), USER), "entity_id", "version").drop("position")
+    return diff.explode_changes(diff.history_changes(users(spark, d), USER), "entity_id", "version")
 
 
 @_query(f"with {_U}, {_CHANGED} select entity_id, version, old_value, new_value from ch where path = 'Status'")
@@ -184,11 +211,76 @@ def find_changes_first50(spark, d):
 
 
 @_query(f"""with {_U}, a as (select * from u where version = 5), b as (select * from u where version = 40), j as (select b.*, a.status as s, a.cents as c, a.k as q from a join b using (entity_id))
-  select entity_id, 'Status' as path, concat('"', s, '"') as old_value, concat('"', status, '"') as new_value from j where s <> status
-  union all select entity_id, 'Cents', cast(c as varchar), cast(cents as varchar) from j where c <> cents
-  union all select entity_id, 'K', cast(q as varchar), cast(k as varchar) from j where q <> k""")
+  , ch as (select entity_id, 0 as o, 'Status' as path, concat('"', s, '"') as old_value, concat('"', status, '"') as new_value from j where s <> status
+  union all select entity_id, 1, 'Cents', cast(c as varchar), cast(cents as varchar) from j where c <> cents
+  union all select entity_id, 2, 'K', cast(q as varchar), cast(k as varchar) from j where q <> k)
+  select entity_id, cast(row_number() over (partition by entity_id order by o) - 1 as integer) as position, path, old_value, new_value from ch""")
 def compare_versions(spark, d):
-    return query.compare_versions(users(spark, d), USER, 5, 40).drop("position")
+    return query.compare_versions(users(spark, d), USER, 5, 40)
+
+
+_SHAPES = T.StructType(
+    [
+        tagged("ID", T.StringType(), "id"),
+        tagged("Terms", T.StructType([T.StructField("Status", T.StringType()), T.StructField("Urgency", T.StructType([T.StructField("Priority", T.StringType()), T.StructField("Rank", T.LongType())]))]), "tracked"),
+        tagged("Money", T.StructType([T.StructField("Cents", T.LongType())]), "tracked"),
+        tagged("Note", T.StringType(), "tracked"),
+        tagged("Tags", T.MapType(T.StringType(), T.LongType()), "tracked"),
+        tagged("Deep", T.MapType(T.StringType(), T.MapType(T.StringType(), T.StringType())), "tracked"),
+        tagged("Codes", T.ArrayType(T.LongType()), "tracked"),
+        tagged("Bag", T.ArrayType(T.LongType()), "tracked,normalized"),
+        tagged("Lines", T.ArrayType(T.StructType([T.StructField("N", T.LongType()), T.StructField("S", T.StringType())])), "tracked"),
+        tagged("Stamp", T.StructType([tagged("By", T.StringType(), "tracked"), tagged("Junk", T.StringType())]), "embedded"),
+        tagged("At", T.TimestampType(), "tracked"),
+        tagged("Hidden", T.StringType(), "ignore"),
+        tagged("Untracked", T.StringType()),
+    ]
+)
+_SHAPED = """l as (select *, lag(status) over w as p_status, lag(priority) over w as p_priority, lag(cents) over w as p_cents, lag(actor_id) over w as p_actor, lag(created_at) over w as p_at, version > 1 as known from c window w as (partition by entity_id order by version)),
+  ch as (select entity_id, version, 0 as o, 'Terms.Status' as path, '"' || p_status || '"' as old_value, '"' || status || '"' as new_value from l where known and p_status <> status
+    union all select entity_id, version, 1, 'Terms.Urgency.Priority', '"' || p_priority || '"', '"' || priority || '"' from l where known and p_priority <> priority
+    union all select entity_id, version, 2, 'Terms.Urgency.Rank', substr(p_priority, 1, 1), substr(priority, 1, 1) from l where known and substr(p_priority, 1, 1) <> substr(priority, 1, 1)
+    union all select entity_id, version, 3, case when p_cents % 5 = 0 or cents % 5 = 0 then 'Money' else 'Money.Cents' end,
+      case when p_cents % 5 = 0 then null when cents % 5 = 0 then '{"Cents":' || p_cents || '}' else p_cents::varchar end, case when cents % 5 = 0 then null when p_cents % 5 = 0 then '{"Cents":' || cents || '}' else cents::varchar end
+      from l where known and not (p_cents % 5 = 0 and cents % 5 = 0) and (p_cents <> cents or p_cents % 5 = 0 or cents % 5 = 0)
+    union all select entity_id, version, 4, 'Note', x, y from (select *, case when p_cents % 3 > 0 then '"' || p_status || '"' end as x, case when cents % 3 > 0 then '"' || status || '"' end as y from l) where known and x is distinct from y
+    union all select entity_id, version, 5, 'Tags.' || status, case when p_status = status then (p_cents % 4)::varchar end, (cents % 4)::varchar from l where known and (p_status <> status or p_cents % 4 <> cents % 4)
+    union all select entity_id, version, 5, 'Tags.' || p_status, (p_cents % 4)::varchar, null from l where known and p_status <> status
+    union all select entity_id, version, 6, 'Deep.' || status || '.p', '"' || p_priority || '"', '"' || priority || '"' from l where known and p_status = status and p_priority <> priority
+    union all select entity_id, version, 6, 'Deep.' || status, null, '{"p":"' || priority || '"}' from l where known and p_status <> status
+    union all select entity_id, version, 6, 'Deep.' || p_status, '{"p":"' || p_priority || '"}', null from l where known and p_status <> status
+    union all select entity_id, version, 7, 'Codes', x, y from (select *, '[' || p_cents % 2 || ',' || p_cents % 3 || ']' as x, '[' || cents % 2 || ',' || cents % 3 || ']' as y from l) where known and x <> y
+    union all select entity_id, version, 8, 'Bag', x, y from (select *, '[' || least(p_cents % 2, p_cents % 3) || ',' || greatest(p_cents % 2, p_cents % 3) || ']' as x, '[' || least(cents % 2, cents % 3) || ',' || greatest(cents % 2, cents % 3) || ']' as y from l) where known and x <> y
+    union all select entity_id, version, 9, 'Lines', x, y from (select *, case when p_cents % 7 > 0 then '[{"N":' || p_cents % 4 || ',"S":"' || p_status || '"}]' else '[]' end as x, case when cents % 7 > 0 then '[{"N":' || cents % 4 || ',"S":"' || status || '"}]' else '[]' end as y from l) where known and x <> y
+    union all select entity_id, version, 10, 'By', '"' || p_actor || '"', '"' || actor_id || '"' from l where known and p_actor <> actor_id
+    union all select entity_id, version, 11, 'At', strftime(p_at, '"%Y-%m-%dT%H:%M:%SZ"'), strftime(created_at, '"%Y-%m-%dT%H:%M:%SZ"') from l where known and p_at <> created_at)"""
+
+
+def _shaped(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as versions of a customer with fields of every kind."""
+    cents, status, priority = F.col("cents"), F.col("status"), F.col("priority")
+    pair = F.array(cents % 2, cents % 3)
+    values = {
+        "ID": F.col("entity_id"), "Terms": F.struct(status, F.struct(priority, F.substring(priority, 1, 1).cast("long"))), "Money": F.when(cents % 5 != 0, F.struct(cents)), "Note": F.when(cents % 3 > 0, status), "Tags": F.create_map(status, cents % 4),
+        "Deep": F.create_map(status, F.create_map(F.lit("p"), priority)), "Codes": pair, "Bag": F.when(F.col("version") % 2 == 0, F.reverse(pair)).otherwise(pair), "Lines": F.when(cents % 7 > 0, F.array(F.struct((cents % 4).alias("N"), status.alias("S")))).otherwise(F.array().cast(_SHAPES["Lines"].dataType)),
+        "Stamp": F.struct(F.col("actor_id"), F.col("id")), "At": F.col("created_at"), "Hidden": F.col("id"), "Untracked": F.col("id"),
+    }
+    return customers(spark, d).select("entity_id", "version", F.struct(*[values[f.name].cast(f.dataType).alias(f.name) for f in _SHAPES.fields]).alias("state"))
+
+
+@_query(f"with {_C}, {_SHAPED} select entity_id, version, cast(row_number() over (partition by entity_id, version order by o, path) - 1 as integer) as position, path, old_value, new_value from ch")
+def nested_changes(spark, d):
+    """Differences of structs in structs, null structs and values, maps, maps of maps, lists, lists without order, embedded fields and times."""
+    return diff.explode_changes(diff.history_changes(_shaped(spark, d), EntityType("customer", _SHAPES, "ID")), "entity_id", "version")
+
+
+@_query(f"with {_C} select entity_id, version, true as same from c where version > 1")
+def applied_changes(spark, d):
+    """Each state's delta, applied to the state before, leads to the state (in what is compared; the rest stays as it was)."""
+    rows = diff.history_changes(_shaped(spark, d), EntityType("customer", _SHAPES, "ID")).where("version > 1")
+    reached = diff.apply(F.col("previous"), F.col("delta"), _SHAPES)
+    seen = lambda c: F.struct(*[(c["Stamp"]["By"] if f.name == "Stamp" else F.array_sort(c["Bag"]) if f.name == "Bag" else canon.json_text(c[f.name], f.dataType)).alias(f.name) for f in _SHAPES.fields if f.name not in ("Hidden", "Untracked")])
+    return rows.select("entity_id", "version", (seen(reached) == seen(F.col("state"))).alias("same"))
 
 
 # actors and tenants
@@ -225,9 +317,11 @@ def hash_chain(spark, d):
     return _chained(spark, d).select("entity_id", "version", "hash", "previous_hash")
 
 
-@_query(f"with {_U} select distinct entity_id, true as ok from u")
+@_query(f"with {_U} select entity_id, bool_and(not (cast(entity_id as bigint) % 3 = 0 and version = 20)) as ok from u group by 1")
 def verify_chain(spark, d):
-    return integrity.verify_chains(_chained(spark, d)).select("entity_id", "ok")
+    """Chains are computed, the payload of one version of each third entity is changed, and all are verified."""
+    changed = (F.col("entity_id").cast("long") % 3 == 0) & (F.col("version") == 20)
+    return integrity.verify_chains(_chained(spark, d).withColumn("data", F.when(changed, F.concat("data", F.lit(" "))).otherwise(F.col("data")))).select("entity_id", "ok")
 
 
 @_query(f"""with {_U}, t as (select entity_id, min(version) filter (version % 17 = 5 and k % 3 = 0) as d, min(version) filter (version % 23 = 7 and k % 2 = 0) as p from u group by 1)
@@ -268,6 +362,13 @@ def redact_field(spark, d):
     return redact.redact_field(users(spark, d).select("entity_id", "version", "data"), "Status")
 
 
+@_query(f"""with {_U}, {_CHANGED} select entity_id, version, path, case when path = 'Status' then '"[REDACTED]"' else old_value end as old_value, case when path = 'Status' then '"[REDACTED]"' else new_value end as new_value from ch""")
+def redact_deltas(spark, d):
+    """Redaction reaches the changes that deltas hold."""
+    rows = diff.history_changes(users(spark, d), USER).select("entity_id", "version", "data", "delta")
+    return diff.explode_changes(redact.redact_field(rows, "Status"), "entity_id", "version").drop("position")
+
+
 @_query(f"""with {_U} select id, case when lower(concat('X-Auth-', actor_type)) like '%auth%' then '[REDACTED]' end as auth, tenant_id as tenant, '[REDACTED]' as api, status as note from u""")
 def sanitize_metadata(spark, d):
     custom = F.create_map(F.concat(F.lit("X-Auth-"), F.col("actor_type")), F.col("actor_id"), F.lit("tenant_id"), F.col("tenant_id"), F.lit("My_API_KEY"), F.col("id"), F.lit("note"), F.col("status"))
@@ -335,6 +436,48 @@ def migrate_v1_to_v3(spark, d):
     return steps.read(users(spark, d).select("id", "entity_type", "version", stored.alias("schema_version"), "data")).select("id", "schema_version", "data")
 
 
+@_query(f"with {_U} select id from u where substr(id, 4)::bigint % 3 = 0")
+def wal_table_replay(spark, d):
+    """A staging-table log: entries in two appends, acknowledgements in one, what is open is replayed."""
+    log = wal.TableLog(spark, new_path(spark, "log"))
+    rows = users(spark, d).select("id", F.to_json(F.struct("entity_id", "version")).alias("record"), F.col("created_at").cast("string").alias("created_at"))
+    log.append(rows.where("version % 2 = 0"))
+    log.append(rows.where("version % 2 = 1"))
+    log.ack(rows.where("cast(substring(id, 4) as long) % 3 <> 0"))
+    return log.replay().select("id")
+
+
+@_query(f"""with {_U} select entity_id, version, data from u where version in (1, 20)""")
+def cold_reads(spark, d):
+    """Payloads archived by key come back as they went."""
+    cold = ColdStore(spark, new_path(spark, "cold"))
+    rows = users(spark, d)
+    cold.put(rows.select("entity_type", "entity_id", "version", "data"))
+    return cold.read().where("version in (1, 20)").select("entity_id", "version", "data")
+
+
+@_query(f"""with {_U} select entity_id, version, case when version % 5 = 0 then 'analytics' else 'main' end as tier from u""")
+def tiers_union(spark, d):
+    """One view over two stores that overlap: a version that both hold comes from the main one."""
+    rows = users(spark, d).select("id", "entity_type", "entity_id", "version", "created_at")
+    main, olap = VersionStore(spark, new_path(spark, "main")), VersionStore(spark, new_path(spark, "olap"))
+    main.append(rows.where("version % 5 <> 0").withColumn("data", F.lit("main")))
+    olap.append(rows.where("version % 5 = 0 or version % 2 = 0").withColumn("data", F.lit("analytics")))
+    return Router(main, olap).read().select("entity_id", "version", F.col("data").alias("tier"))
+
+
+@_query(f"""with {_U} select entity_id, version, case when version % 4 = 1 then 'changed' else data end as data from u where version % 7 <> 0""")
+def store_writes(spark, d):
+    """Appends that repeat records, an update and a deletion, each of which writes only what it touches."""
+    store = VersionStore(spark, new_path(spark, "store"))
+    rows = users(spark, d).select("id", "entity_type", "entity_id", "version", "created_at", "data")
+    store.append(rows.where("version <= 40"))
+    store.append(rows.where("version > 30").withColumn("data", F.when(F.col("version") <= 40, "again").otherwise(F.col("data"))))
+    store.update(rows.where("version % 4 = 1").withColumn("data", F.lit("changed")), ("data",))
+    store.delete(F.col("version") % 7 == 0)
+    return store.read().select("entity_id", "version", "data")
+
+
 # analytics
 
 
@@ -343,9 +486,9 @@ def changes_per_day(spark, d):
     return analytics.changes_per_day(_table(spark, d, "audit_versions"), ["entity_type"])
 
 
-@_query("select metadata.actor_id as actor_id, count(*) as changes from audit_versions group by 1")
+@_query("select metadata.actor_id as actor_id, count(*) as changes, min(epoch_us(created_at)) as first_us, max(epoch_us(created_at)) as last_us from audit_versions group by 1")
 def changes_by_actor(spark, d):
-    return analytics.changes_by_actor(_table(spark, d, "audit_versions")).select("actor_id", "changes")
+    return analytics.changes_by_actor(_table(spark, d, "audit_versions")).select("actor_id", "changes", F.unix_micros("first_at").alias("first_us"), F.unix_micros("last_at").alias("last_us"))
 
 
 @_query("select entity_type, count(distinct entity_id) as entities from audit_versions group by 1")
@@ -359,6 +502,27 @@ def changes_rollup(spark, d):
     return analytics.changes_rollup(rows, "entity_type", "strategy", "source")
 
 
+@_query("select entity_type, metadata.source as source, count(*) as changes, cast(grouping_id(entity_type, metadata.source) as bigint) as grouping_id from audit_versions group by cube (entity_type, metadata.source)")
+def changes_cube(spark, d):
+    rows = _table(spark, d, "audit_versions").select("entity_type", F.col("metadata.source").alias("source"))
+    return analytics.changes_cube(rows, "entity_type", "source")
+
+
+@_query("""with w as (select event_type, unnest([time_bucket(interval 30 minute, ts), time_bucket(interval 30 minute, ts) - interval 30 minute]) as s from events)
+  select event_type, epoch_us(s) as from_us, count(*) as changes from w group by all""")
+def sliding_windows(spark, d):
+    out = versioner.change_windows(_table(spark, d, "events"), "ts", "1 hour", "30 minutes", by=["event_type"])
+    return out.select("event_type", F.unix_micros("window_start").alias("from_us"), "changes")
+
+
+@_query("""with g as (select user_id, ts, case when ts - lag(ts) over w < interval 6 hour then 0 else 1 end as begins from events window w as (partition by user_id order by ts)),
+  s as (select *, sum(begins) over (partition by user_id order by ts rows unbounded preceding) as n from g)
+  select user_id, epoch_us(min(ts)) as from_us, epoch_us(max(ts) + interval 6 hour) as to_us, count(*) as changes from s group by user_id, n""")
+def change_sessions(spark, d):
+    out = versioner.sessions(_table(spark, d, "events"), "ts", "6 hours", ["user_id"])
+    return out.select("user_id", F.unix_micros("session_start").alias("from_us"), F.unix_micros("session_end").alias("to_us"), "changes")
+
+
 # streams
 
 
@@ -379,15 +543,22 @@ def _drain(spark: SparkSession, out: DataFrame, mode: str = "append") -> DataFra
     return spark.read.schema(out.schema).parquet(f"{at}/rows")
 
 
-@_query(f"""with {_U}, g as (select *, lag(data) over (partition by entity_id order by created_at, id) as before from u), n as (select * from g where before is null or before <> data)
-  select entity_id, id, cast(row_number() over (partition by entity_id order by created_at, id) as bigint) as version from n""")
+_STREAMED = f"""{_U}, x as (select *, lag(data) over (partition by entity_id order by created_at, id) as before from u), v as (select * replace (cast(row_number() over (partition by entity_id order by created_at, id) as bigint) as version) from x where before is null or before <> data)"""
+
+
+@_query(f"""with recursive {_STREAMED}, {_CHANGED.replace('from u window', 'from v window')}, n as (select entity_id, version, count(*) as n from ch group by all),
+  h as (select entity_id, id, version, sha256(concat('{{"entity_type":"user","entity_id":"', entity_id, '","version":1,"data":"', to_base64(data::blob), '","previous_hash":""}}')) as hash, '' as previous_hash from v where version = 1
+  union all select v.entity_id, v.id, v.version, sha256(concat('{{"entity_type":"user","entity_id":"', v.entity_id, '","version":', cast(v.version as varchar), ',"data":"', to_base64(v.data::blob), '","previous_hash":"', h.hash, '"}}')), h.hash
+  from h join v on v.entity_id = h.entity_id and v.version = h.version + 1)
+  select h.entity_id, h.id, h.version, case when h.version % 10 = 1 then 0 else 1 end as strategy, case when h.version % 10 = 1 then 0 else coalesce(n, 0) end as changes, hash, previous_hash from h left join n using (entity_id, version)""")
 def stream_versions(spark, d):
-    """Stateful versioning of the event stream; numbers equal those of the batch."""
+    """Stateful versioning of the event stream: numbers, strategies, deltas and hash chain are those of the batch."""
     e = _stream(spark, d, "events")
     cents = _text(F.round(F.col("value") * 100).cast("long"))
     data = F.concat(F.lit('{"ID":"'), _text("user_id"), F.lit('","Status":"'), F.col("event_type"), F.lit('","Cents":'), cents, F.lit(',"K":'), F.regexp_extract("props", "([0-9]+)", 1), F.lit("}"))
     states = e.select(F.lit("user").alias("entity_type"), _text("user_id").alias("entity_id"), F.concat(F.lit("ev-"), _text("event_id")).alias("id"), data.alias("data"), F.col("ts").cast("timestamp").alias("created_at"))
-    return _drain(spark, versioner.version_stream(states)).select("entity_id", "id", "version")
+    out = _drain(spark, versioner.version_stream(states, USER))
+    return out.select("entity_id", "id", "version", F.col("strategy").cast("int").alias("strategy"), F.coalesce(F.size("delta"), F.lit(0)).cast("long").alias("changes"), "hash", "previous_hash")
 
 
 @_query("""with w as (select event_type, time_bucket(interval 1 hour, ts) as s, count(*) as changes, max(ts) as m from events group by all)

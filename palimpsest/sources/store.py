@@ -129,6 +129,14 @@ class ColdStore:
         key = cold_key(F.col("entity_type"), F.col("entity_id"), F.col("version"))
         records.select("entity_type", key.alias("key"), "data").write.partitionBy("entity_type").option("compression", self.compression).mode("append").parquet(self.root)
 
+    def read(self) -> DataFrame:
+        """(entity_type, entity_id, version, data) of all payloads; those archived more than once come once."""
+        rows = self.spark.read.parquet(self.root).dropDuplicates(["entity_type", "key"])
+        # an id may hold slashes, the type's length is known and the version is last
+        rest = F.substring(F.col("key"), F.length("entity_type") + 2, F.length("key"))
+        version = F.substring_index(rest, "/", -1)
+        return rows.select("entity_type", F.substring(rest, F.lit(1), F.length(rest) - F.length(version) - 1).alias("entity_id"), version.cast("long").alias("version"), "data")
+
     def get(self, entity_type: str, entity_id: str, version: int) -> DataFrame:
         """The payload; the type prunes partitions, the key row groups."""
         return self.spark.read.parquet(self.root).where((F.col("entity_type") == entity_type) & (F.col("key") == f"{entity_type}/{entity_id}/{version}")).select("data").distinct()
