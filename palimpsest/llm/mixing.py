@@ -108,32 +108,64 @@ def route(patterns: dict[tuple[str, ...], float], targets: dict[str, tuple[float
     return total, solve(total)[1]
 
 
-def _settle(drawn: DataFrame, quota: dict[str, float], rounds: int = 4) -> DataFrame:
-    """drawn with one use of a document more or less where that brings a source closer to its quota.
+def memberships(documents: DataFrame, targets: DataFrame, by: str) -> DataFrame:
+    """documents with ``sources``: the listed sources of all documents with the same ``by``; a null ``by`` stands alone.
 
-    The draw misses a quota by half of the text at its edge, which may be long. Each round a source takes the text whose
-    length is nearest to what is missing (or over), the least used first; the driver sees a row a source.
+    A text that was published in several places can so serve each of them.
+    """
+    listed = [r.key for r in targets.select(source_key("source").alias("key")).where("key is not null").distinct().collect()]
+    key = source_key("source")
+    mine = F.when(key.isin(*listed), key)
+    # at most as many as there are targets
+    groups = documents.where(F.col(by).isNotNull()).groupBy(by).agg(F.collect_set(mine).alias("_all"))
+    return documents.join(groups, by, "left").withColumn("sources", F.coalesce("_all", F.array(mine))).drop("_all")
+
+
+MOST_STEPS = 1_000  # texts of a source that the driver takes in one round
+
+
+def _settle(drawn: DataFrame, quota: dict[str, float]) -> DataFrame:
+    """drawn with one use of some documents more or less where that brings a source closer to its quota.
+
+    The draw misses a quota by half of the text at its edge, which may be long. Each round a source takes the texts whose
+    length is nearest to what is missing (or over), the least used first, as many as fit; rounds go on until no text
+    brings any source closer. The driver sees these texts only. A text serves a source at most as often as the source
+    allows, and in all at most as often as the most generous of its sources.
     """
-    key = ["key", "pattern", "before"]  # running sums tell texts of a pattern apart
     change: dict[tuple, int] = {}
     sums = {r.key: r.n for r in drawn.groupBy("key").agg(F.sum(F.col("repeats") * F.col("n_tokens")).alias("n")).collect()}
     out = drawn
-    for _ in range(rounds):
-        miss = {k: q - sums.get(k, 0) for k, q in quota.items()}
-        near = F.abs(F.col("n_tokens") - F.abs(F.col("miss")))
-        add = (F.col("miss") > 0) & (F.col("repeats") < F.col("most")) & (F.instr("pattern", " ") == 0)
-        drop = (F.col("miss") < 0) & (F.col("repeats") > 0)
-        known = out.withColumn("miss", F.element_at(F.create_map(*[F.lit(v) for k, m in miss.items() for v in (k, float(m))]), F.col("key")))
-        best = known.where((add | drop) & (F.col("n_tokens") < 2 * F.abs(F.col("miss")))).groupBy("key").agg(F.min(F.struct(near.alias("near"), "repeats", "pattern", "before", "n_tokens")).alias("b"))
-        steps = [(r.key, r.b.pattern, r.b.before, 1 if miss[r.key] > 0 else -1, r.b.n_tokens) for r in best.collect()]
+    while True:
+        steps: list[tuple] = []
+        busy: set[tuple] = set()
+        for key, wanted in sorted(quota.items()):
+            miss = wanted - sums.get(key, 0)
+            size = abs(miss)
+            can = ((F.col("repeats") < F.col("most")) & (F.col("uses") < F.col("top"))) if miss > 0 else F.col("repeats") > 0
+            near = F.abs(F.col("n_tokens") - size)
+            rows = out.where((F.col("key") == key) & can & (F.col("n_tokens") < 2 * size)).select("pattern", "before", "n_tokens", "repeats", near.alias("near"))
+            order = ["near", "repeats", "pattern", "before"]
+            best = rows.orderBy(*order).first()
+            if best is None:
+                continue
+            many = min(int(size // best.n_tokens), MOST_STEPS)
+            left = size
+            for r in [best] if many < 2 else rows.orderBy(*order).limit(many).collect():
+                # a text that another source took in this round waits for the next
+                if r.n_tokens < 2 * left and (r.pattern, r.before) not in busy:
+                    busy.add((r.pattern, r.before))
+                    steps.append((key, r.pattern, r.before, 1 if miss > 0 else -1, r.n_tokens))
+                    left = abs(left - r.n_tokens)
         if not steps:
-            break
+            return out
         for k, p, at, by, n in steps:
             change[k, p, at] = change.get((k, p, at), 0) + by
             sums[k] = sums.get(k, 0) + by * n
         moved = drawn.sparkSession.createDataFrame([(*k, v) for k, v in change.items()], "key string, pattern string, before long, by long")
-        out = drawn.join(moved, key, "left").withColumn("repeats", F.col("repeats") + F.coalesce("by", F.lit(0))).drop("by")
-    return out
+        both = moved.groupBy("pattern", "before").agg(F.sum("by").alias("all"))
+        # running sums tell texts of a pattern apart
+        out = drawn.join(moved, ["key", "pattern", "before"], "left").join(both, ["pattern", "before"], "left")
+        out = out.withColumns({"repeats": F.col("repeats") + F.coalesce("by", F.lit(0)), "uses": F.col("uses") + F.coalesce("all", F.lit(0))}).drop("by", "all")
 
 
 def mix(documents: DataFrame, targets: DataFrame, sources: Column | None = None, seed: int = 1, total: float | None = None, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
@@ -182,7 +214,14 @@ def mix(documents: DataFrame, targets: DataFrame, sources: Column | None = None,
         quota[x] = quota.get(x, 0.0) + tokens
     most = F.element_at(F.create_map(*[F.lit(v) for k, r in wanted.items() for v in (k, r.most)]), F.col("key"))
     named = F.element_at(F.create_map(*[F.lit(x) for k, r in wanted.items() for x in (k, r.source)]), F.col("key"))
-    drawn = materialize(placed.join(served, "pattern").select("doc_id", "key", "pattern", "before", "n_tokens", times.alias("repeats"), most.alias("most")), "drawn")
+    top = F.array_max(F.transform(F.split("pattern", " "), lambda k: F.element_at(F.create_map(*[F.lit(v) for x, r in wanted.items() for v in (x, r.most)]), k)))
+    drawn = materialize(placed.join(served, "pattern").select("doc_id", "key", "pattern", "before", "n_tokens", times.alias("repeats"), most.alias("most"), top.alias("top")), "drawn")
+    shared = [" ".join(p) for p in sizes if len(p) > 1]
+    if shared:  # only these texts have uses in several sources
+        uses = drawn.where(F.col("pattern").isin(shared)).groupBy("pattern", "before").agg(F.sum("repeats").alias("uses"))
+        drawn = materialize(drawn.join(uses, ["pattern", "before"], "left").withColumn("uses", F.coalesce("uses", "repeats")), "used")
+    else:
+        drawn = drawn.withColumn("uses", F.col("repeats"))
     mixture = _settle(drawn, quota).where("repeats > 0").select("doc_id", named.alias("source"), "repeats", "n_tokens")
     got = mixture.groupBy("source").agg(F.sum(F.col("repeats") * F.col("n_tokens")).alias("tokens"), F.count("*").alias("documents"))
     lines = {r.source: r for r in got.collect()}

@@ -2,10 +2,13 @@
 
 Texts over the capacity give full pieces, each a container, and a rest; rests and shorter texts are the items. Their
 global histogram of lengths (at most capacity + 1 counts, whatever the corpus) is all the driver sees. Dynamic
-programming cuts it into the length buckets that minimise padding; from the longest bucket to the shortest, batches
-within the token budget are planned on counts: an item goes to the open batch it fits best, else bucket-mates open new
-ones. Batches that only hold items of one bucket leave much more unused (see the README), hence the first rule. The plan says which ranks of a
-length go to which containers, so each task places its own rows.
+programming cuts it into the length buckets that minimise padding. Batches within the token budget are planned on counts:
+first those of bucket-mates that fill a container to the last token, pairs of lengths whose sums divide the capacity
+evenly; then, from the longest bucket to the shortest, an item goes to the open batch it fits best, whatever bucket that
+came from, else bucket-mates open new ones. Batches of one bucket only would leave much more unused (see the README). The
+full batches are given up where the plan without them needs fewer containers, and of several numbers of buckets the one
+that needs the fewest containers is taken. The plan says which ranks of a length go to
+which containers, so each task places its own rows.
 """
 
 from __future__ import annotations
@@ -78,8 +81,59 @@ class Slot:
     position: int
 
 
+def mates(counts: dict[int, int], capacity: int, bounds: list[int]) -> tuple[list[Slot], int, dict[int, int]]:
+    """(slots, containers, items taken by length): batches of bucket-mates without any unused space.
+
+    An even number of items whose pairs sum to the same even share of the capacity fill it exactly.
+    """
+    left, taken, slots, used = dict(counts), dict.fromkeys(counts, 0), [], 0
+    shares = [(k, 2 * capacity // k) for k in range(2, 2 * capacity + 1, 2) if 2 * capacity % k == 0]
+    for low, high in zip([0, *bounds], bounds):
+        for k, pair in shares:
+            if not 2 * low < pair <= 2 * high:
+                continue
+            for short in range(max(low + 1, pair - high), pair // 2 + 1):
+                long = pair - short
+                if short == long:
+                    n = left.get(short, 0) // k
+                    each = [(short, k, 0)]
+                else:
+                    n = min(left.get(short, 0), left.get(long, 0)) // (k // 2)
+                    each = [(long, k // 2, 0), (short, k // 2, k // 2)]
+                if n:
+                    for length, many, position in each:
+                        slots.append(Slot(length, taken[length], used, many, position))
+                        left[length] -= n * many
+                        taken[length] += n * many
+                    used += n
+    return slots, used, taken
+
+
 def plan(counts: dict[int, int], capacity: int, bounds: list[int], across: bool = True) -> tuple[list[Slot], int]:
     """Slots of all items and the number of containers. ``across``: a batch may take items of shorter buckets too."""
+    slots, used, taken = mates(counts, capacity, bounds)
+    rest, total = _fit({x: n - taken[x] for x, n in counts.items()}, capacity, bounds, across)
+    plain = _fit(counts, capacity, bounds, across)
+    if plain[1] < used + total:
+        return plain
+    return slots + [Slot(s.length, s.first + taken[s.length], s.container + used, s.each, s.position) for s in rest], used + total
+
+
+def best_plan(counts: dict[int, int], capacity: int, buckets: int = BUCKETS) -> tuple[list[Slot], int]:
+    """The plan with the fewest containers over optimal buckets of halved numbers; of equals that with most buckets.
+
+    Wider buckets have more mates that fill a container, narrower ones pad less.
+    """
+    best = None
+    while buckets:
+        now = plan(counts, capacity, optimal_buckets(counts, buckets))
+        if best is None or now[1] < best[1]:
+            best = now
+        buckets //= 2
+    return best
+
+
+def _fit(counts: dict[int, int], capacity: int, bounds: list[int], across: bool) -> tuple[list[Slot], int]:
     slots: list[Slot] = []
     spaces: list[tuple[int, int, int, int]] = []  # space left, first container, how many, items in each; by space
     used = 0
@@ -168,7 +222,7 @@ def pack(documents: DataFrame, specs: list[tuple[str, int]], vocabulary: str = V
     capacity = dict(specs)
     plans = {}
     for spec, counts in histogram(rests).items():
-        slots, _ = plan(counts, capacity[spec], optimal_buckets(counts, buckets), across)
+        slots, _ = best_plan(counts, capacity[spec], buckets) if across else plan(counts, capacity[spec], optimal_buckets(counts, buckets), False)
         by: dict[int, list[Slot]] = {}
         for s in slots:
             by.setdefault(s.length, []).append(s)

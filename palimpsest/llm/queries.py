@@ -47,6 +47,21 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_table(spark, d, "documents"), _table(spark, d, "mix_targets"))[1]
 
 
+def _by_paper(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    targets = _table(spark, d, "mix_targets")
+    documents = mixing.memberships(_table(spark, d, "documents"), targets, "paper_key")
+    return mixing.mix(documents, targets, sources=F.col("sources"))
+
+
+def p8_paper_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture if a text may serve every source that published its paper, so that sources compete for it."""
+    return _by_paper(spark, d)[0]
+
+
+def p8_paper_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _by_paper(spark, d)[1]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.demanding(_table(spark, d, "documents"), _table(spark, d, "reading_labels"))
 
@@ -55,5 +70,5 @@ def p9_levels(spark: SparkSession, d: str) -> DataFrame:
     return reading.levels(_table(spark, d, "documents"), _table(spark, d, "reading_labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_packed, p7_fill, p7_bucket_fill, p7_buckets, p8_mix, p8_shares, p9_found, p9_levels)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_packed, p7_fill, p7_bucket_fill, p7_buckets, p8_mix, p8_shares, p8_paper_mix, p8_paper_shares, p9_found, p9_levels)}
 ORACLES: dict[str, str] = {}

@@ -88,3 +88,34 @@ def test_missing_sources_and_empty_tables(spark):
     assert mixing.mix(df, targets(spark).limit(0))[0].count() == 0
     blank = spark.createDataFrame([(1, None, "small"), (2, "", "small"), (3, "x", None)], "doc_id long, text string, source string")
     assert mixing.mix(blank, targets(spark, ("small", 0.5, 1)))[0].count() == 0
+
+
+def test_settling_goes_on_until_nothing_helps(spark):
+    """Long texts at the edge of the draw leave much to settle; many short ones fill it to the token."""
+    rows = [(n, "word " * 4000 if n < 6 else "word", "a" if n % 2 else "b") for n in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixture, shares = mixing.mix(df, targets(spark, ("a", 0.7, 1), ("b", 0.3, 1)))
+    got = {r.source: r for r in shares.collect()}
+    assert abs(got["a"].actual_share - 0.7) < 0.0005 and abs(got["b"].actual_share - 0.3) < 0.0005
+    assert mixture.where("repeats <> 1").count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_shared_texts_keep_their_bounds(spark, seed):
+    kinds = [["a"], ["b"], ["a", "b"], ["b", "c"], ["a", "b", "c"], []]
+    df = spark.createDataFrame([(n, "word " * (n * 7919 % 211 + 1), kinds[n * seed % 6]) for n in range(900)], "doc_id long, text string, sources array<string>")
+    most = {"a": 1, "b": 2, "c": 3}
+    mixture, shares = mixing.mix(df, targets(spark, ("a", 0.5, 1), ("b", 0.3, 2), ("c", 0.2, 3)), sources=F.col("sources"), seed=seed)
+    uses = {}
+    for r in mixture.collect():
+        assert r.source in kinds[r.doc_id * seed % 6] and r.repeats <= most[r.source]
+        uses[r.doc_id] = uses.get(r.doc_id, 0) + r.repeats
+    assert all(n <= max(most[x] for x in kinds[d * seed % 6]) for d, n in uses.items())
+    for r in shares.collect():
+        assert abs(r.actual_share - r.target_share) < 0.002, r
+
+
+def test_papers_in_several_sources(spark):
+    df = spark.createDataFrame([(1, "x", "A", "p"), (2, "x", " a ", "p"), (3, "x", "B", "p"), (4, "x", "b", None), (5, "x", "other", "q"), (6, "x", None, "q")], "doc_id long, text string, source string, paper_key string")
+    out = mixing.memberships(df, targets(spark, ("a", 0.5, 1), ("b", 0.5, 1)), "paper_key")
+    assert {r.doc_id: sorted(x for x in r.sources if x) for r in out.collect()} == {1: ["a", "b"], 2: ["a", "b"], 3: ["a", "b"], 4: ["b"], 5: [], 6: []}

@@ -52,6 +52,24 @@ def test_plans_place_every_item_once(counts, across):
         assert used - (0 in counts) <= 2 * total / 50 + 1
 
 
+@given(st.dictionaries(st.integers(1, 32), st.integers(1, 40), min_size=1, max_size=20), st.sampled_from([32, 24, 30]))
+@settings(max_examples=200, deadline=None)
+def test_bucket_mates_leave_nothing_unused(counts, capacity):
+    counts = {x: n for x, n in counts.items() if x <= capacity}
+    bounds = packing.optimal_buckets(counts, 4)
+    slots, used, taken = packing.mates(counts, capacity, bounds)
+    load, buckets = {}, {}
+    for s in slots:
+        n = min([x.container for x in slots if x.container > s.container], default=used) - s.container
+        for c in range(s.container, s.container + n):
+            load[c] = load.get(c, 0) + s.each * s.length
+            buckets.setdefault(c, set()).add(min(b for b in bounds if b >= s.length))
+    assert len(load) == used and all(x == capacity for x in load.values()) and all(len(b) == 1 for b in buckets.values())
+    assert all(0 <= taken[x] <= n for x, n in counts.items())
+    if bounds:
+        assert packing.plan(counts, capacity, bounds)[1] <= packing._fit(counts, capacity, bounds, True)[1]
+
+
 def documents(spark, *texts):
     rows = [(n, t, "clash", "x", 1) for n, t in enumerate(texts)]
     return spark.createDataFrame(rows, "doc_id long, text string, rest string, spec_name string, rank int")
