@@ -2,12 +2,14 @@
 
 Documents are linked through cells of a style plane: the log of the mean sentence length against the mean word length of
 their running prose, cut by several shifted grids, so that documents of like style share most of their cells (a
-similarity graph with one edge per grid, never a pair of documents). Graded documents keep their grade; a cell gets the
-mean of its documents, every other document the mean of its cells, again and again, until difficulty is harmonic over
-the graph. Documents with the same cells are one node with a weight, and the plane is bounded, so the graph has at most
-some ten thousand nodes at any corpus size; the text is read once. Averaging pulls all values to the middle; after each round
-they are spread again by the regression of the grades on the values that graded documents would have had without their
-own grade.
+similarity graph with one edge per grid, never a pair of documents). Graded documents are clamped to their grade; a cell
+gets the mean of its documents, every other document the mean of its cells, again and again until no value moves by more
+than the tolerance: difficulty is then harmonic over the graph. Edges of graded documents weigh so much that all graded
+documents together count like all documents, else the many ungraded ones would pull everything to the middle. Iteration
+starts from the grades in the same cells or, where there are none, in cells of coarser grids, which saves most rounds.
+
+A document's cells follow from its place in quarters of a cell, so documents at one place are one weighted node, and the
+plane is bounded: the graph has at most some ten thousand nodes at any corpus size, and the text is read once.
 """
 
 from __future__ import annotations
@@ -17,15 +19,17 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.prose import prose
 from palimpsest.sources.scratch import materialize
 
 GRIDS, PER_LOG_SENTENCE, PER_WORD = 4, 4.0, 1.5  # shifted grids; cells per unit of either axis
+COARSER = (2, 4)  # times as wide are the cells of the grids that start values come from
 LONGEST_SENTENCE, LONGEST_WORD = 5_000, 60  # the plane's bounds; beyond them styles are alike
-ROUNDS = 12
+TOLERANCE = 0.01  # largest change of a level in the last round
+TOGETHER = 3  # rounds in one job, between which values are not written
 
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?]+(?=\s|$)")
 
@@ -49,22 +53,28 @@ def style(text: str | None) -> tuple[int, float, float]:
     return words, long / sentences if sentences else float(words), letters / words if words else 0.0
 
 
-def cells(sentence: float, word: float) -> list[int]:
+def place(sentence: float, word: float) -> tuple[int, int]:
+    """The style's place in the plane, in parts of a cell that the grids are shifted by."""
     a = math.log(min(max(sentence, 1.0), LONGEST_SENTENCE)) * PER_LOG_SENTENCE
-    b = min(word, LONGEST_WORD) * PER_WORD
-    return [(k * 10_000 + int(a + k / GRIDS)) * 10_000 + int(b + k / GRIDS) for k in range(GRIDS)]
+    return int(a * GRIDS), int(min(word, LONGEST_WORD) * PER_WORD * GRIDS)
+
+
+def cells(wide: int = 1) -> Column:
+    """array<long>: of the place (a, b), its cell in each grid whose cells are ``wide`` times as wide."""
+    one = lambda c, k: F.floor((F.col(c) + k * wide) / (GRIDS * wide))
+    return F.array(*[((one("a", k) * 10_000 + one("b", k)) * 100 + wide) * GRIDS + k for k in range(GRIDS)])
 
 
 def _styles(least_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = [], []
+            out = []
             for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 words, sentence, word = style(text.as_py())
                 if words >= least_words:
-                    ids.append(i)
-                    out.append(cells(sentence, word))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "cells"])
+                    out.append((i, *place(sentence, word)))
+            ids, a, b = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["doc_id", "a", "b"])
 
     return run
 
@@ -75,38 +85,57 @@ def grades(labels: DataFrame) -> DataFrame:
     return last.groupBy("doc_id").agg(F.avg("r.reading_level").alias("grade"))
 
 
-def levels(documents: DataFrame, labels: DataFrame, language: str = "en", least_words: int = 60, rounds: int = ROUNDS) -> DataFrame:
+def start(nodes: DataFrame, mean: float) -> DataFrame:
+    """nodes with ``x``: the mean grade in its cells, else in its coarser cells, else of all."""
+    widths = (1, *COARSER)
+    edges = nodes.select("a", "b", F.posexplode(F.array(*[cells(w) for w in widths])).alias("scale", "cells"))
+    edges = edges.select("a", "b", "scale", F.explode("cells").alias("cell"))
+    told = edges.join(nodes.where("graded > 0").select("a", "b", "graded", "sum"), ["a", "b"]).groupBy("cell").agg(F.sum("graded").alias("g"), F.sum("sum").alias("s"))
+    near = edges.join(told, "cell").groupBy("a", "b", "scale").agg((F.sum("s") / F.sum("g")).alias("x"))
+    best = near.groupBy("a", "b").agg(F.min_by("x", "scale").alias("x"))
+    return nodes.join(best, ["a", "b"], "left").withColumn("x", F.coalesce("x", F.lit(mean)))
+
+
+def harmonic_round(nodes: DataFrame, weight: float) -> DataFrame:
+    """nodes (a, b, n, graded, sum, x) with the next ``x``, and ``moved``: by how much it changed."""
+    edges = nodes.select("*", F.explode(cells()).alias("cell"))
+    free = F.col("n") - F.col("graded")
+    cell = edges.groupBy("cell").agg((F.sum(weight * F.col("sum") + free * F.col("x")) / F.sum(weight * F.col("graded") + free)).alias("mean"))
+    keep = ("a", "b", "n", "graded", "sum", "x")
+    out = edges.join(cell, "cell").groupBy(*keep).agg(F.avg("mean").alias("next"))
+    return out.select(*keep[:-1], F.col("next").alias("x"), F.abs(F.col("next") - F.col("x")).alias("moved"))
+
+
+def propagate(nodes: DataFrame, tolerance: float = TOLERANCE) -> tuple[DataFrame, int, float]:
+    """(nodes with ``x``, rounds, largest change in the last one). nodes: a, b, n documents, graded ones, sum of grades."""
+    known, total, count = nodes.agg(F.sum("graded"), F.sum("sum"), F.sum("n")).first()
+    state, rounds = materialize(start(nodes, total / known), "start"), 0
+    while True:
+        for _ in range(TOGETHER):
+            state = harmonic_round(state, count / known)
+        state = materialize(state, "harmonic")
+        rounds += TOGETHER
+        moved = state.agg(F.max("moved")).first()[0]
+        if moved <= tolerance:
+            return state, rounds, moved
+
+
+def levels(documents: DataFrame, labels: DataFrame, language: str = "en", least_words: int = 60, tolerance: float = TOLERANCE) -> DataFrame:
     """(doc_id, level) of each document in the language with enough running prose; level is continuous, from 1 to 5.
 
     The language matches if lang, trimmed and in lower case, begins with ``language``; null doesn't match, except that ''
     matches all. Null and empty texts have no prose. Grades of documents that don't qualify don't count. Several rows of
-    one doc_id are several documents with its grade. Without any grade the level is null.
+    one doc_id are several documents with its grade. A graded document too gets the level that the graph gives its place,
+    as single grades err. Without any grade the level is null.
     """
-    spark = documents.sparkSession
-    read = documents.where(F.lower(F.trim("lang")).startswith(language) | (F.lit(language) == "")).select("doc_id", "text").mapInArrow(_styles(least_words), "doc_id long, cells array<long>")
+    read = documents.where(F.lower(F.trim("lang")).startswith(language) | (F.lit(language) == "")).select("doc_id", "text").mapInArrow(_styles(least_words), "doc_id long, a long, b long")
     docs = materialize(read.join(grades(labels), "doc_id", "left"), "styles")
-    nodes = docs.groupBy("cells").agg(F.count("*").cast("double").alias("n"), F.count("grade").cast("double").alias("graded"), F.coalesce(F.sum("grade"), F.lit(0.0)).alias("sum"))
+    nodes = docs.groupBy("a", "b").agg(F.count("*").cast("double").alias("n"), F.count("grade").cast("double").alias("graded"), F.coalesce(F.sum("grade"), F.lit(0.0)).alias("sum"))
     nodes = materialize(nodes, "style-nodes")
-    known, total = nodes.agg(F.sum("graded"), F.sum("sum")).first()
-    if not known:
+    if not nodes.where("graded > 0").limit(1).count():
         return docs.select("doc_id", F.lit(None).cast("double").alias("level"))
-    mean = total / known
-    state = nodes.withColumn("x", F.lit(mean))
-    own = F.col("sum") / F.col("graded")
-    for _ in range(rounds):
-        edges = state.select("*", F.explode("cells").alias("cell"))
-        cell = edges.groupBy("cell").agg(F.sum("n").alias("cell_n"), F.sum(F.col("sum") + (F.col("n") - F.col("graded")) * F.col("x")).alias("cell_sum"))
-        # what the cell would say without one of the node's own grades
-        without = F.when((F.col("cell_n") > 1) & (F.col("graded") > 0), (F.col("cell_sum") - own) / (F.col("cell_n") - 1)).otherwise(F.col("cell_sum") / F.col("cell_n"))
-        raw = edges.join(cell, "cell").groupBy("cells", "n", "graded", "sum").agg(F.avg(F.col("cell_sum") / F.col("cell_n")).alias("raw"), F.avg(without).alias("without"))
-        raw = materialize(raw, "harmonic")
-        w, g, r = F.col("graded"), F.col("sum"), F.col("without")
-        s = raw.where("graded > 0").agg(F.sum(w * r).alias("wr"), F.sum(w * r * r).alias("wrr"), F.sum(g * r).alias("gr")).first()
-        centre = s.wr / known
-        var, cov = s.wrr / known - centre**2, s.gr / known - mean * centre
-        slope = min(max(cov / var, 1.0), 3.0) if var > 1e-9 else 1.0
-        state = raw.select("cells", "n", "graded", "sum", F.least(F.greatest(F.lit(mean) + slope * (F.col("raw") - centre), F.lit(1.0)), F.lit(5.0)).alias("x"))
-    return docs.join(state.select("cells", F.col("x").alias("level")), "cells").select("doc_id", "level")
+    state, _, _ = propagate(nodes, tolerance)
+    return docs.join(state.select("a", "b", F.col("x").alias("level")), ["a", "b"]).select("doc_id", "level")
 
 
 def demanding(documents: DataFrame, labels: DataFrame, least: float = 3.5, **options) -> DataFrame:
