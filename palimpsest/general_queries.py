@@ -6,6 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palimpsest.operators import change_feed, differences, history, nested, orphans, schema_drift
 from palimpsest.operators.current import normal_hash
@@ -60,6 +61,12 @@ def p3_variants(spark: SparkSession, d: str) -> DataFrame:
     return nested.variants(nested.subtypes(_versions(spark, d), ITEMS).rows)
 
 
+def p3_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """How many nodes of each place have which members of which kinds."""
+    rows = nested.subtypes(_versions(spark, d), ITEMS).rows
+    return rows.groupBy("supertype", "shape").agg(F.count("*").alias("n"))
+
+
 def p3_order_items(spark: SparkSession, d: str) -> DataFrame:
     """The typed tables of the items of orders, as their types were inferred."""
     store = nested.subtypes(_versions(spark, d), ITEMS)
@@ -85,7 +92,7 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_presence, p2_found, p2_unified, p2_users, p3_found, p3_variants, p3_order_items, p4_found, p5_found, p6_found, p6_report)
+    f.__name__: f for f in (p1_found, p1_presence, p2_found, p2_unified, p2_users, p3_found, p3_variants, p3_shapes, p3_order_items, p4_found, p5_found, p6_found, p6_report)
 }
 
 _ORPHANS = """with t as (
@@ -136,11 +143,53 @@ g as (select *, lag(state) over (partition by entity_type, entity_id order by cr
 b as (select *, lead(created_at) over (partition by entity_type, entity_id order by created_at) as following from g where state is distinct from before)
 select entity_type, entity_id, version as first_version, epoch_us(created_at) as valid_from_us, coalesce(epoch_us(following), -1) as valid_to_us from b where state is not null"""
 
+#: Values by sequence; a later event at or above a path ends what was there, a later set below it makes it an object.
+_FEED = """with best as (select distinct on (entity_type, entity_id, version, change_seq) *, version::hugeint * 4294967296 + change_seq as q, coalesce(strategy, case when coalesce(path, '') = '' then 0 else 1 end) as st from field_changes
+  order by entity_type, entity_id, version, change_seq, received_at desc, feed_id desc),
+w as (select distinct on (entity_type, entity_id) entity_type, entity_id, q, new_value from best where st = 0 order by entity_type, entity_id, q desc),
+e as (select b.entity_type, b.entity_id, b.q, b.path, b.new_value from best b join w using (entity_type, entity_id) where b.st <> 0 and b.q > w.q and w.new_value is not null),
+v as (select entity_type, entity_id, q, '' as base, new_value from w where new_value is not null union all select entity_type, entity_id, q, path, new_value from e where new_value is not null),
+n as (select v.entity_type, v.entity_id, v.q, ltrim(base || replace(substr(j.fullkey, 2), '"', ''), '.') as path, j.type, cast(j.value as varchar) as text from v, json_tree(v.new_value) j where not contains(j.fullkey, '[')),
+o as (select entity_type, entity_id, q, path from n where type = 'OBJECT'
+  union all select entity_type, entity_id, q, array_to_string(string_split(path, '.')[:k], '.') from (select *, unnest(range(len(string_split(path, '.')))) as k from e where new_value is not null)),
+leaves as (select * from n l where type <> 'OBJECT' and not exists (select 1 from e where e.entity_type = l.entity_type and e.entity_id = l.entity_id and e.q > l.q
+  and (e.path = l.path or starts_with(l.path, e.path || '.') or (e.new_value is not null and (l.path = '' or starts_with(e.path, l.path || '.')))))),
+objects as (select distinct entity_type, entity_id, path from o where not exists (select 1 from e where e.entity_type = o.entity_type and e.entity_id = o.entity_id and e.q > o.q and (e.path = o.path or starts_with(o.path, e.path || '.')))),
+filled as (select entity_type, entity_id, path from leaves union all select * from objects)
+select entity_type, entity_id, path, text as new_value from leaves
+union all select entity_type, entity_id, path, '{}' from objects p where not exists (select 1 from filled x where x.entity_type = p.entity_type and x.entity_id = p.entity_id and x.path <> p.path and (p.path = '' or starts_with(x.path, p.path || '.')))"""
+
+_DRIFT = f"""with cur as (select distinct on (id) * from audit_versions order by id, created_at desc), d as (select * from cur where coalesce(trim(data), '') not in ('', 'null')),
+n as (select d.id, entity_type, entity_id, version, schema_version, created_at, replace(substr(j.fullkey, 3), '"', '') as path, j.fullkey as k, case j.type when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' when 'NULL' then '' else 'number' end as kind
+  from d, json_tree(d.data) j where j.fullkey <> '$' and not contains(j.fullkey, '[') and not regexp_matches(j.fullkey, '\.(Tags|Settings|Nested|Items)\.')),
+total as (select entity_type, schema_version, count(*) as rows from d group by all),
+f as (select entity_type, schema_version, path, any_value(rows) as rows, count(*) as c, count(*) filter (kind <> '') as known from n join total using (entity_type, schema_version) group by all having 4 * count(*) >= any_value(rows)),
+kinds as (select entity_type, schema_version, path, arg_max(kind, (c, kind)) as kind from (select entity_type, schema_version, path, kind, count(*) as c from n where kind <> '' group by all) group by all),
+steps as (select entity_type, lag(schema_version) over (partition by entity_type order by schema_version) as lo, schema_version as hi from total),
+a as (select entity_type, hi, path from steps join f using (entity_type) where f.schema_version = lo), b as (select entity_type, hi, path from steps join f using (entity_type) where f.schema_version = hi and lo is not null),
+gone as (select * from a except select * from b), fresh as (select * from b except select * from a),
+one as (select distinct on (entity_type, entity_id, version) id, entity_type, entity_id, version, schema_version from d order by entity_type, entity_id, version, created_at desc, id desc),
+t as (select *, lag(id) over w as before, lag(schema_version) over w as lo from one window w as (partition by entity_type, entity_id order by version)),
+p as (select entity_type, before, id, lo, schema_version as hi from t where lo < schema_version and (entity_type, lo, schema_version) in (select (entity_type, lo, hi) from steps)),
+atoms as (select d.id, j.fullkey, {_ATOM} as atom from d, json_tree(d.data) j where d.id in (select before from p union all select id from p)),
+sig as (select n.id, n.path, string_agg(replace(atoms.atom, n.k, '$'), chr(1) order by atoms.fullkey) as sig from n join atoms on atoms.id = n.id and (atoms.fullkey = n.k or starts_with(atoms.fullkey, n.k || '.') or starts_with(atoms.fullkey, n.k || '[')) where n.kind <> '' group by all),
+pairs as (select p.entity_type, p.hi, g.path as g, r.path as r, count(*) as both_there, count(*) filter (x.sig = y.sig) as same from p join gone g on g.entity_type = p.entity_type and g.hi = p.hi join fresh r on r.entity_type = p.entity_type and r.hi = p.hi
+  join sig x on x.id = p.before and x.path = g.path join sig y on y.id = p.id and y.path = r.path group by all having 2 * count(*) filter (x.sig = y.sig) > count(*))
+select entity_type, hi as schema_version, 'renamed' as change_kind, g as old_field, r as new_field from pairs
+union all select entity_type, hi, 'removed', path, '' from gone where (entity_type, hi, path) not in (select (entity_type, hi, g) from pairs)
+union all select entity_type, hi, 'added', '', path from fresh where (entity_type, hi, path) not in (select (entity_type, hi, r) from pairs)
+union all select s.entity_type, s.hi, 'retyped', x.path, x.path from steps s join f x on x.entity_type = s.entity_type and x.schema_version = s.lo join f y on y.entity_type = s.entity_type and y.schema_version = s.hi and y.path = x.path
+  join kinds k on k.entity_type = s.entity_type and k.schema_version = s.lo and k.path = x.path join kinds m on m.entity_type = s.entity_type and m.schema_version = s.hi and m.path = x.path where k.kind <> m.kind"""
+
 ORACLES = {
+    "p2_found": _DRIFT,
+    "p4_found": _FEED,
     "p1_found": _DIFFERENCES,
     "p3_found": _NODES + "select id, node_path, regexp_extract(node_path, '^(.*\\])\\.', 1) as parent_path from nodes",
     "p3_order_items": _NODES.replace("select fixed.id, replace", "select fixed.id, t.value, replace") + """select id, node_path, '' as parent_path, cast(regexp_extract(node_path, '([0-9]+)\\]$', 1) as integer) as position, json_extract_string(value, '$.SKU') as SKU, try_cast(json_extract_string(value, '$.Quantity') as bigint) as Quantity, try_cast(json_extract_string(value, '$.Price') as double) as Price
 from nodes where regexp_full_match(node_path, 'data\\.Items\\[[0-9]+\\]')""",
+    "p3_shapes": _NODES.replace("select fixed.id, replace", "select fixed.id, t.value, replace") + """select regexp_replace(node_path, '\\[[0-9]+\\]', '[]', 'g') as supertype, array_to_string(list_transform(list_sort(json_keys(value)), lambda k: k || ':' ||
+  case json_type(value, '$."' || k || '"') when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' when 'NULL' then 'null' else 'number' end), ',') as shape, count(*) as n from nodes group by all""",
     "p5_found": _HISTORY,
     "p1_presence": """with a as (select distinct id from audit_versions), b as (select distinct id from audit_versions_olap)
 select (select count(*) from a) as n_left, (select count(*) from b) as n_right, count(*) filter (a.id is not null and b.id is not null) as n_both,

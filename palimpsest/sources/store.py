@@ -44,18 +44,21 @@ class VersionStore:
     def append(self, records: DataFrame, strict: bool = False) -> int:
         """Add records. Keys that are there already are left out, or (``strict``) nothing is written and it raises.
 
-        Of several records with one key the one created first is kept.
+        Of several records with one key the one created first is kept. The records are read three times; write them
+        first where that is dear.
         """
         self.migrate()
+        rows = self._bucketed(records)
+        keys = rows.groupBy(*KEY, BUCKET).agg(F.count("*").alias("_n"))
+        touched, old = self._touched(rows)
+        old = old.select(*KEY, BUCKET, F.lit(True).alias("_old"))
+        if strict:
+            if keys.join(old, [*KEY, BUCKET], "left").where("_n > 1 or _old").limit(1).count():
+                raise DuplicateVersion("a version is there already")
+            return publish_buckets(rows, self.root, added=touched)
         rest = [f.name for f in RECORD.fields if f.name not in KEY]
-        one = self._bucketed(records).groupBy(*KEY, BUCKET).agg(F.min_by(F.struct(*rest), F.struct("created_at", "id")).alias("_r"), F.count("*").alias("_n"))
-        one = materialize(one.select(*KEY, "_r.*", BUCKET, "_n"), "append")
-        touched, old = self._touched(one)
-        known = one.select(*KEY, BUCKET, "_n").join(old.select(*KEY, BUCKET, F.lit(True).alias("_old")), [*KEY, BUCKET], "left")
-        if strict and known.where("_n > 1 or _old").limit(1).count():
-            raise DuplicateVersion("a version is there already")
-        new = one if strict else one.join(old.select(*KEY, BUCKET), [*KEY, BUCKET], "left_anti")
-        return publish_buckets(new.select(*RECORD.fieldNames(), BUCKET), self.root, added=touched)
+        one = rows.groupBy(*KEY, BUCKET).agg(F.min_by(F.struct(*rest), F.struct("created_at", "id")).alias("_r")).select(*KEY, "_r.*", BUCKET)
+        return publish_buckets(one.join(old, [*KEY, BUCKET], "left_anti").select(*RECORD.fieldNames(), BUCKET), self.root, added=touched)
 
     def update(self, records: DataFrame, columns: tuple[str, ...] = ("data", "hash", "previous_hash", "metadata", "strategy", "delta")) -> int:
         """Replace columns of existing records by key; raises if a key isn't there."""
