@@ -13,7 +13,7 @@ from palimpsest.model import CHANGE, ENTITY, KEY, METADATA, RECORD, DuplicateVer
 from palimpsest.operators.lifecycle import union_tiers
 from palimpsest.sources.scratch import BUCKET, buckets_of, current, materialize, publish_buckets, read_buckets, vacuum, with_bucket
 
-DRIVERS = {"postgresql": "org.postgresql.Driver", "mysql": "com.mysql.cj.jdbc.Driver", "clickhouse": "com.clickhouse.jdbc.ClickHouseDriver"}
+DRIVERS = {"postgresql": "org.postgresql.Driver", "mysql": "com.mysql.cj.jdbc.Driver", "clickhouse": "com.clickhouse.jdbc.ClickHouseDriver", "derby": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
 
 
 class VersionStore:

@@ -13,7 +13,7 @@ from palimpsest.operators import integrity, reconstruct, redact
 from palimpsest.plans.registry import EntityType, tagged
 from palimpsest.sources import wal
 from palimpsest.sources.scratch import new_path
-from palimpsest.sources.store import ColdStore, Router, VersionStore, decode, encode, jdbc_options, read_objects
+from palimpsest.sources.store import ColdStore, Router, VersionStore, decode, encode, jdbc_options, read_jdbc, read_objects, write_jdbc
 from palimpsest.streaming import versioner
 
 T0 = datetime(2024, 1, 1)
@@ -99,6 +99,26 @@ def test_flat_rows(spark):
         jdbc_options("paper", "", "")
 
 
+def test_jdbc_round_trip(spark):
+    """Through the embedded database that comes with Spark."""
+    url = "jdbc:derby:memory:records;create=true"
+    try:
+        spark._jvm.java.lang.Class.forName("org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    except Exception:
+        pytest.skip("no embedded database")
+    meta = F.struct(*[F.lit("x" if f.dataType == T.StringType() else None).cast(f.dataType).alias(f.name) for f in model.METADATA.fields])
+    change = F.array(F.struct(F.lit("a.b").alias("path"), F.lit("1").alias("old_value"), F.lit(None).cast("string").alias("new_value")))
+    df = record(spark, *[("a", v) for v in range(1, 41)], data='{"x":"é"}').withColumns({"metadata": meta, "delta": F.when(F.col("version") % 2 == 0, change)})
+    options = jdbc_options("derby", url, "records")
+    write_jdbc(df.where("version <= 20"), options)
+    write_jdbc(df.where("version > 20"), options)
+    back = read_jdbc(spark, options, '"version"', (1, 40), 4)
+    assert back.rdd.getNumPartitions() == 4 and back.count() == 40
+    rows = {r.version: r for r in back.collect()}
+    assert rows[2].metadata.actor_id == "x" and [tuple(c) for c in rows[2].delta] == [("a.b", "1", None)] and rows[3].delta is None and rows[40].data == '{"x":"é"}' and rows[7].created_at == T0
+    assert back.where("version = 3").count() == 1
+
+
 def test_log_files(spark, tmp_path):
     good = [wal.frame({"id": str(n), "record": {"n": n}, "created_at": "t"}) for n in range(3)]
     bad = bytearray(good[1])
