@@ -138,23 +138,21 @@ def _settle(drawn: DataFrame, quota: dict[str, float]) -> DataFrame:
     while True:
         steps: list[tuple] = []
         busy: set[tuple] = set()
-        for key, wanted in sorted(quota.items()):
-            miss = wanted - sums.get(key, 0)
-            size = abs(miss)
-            can = ((F.col("repeats") < F.col("most")) & (F.col("uses") < F.col("top"))) if miss > 0 else F.col("repeats") > 0
-            near = F.abs(F.col("n_tokens") - size)
-            rows = out.where((F.col("key") == key) & can & (F.col("n_tokens") < 2 * size)).select("pattern", "before", "n_tokens", "repeats", near.alias("near"))
-            order = ["near", "repeats", "pattern", "before"]
-            best = rows.orderBy(*order).first()
-            if best is None:
-                continue
-            many = min(int(size // best.n_tokens), MOST_STEPS)
-            left = size
-            for r in [best] if many < 2 else rows.orderBy(*order).limit(many).collect():
+        miss = {k: q - sums.get(k, 0) for k, q in quota.items()}
+        lack = F.element_at(F.create_map(*[F.lit(v) for k, m in miss.items() for v in (k, float(m))]), F.col("key"))
+        can = F.when(lack > 0, (F.col("repeats") < F.col("most")) & (F.col("uses") < F.col("top"))).otherwise(F.col("repeats") > 0)
+        near = F.abs(F.col("n_tokens") - F.abs(lack))
+        rows = out.where(can & (F.col("n_tokens") < 2 * F.abs(lack))).select("key", near.alias("near"), "repeats", "pattern", "before", "n_tokens")
+        best = rows.groupBy("key").agg(F.min(F.struct("near", "repeats", "pattern", "before", "n_tokens")).alias("b"))
+        for key, first in sorted((r.key, r.b) for r in best.collect()):
+            left = abs(miss[key])
+            many = min(int(left // first.n_tokens), MOST_STEPS)
+            chosen = [first] if many < 2 else rows.where(F.col("key") == key).drop("key").orderBy("near", "repeats", "pattern", "before").limit(many).collect()
+            for r in chosen:
                 # a text that another source took in this round waits for the next
                 if r.n_tokens < 2 * left and (r.pattern, r.before) not in busy:
                     busy.add((r.pattern, r.before))
-                    steps.append((key, r.pattern, r.before, 1 if miss > 0 else -1, r.n_tokens))
+                    steps.append((key, r.pattern, r.before, 1 if miss[key] > 0 else -1, r.n_tokens))
                     left = abs(left - r.n_tokens)
         if not steps:
             return out
