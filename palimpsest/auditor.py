@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import Future, ThreadPoolExecutor
+from threading import BoundedSemaphore
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,9 @@ from palimpsest.sources.store import VersionStore
 from palimpsest.streaming.monitor import Meter
 
 
+QUEUED = 100  # submitted calls that wait or run
+
+
 class Auditor:
     """Set-at-a-time: a call versions or reads any number of entities."""
 
@@ -28,6 +33,7 @@ class Auditor:
         self.spark, self.store = spark, VersionStore(spark, root)
         self.registry, self.hooks, self.migrations = Registry(), Hooks(), Migrations()
         self.meter = Meter()
+        self._pool, self._waiting = ThreadPoolExecutor(1), BoundedSemaphore(QUEUED)
         self.strategy, self.interval, self.chain = strategy, interval, chain
         self.max_entity, self.max_metadata = max_entity, max_metadata
         self.store.migrate()
@@ -65,6 +71,24 @@ class Auditor:
         refused = bad if large is None else bad.unionByName(large, allowMissingColumns=True)
         return refused.select(F.lit(kind.name).alias("entity_type"), "entity_id", "error")
 
+    def submit(self, entity_type: str, states: DataFrame, context: Context | None = None, order: tuple[str, ...] = ("created_at",)) -> Future:
+        """``version`` in the background, one call after the other; its result or error is the future's.
+
+        Blocks while ``QUEUED`` calls wait. The queue is this process's: what must survive it goes to a log first.
+        """
+        self._waiting.acquire()
+        try:
+            call = self._pool.submit(self.version, entity_type, states, context, order)
+        except RuntimeError:
+            self._waiting.release()
+            raise
+        call.add_done_callback(lambda _: self._waiting.release())
+        return call
+
+    def close(self) -> None:
+        """Ends when all submitted calls are done; no more are taken."""
+        self._pool.shutdown(wait=True)
+
     def records(self, entity_type: str | None = None, tenant: str | None = None) -> DataFrame:
         """All records the hooks and the tenant let through, migrated to the latest schema_version."""
         df = tenant_scope(self.hooks.reading(self.store.read()), tenant)

@@ -13,13 +13,13 @@ from pyspark.sql import types as T
 
 from palimpsest.auditor import Auditor
 from palimpsest.functions import canon, metadata
-from palimpsest.model import ENTITY, strategy_name
+from palimpsest.model import ENTITY, cache_key, cold_key, strategy_name
 from palimpsest.operators import analytics, diff, guardrails, integrity, lifecycle, query, reconstruct, redact, versioning
 from palimpsest.plans.migrations import Migrations
 from palimpsest.plans.registry import EntityType, tagged
 from palimpsest.sources import wal
 from palimpsest.sources.scratch import materialize, new_path
-from palimpsest.sources.store import ColdStore, Router, VersionStore
+from palimpsest.sources.store import ColdStore, Router, VersionStore, decode, encode
 from palimpsest.streaming import versioner
 
 USER = EntityType("user", T.StructType([tagged("ID", T.StringType(), "id"), tagged("Status", T.StringType(), "tracked"), tagged("Cents", T.LongType(), "tracked"), tagged("K", T.LongType(), "tracked")]), "ID")
@@ -354,9 +354,74 @@ def compaction_plan(spark, d):
     return reconstruct.compaction_plan(users(spark, d).select("entity_type", "entity_id", "version", code.alias("strategy")), 5).select("entity_id", "version", "compact")
 
 
+@_query(f"""with {_U}, t as (select * from u qualify row_number() over (partition by entity_id order by version desc) = 1)
+  select entity_id, 'ID' as path, concat('"', entity_id, '"') as new_value from t union all select entity_id, 'Status', concat('"', status, '"') from t
+  union all select entity_id, 'Cents', cast(cents as varchar) from t union all select entity_id, 'K', cast(k as varchar) from t""")
+def compacted_reconstruct(spark, d):
+    """States are the same after compaction has made each third delta in a row full."""
+    rows = reconstruct.compact(_batch(spark, d), 3)
+    return reconstruct.reconstruct(materialize(rows.withColumn("data", F.when(F.col("strategy") == 0, F.col("data"))), "compacted")).select("entity_id", "path", "new_value")
+
+
+@_query(f"with {_U} select entity_id, bool_and(not (cast(entity_id as bigint) % 4 = 1 and version = 30)) as ok, max(case when cast(entity_id as bigint) % 4 = 1 and version = 30 then 'pointer' end) as error from u where version > 10 group by 1")
+def verify_anchored(spark, d):
+    """Chains whose first versions retention removed hold; a pointer that was changed is found."""
+    cut = (F.col("entity_id").cast("long") % 4 == 1) & (F.col("version") == 30)
+    rows = _chained(spark, d).where("version > 10").withColumn("previous_hash", F.when(cut, F.lit("0")).otherwise(F.col("previous_hash")))
+    return integrity.verify_chains(rows, anchored=True).select("entity_id", "ok", "error")
+
+
 # redaction, metadata, guardrails
 
 
+@_query(f"with {_U} select entity_id, true as ok, count(*) as versions from u group by 1")
+def redact_rechain(spark, d):
+    """Redacted records with a chain computed anew verify; none keeps the value."""
+    rows = integrity.hash_chain(redact.redact_field(_chained(spark, d), "Status"))
+    whole = rows.groupBy("entity_id").agg(F.sum((F.get_json_object("data", "$.Status") == "[REDACTED]").cast("long")).alias("versions"))
+    return integrity.verify_chains(rows).select("entity_id", "ok").join(whole, "entity_id")
+
+
+@_query("""select cast(o_orderkey as bigint) as key, concat('{"Price":', regexp_replace(cast(o_totalprice as varchar), '\\.0$', ''), ',"At":"', strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ'), '","Text":"', o_orderpriority, '","Raw":"', to_base64(o_orderpriority::blob), '","None":null,"List":["', o_orderstatus, '",null]}') as text from orders""")
+def canonical_text(spark, d):
+    """JSON text of floats, times, texts, bytes, nulls and lists."""
+    kind = T.StructType([T.StructField("Price", T.DoubleType()), T.StructField("At", T.TimestampType()), T.StructField("Text", T.StringType()), T.StructField("Raw", T.BinaryType()), T.StructField("None", T.LongType()), T.StructField("List", T.ArrayType(T.StringType()))])
+    values = (F.col("o_totalprice"), F.col("o_orderdate").cast("timestamp"), F.col("o_orderpriority"), F.col("o_orderpriority").cast("binary"), F.lit(None).cast("long"), F.array("o_orderstatus", F.lit(None).cast("string")))
+    rows = _table(spark, d, "orders").select("o_orderkey", F.struct(*[v.alias(f.name) for v, f in zip(values, kind.fields)]).alias("v"))
+    return rows.select(F.col("o_orderkey").alias("key"), canon.json_text(F.col("v"), kind).alias("text"))
+
+
+@_query("""select id, version, concat_ws(':', entity_type, entity_id, version) as cached, concat_ws('/', entity_type, entity_id, version) as cold, case strategy when 0 then 'full' when 1 then 'delta' when 2 then 'hybrid' else 'unknown' end as strategy, count(*) as copies from audit_versions group by all""")
+def record_keys(spark, d):
+    key = [F.col(c) for c in ("entity_type", "entity_id", "version")]
+    rows = _table(spark, d, "audit_versions").select("id", "version", cache_key(*key).alias("cached"), cold_key(*key).alias("cold"), strategy_name(F.col("strategy")).alias("strategy"))
+    return rows.groupBy("id", "version", "cached", "cold", "strategy").agg(F.count("*").alias("copies"))
+
+
+@_query("""select id, coalesce(metadata.actor_id, '') as actor_id, coalesce(metadata.reason, '') as reason, coalesce(len(delta), 0) as changes, coalesce(epoch_us(metadata.timestamp), -1) as at_us, coalesce(cardinality(metadata.custom), 0)::integer as customs, count(*) as copies from audit_versions group by all""")
+def flat_rows(spark, d):
+    """Records written as rows of a flat table, metadata and delta as JSON, and read back."""
+    back = decode(encode(_table(spark, d, "audit_versions")))
+    rows = back.select("id", F.coalesce("metadata.actor_id", F.lit("")).alias("actor_id"), F.coalesce("metadata.reason", F.lit("")).alias("reason"), F.coalesce(F.size("delta"), F.lit(0)).cast("long").alias("changes"), F.coalesce(F.unix_micros("metadata.timestamp"), F.lit(-1)).alias("at_us"), F.coalesce(F.size("metadata.custom"), F.lit(0)).alias("customs"))
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+
+
+@_query(f"""with {_U} select id, case when version % 9 = 0 or version % 9 = 1 then 'validation: empty entity id' when version % 9 = 2 then 'configuration: no state' end as error from u where version % 9 < 3""")
+def invalid_rejects(spark, d):
+    n = F.col("version") % 9
+    rows = users(spark, d).select("id", F.when(n == 0, " ").when(n != 1, F.col("entity_id")).alias("entity_id"), F.when(n != 2, F.col("state")).alias("state"))
+    return versioning.reject_invalid(rows)[1].select("id", "error")
+
+
+@_query(f"""with {_U} select id, actor_id, case when actor_type = 'system' then 'system' when actor_type = 'service' then 'service' else 'human' end as actor_type, case when k % 3 = 0 then id else concat('c-', entity_id) end as correlation_id, tenant_id as trace_id, '' as span_id, 'grpc' as source from u""")
+def grpc_metadata(spark, d):
+    pairs = F.create_map(
+        F.lit("x-actor-id"), F.array("actor_id", F.lit("second")), F.lit("x-actor-type"), F.array("actor_type"), F.lit("x-correlation-id"), F.array(F.when(F.col("k") % 3 == 0, "").otherwise(F.concat(F.lit("c-"), F.col("entity_id")))),
+        F.lit("x-request-id"), F.array("id"), F.lit("x-trace-id"), F.array("tenant_id"), F.lit("x-span-id"), F.array().cast("array<string>"),
+    )
+    return users(spark, d).select("id", metadata.from_grpc(pairs).alias("m")).select("id", "m.actor_id", "m.actor_type", "m.correlation_id", "m.trace_id", "m.span_id", "m.source")
+
+
 @_query(f"""with {_U} select entity_id, version, concat('{{"Cents":', cast(cents as varchar), ',"ID":"', entity_id, '","K":', cast(k as varchar), ',"Status":"[REDACTED]"}}') as data from u""")
 def redact_field(spark, d):
     return redact.redact_field(users(spark, d).select("entity_id", "version", "data"), "Status")

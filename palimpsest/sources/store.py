@@ -107,8 +107,8 @@ def write_jdbc(df: DataFrame, options: dict[str, str]) -> None:
 
 
 def encode(df: DataFrame) -> DataFrame:
-    """Records as rows of a flat table: metadata and delta as JSON."""
-    return df.withColumns({c: F.to_json(c) for c in ("metadata", "delta") if c in df.columns and df.schema[c].dataType.typeName() != "string"})
+    """Records as rows of a flat table: metadata and delta as JSON, times to the microsecond."""
+    return df.withColumns({c: F.to_json(c, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}) for c in ("metadata", "delta") if c in df.columns and df.schema[c].dataType.typeName() != "string"})
 
 
 def decode(df: DataFrame) -> DataFrame:

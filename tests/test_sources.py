@@ -218,6 +218,19 @@ def test_refused_states_leave_no_trace(spark):
     assert probes["store"][0] and probes["olap"][0] and probes["cache"] == (False, "unhealthy") and "zero" in probes["queue"][1]
 
 
+def test_submitted_calls(spark):
+    audit = Auditor(spark, new_path(spark, "audit"))
+    audit.register("person", SCHEMA)
+    calls = [audit.submit("person", people(spark, ("a", f"n{n}", n, n))) for n in range(3)] + [audit.submit("nobody", people(spark, ("a", "x", 1, 0)))]
+    assert [c.result().count() for c in calls[:3]] == [0, 0, 0]
+    with pytest.raises(model.ConfigurationError):
+        calls[3].result()
+    audit.close()
+    with pytest.raises(RuntimeError):
+        audit.submit("person", people(spark, ("a", "x", 1, 0)))
+    assert [r.version for r in audit.list_versions("person", "a", ascending=True).orderBy("version").collect()] == [1, 2, 3]
+
+
 def test_types_that_cannot_be_compared_are_stored_full(spark):
     kind = T.StructType([tagged("ID", T.StringType(), "id"), tagged("Took", T.DayTimeIntervalType(), "tracked"), tagged("N", T.LongType(), "tracked")])
     audit = Auditor(spark, new_path(spark, "audit"))
