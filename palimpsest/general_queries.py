@@ -161,7 +161,7 @@ union all select entity_type, entity_id, path, '{}' from objects p where not exi
 
 _DRIFT = f"""with cur as (select distinct on (id) * from audit_versions order by id, created_at desc), d as (select * from cur where coalesce(trim(data), '') not in ('', 'null')),
 n as (select d.id, entity_type, entity_id, version, schema_version, created_at, replace(substr(j.fullkey, 3), '"', '') as path, j.fullkey as k, case j.type when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' when 'NULL' then '' else 'number' end as kind
-  from d, json_tree(d.data) j where j.fullkey <> '$' and not contains(j.fullkey, '[') and not regexp_matches(j.fullkey, '\.(Tags|Settings|Nested|Items)\.')),
+  from d, json_tree(d.data) j where j.fullkey <> '$' and not contains(j.fullkey, '[') and not regexp_matches(j.fullkey, '[.](Tags|Settings|Nested|Items)[.]')),
 total as (select entity_type, schema_version, count(*) as rows from d group by all),
 f as (select entity_type, schema_version, path, any_value(rows) as rows, count(*) as c, count(*) filter (kind <> '') as known from n join total using (entity_type, schema_version) group by all having 4 * count(*) >= any_value(rows)),
 kinds as (select entity_type, schema_version, path, arg_max(kind, (c, kind)) as kind from (select entity_type, schema_version, path, kind, count(*) as c from n where kind <> '' group by all) group by all),

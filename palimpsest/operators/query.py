@@ -46,7 +46,7 @@ def list_versions(df: DataFrame, limit: int = PAGE, offset: int = 0, ascending:
     """A page of each entity's versions, newest first; a limit of 0 or less is unlimited. The limit is the feature."""
     rows = ranked(df, by, "version", ascending, "_n")
     page = (F.col("_n") > offset) & (F.lit(True) if limit <= 0 else F.col("_n") <= offset + limit)
-    return rows.where(page).drop("_n")
+    return rows.where(page).sortWithinPartitions(*by, "_n").drop("_n")
 
 
 def olap_page(df: DataFrame, entity_type: str, limit: int = PAGE, offset: int = 0, ascending: bool = False) -> DataFrame:

@@ -175,7 +175,7 @@ class Drift:
         out = [("renamed", p, q) for p, q in pairs.items()]
         out += [("removed", p, "") for p in self.old.keys() - self.new.keys() - pairs.keys()]
         out += [("added", "", q) for q in self.new.keys() - self.old.keys() - set(pairs.values())]
-        return out + [(s.kind, s.old, s.new) for s in self.script if s.kind == "retyped" and s.old == s.new]
+        return out + [(s.kind, s.old, s.new) for s in self.script if s.kind == "retyped"]
 
 
 def drifts(df: DataFrame, closed: tuple[str, ...] = (), least_share: float = 0.25) -> dict[tuple[str, int, int], Drift]:
@@ -263,6 +263,8 @@ def compile_projections(scripts: dict[tuple[str, int, int], list[Step]]) -> dict
             for s in script:
                 if s.kind in ("renamed", "moved"):
                     moves[s.old] = _follow(s.new, before)
+                    if s.to and moves[s.old] is not None:
+                        casts.setdefault(moves[s.old], s.to)
                 elif s.kind == "removed":
                     moves[s.old] = None
                 elif s.kind == "retyped" and (name := _follow(s.new, before)) is not None:

@@ -23,7 +23,7 @@ class Step:
     old: str
     new: str
     cost: float
-    to: str = ""  # the new type of a retyped field
+    to: str = ""  # the new type, where it changes
 
 
 @dataclass
@@ -211,26 +211,16 @@ def edit_script(old: dict[str, str], new: dict[str, str], alike: dict[tuple[str,
         if a not in partner:
             steps.append(Step("removed", a, "", 1.0))
             continue
-        b, share = partner[a], alike.get((a, partner[a]), 0.0)
-        if old[a] and new[b] and old[a] != new[b]:
-            steps.append(Step("retyped", a, b, 0.5, new[b]))
-        up, over = _above(a, old), _above(b, new)
-        carried = partner.get(up, up if up in new else None) == over and a[len(up) :] == b[len(over) :]
-        if carried and up:
-            continue
-        steps.append(Step("renamed" if partner.get(up, up) == over else "moved", a, b, 1 - share / 2))
+        b = partner[a]
+        (up, _, name), (over, _, label) = a.rpartition("."), b.rpartition(".")
+        to = new[b] if old[a] and new[b] and old[a] != new[b] else ""
+        if partner.get(up) == over and name == label and not to:
+            continue  # carried by its object
+        steps.append(Step("renamed" if partner.get(up, up) == over else "moved", a, b, 1 - alike.get((a, b), 0.0) / 2, to))
     steps += [Step("added", "", b, 1.0) for b in sorted(set(new) - set(old) - set(partner.values()))]
     return steps + [Step("retyped", p, p, 0.5, new[p]) for p in sorted(old.keys() & new.keys()) if old[p] and new[p] and old[p] != new[p]]
 
 
-def _above(path: str, among: dict[str, str]) -> str:
-    while path:
-        path = path.rpartition(".")[0]
-        if path in among:
-            return path
-    return ""
-
-
 def renames(script: list[Step]) -> dict[str, str]:
     return {s.old: s.new for s in script if s.kind in ("renamed", "moved")}
 

@@ -105,20 +105,25 @@ def buckets_of(df: DataFrame) -> list[int]:
     return sorted(r[0] for r in df.select(BUCKET).distinct().collect())
 
 
-def publish_buckets(df: DataFrame, root: str, replaced: list[int] | None = None, added: list[int] | None = None) -> int:
+def publish_buckets(df: DataFrame, root: str, replaced: list[int] | None = None, added: bool = False) -> int:
     """Make rows (with BUCKET) part of a new snapshot in one step; only they are written.
 
-    ``replaced``: these buckets' older rows are no longer in the snapshot (None, without ``added``: all older rows).
-    ``added``: the rows come to these buckets' older ones. A snapshot is a list of parts with their live buckets, in its
+    ``replaced``: these buckets' older rows are no longer in the snapshot (None, unless ``added``: all older rows).
+    ``added``: the rows come to the older ones. A snapshot is a list of parts with their live buckets, in its
     pointer file, so what a publication costs grows with its rows and the buckets it replaces, not with the table.
     """
     spark = df.sparkSession
     old = _manifest(spark, root) if current(spark, root) else None
     part = uuid.uuid4().hex
     df.hint("rebalance", BUCKET).write.partitionBy(BUCKET).option("compression", "zstd").parquet(f"{root}/part={part}")
-    parts = [] if old is None or (replaced is None and added is None) else [[p, [b for b in live if b not in set(replaced or ())]] for p, live in old["parts"]]
-    live = replaced if replaced is not None else added if added is not None else buckets_of(spark.read.schema(df.schema).parquet(f"{root}/part={part}"))
-    parts = [p for p in parts if p[1]] + ([[part, live]] if live else [])
+    fs, folder = _fs(spark, f"{root}/part={part}")
+    live = sorted(int(x.rpartition("=")[2]) for x in (s.getPath().getName() for s in fs.listStatus(folder)) if x.startswith(BUCKET))
+    parts = []
+    if old is not None and (replaced is not None or added):
+        for p, buckets, whole in old["parts"]:
+            left = [b for b in buckets if b not in set(replaced or ())]
+            parts += [[p, left, whole and left == buckets]] if left else []
+    parts += [[part, live, True]] if live else []
     return _point(spark, root, (current(spark, root) or 0) + 1, json.dumps({"parts": parts, "schema": df.schema.jsonValue()}))
 
 
@@ -130,8 +135,8 @@ def read_buckets(spark: SparkSession, root: str, number: int | None = None) -> D
     """The rows, with BUCKET, of a snapshot that ``publish_buckets`` made."""
     manifest = _manifest(spark, root, number)
     schema = StructType.fromJson(manifest["schema"])
-    fs, _ = _fs(spark, root)
-    paths = [p for part, live in manifest["parts"] for b in live if fs.exists(_fs(spark, p := f"{root}/part={part}/{BUCKET}={b}")[1])]
+    # a part none of whose buckets was replaced is one path
+    paths = [p for part, live, whole in manifest["parts"] for p in ([f"{root}/part={part}"] if whole else [f"{root}/part={part}/{BUCKET}={b}" for b in live])]
     if not paths:
         return spark.createDataFrame([], schema)
     whole = StructType([f for f in schema.fields if f.name != BUCKET]).add("part", StringType()).add(BUCKET, IntegerType())
@@ -141,7 +146,7 @@ def read_buckets(spark: SparkSession, root: str, number: int | None = None) -> D
 def vacuum(spark: SparkSession, root: str, keep: int = 1) -> int:
     """Delete parts that none of the last ``keep`` snapshots holds, and older pointers; returns how many parts went."""
     names = _pointers(spark, root)
-    needed = {p for n in names[-keep:] for p, _ in _manifest(spark, root, int(n.split("-")[1]))["parts"]}
+    needed = {p for n in names[-keep:] for p, *_ in _manifest(spark, root, int(n.split("-")[1]))["parts"]}
     fs, p = _fs(spark, root)
     for n in names[:-keep]:
         fs.delete(_fs(spark, f"{root}/{n}")[1], False)

@@ -50,15 +50,15 @@ class VersionStore:
         self.migrate()
         rows = self._bucketed(records)
         keys = rows.groupBy(*KEY, BUCKET).agg(F.count("*").alias("_n"))
-        touched, old = self._touched(rows)
+        _, old = self._touched(rows)
         old = old.select(*KEY, BUCKET, F.lit(True).alias("_old"))
         if strict:
             if keys.join(old, [*KEY, BUCKET], "left").where("_n > 1 or _old").limit(1).count():
                 raise DuplicateVersion("a version is there already")
-            return publish_buckets(rows, self.root, added=touched)
+            return publish_buckets(rows, self.root, added=True)
         rest = [f.name for f in RECORD.fields if f.name not in KEY]
         one = rows.groupBy(*KEY, BUCKET).agg(F.min_by(F.struct(*rest), F.struct("created_at", "id")).alias("_r")).select(*KEY, "_r.*", BUCKET)
-        return publish_buckets(one.join(old, [*KEY, BUCKET], "left_anti").select(*RECORD.fieldNames(), BUCKET), self.root, added=touched)
+        return publish_buckets(one.join(old, [*KEY, BUCKET], "left_anti").select(*RECORD.fieldNames(), BUCKET), self.root, added=True)
 
     def update(self, records: DataFrame, columns: tuple[str, ...] = ("data", "hash", "previous_hash", "metadata", "strategy", "delta")) -> int:
         """Replace columns of existing records by key; raises if a key isn't there."""

@@ -113,7 +113,7 @@ class TableLog:
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def _write(self, name: str, rows: DataFrame, **how) -> None:
-        publish_buckets(with_bucket(rows, self.buckets, "id"), f"{self.root}/{name}", **({"added": list(range(self.buckets))} | how))
+        publish_buckets(with_bucket(rows, self.buckets, "id"), f"{self.root}/{name}", **({"added": True} | how))
 
     def _read(self, name: str, kind: str) -> DataFrame:
         root = f"{self.root}/{name}"
@@ -136,8 +136,8 @@ class TableLog:
     def purge(self) -> int:
         """Rewrite the log without acknowledged entries; returns how many are left."""
         left = materialize(self.replay(), "replay")
-        self._write("entries", left, added=None)
-        self._write("acks", self.spark.createDataFrame([], "id string"), added=None)
+        self._write("entries", left, added=False)
+        self._write("acks", self.spark.createDataFrame([], "id string"), added=False)
         return left.count()
 
 
