@@ -127,6 +127,12 @@ def test_token_counts(spark):
     assert got[:2] == [2, 0] and got[2] > 1 and got[4] > 1000
 
 
+def test_shipped_vocabularies(spark):
+    name = tokens.ship(spark)
+    assert "/" not in name
+    assert [r[0] for r in documents(spark, "Hello world").select(tokens.n_tokens("text", name)).collect()] == [2]
+
+
 def test_running_sums(spark, monkeypatch):
     monkeypatch.setattr(prefix, "BLOCK_ROWS", 7)
     df = spark.range(200).select("id", F.when(F.col("id") % 3 > 0, "hot").alias("g"), (F.col("id") % 5).alias("v"))
