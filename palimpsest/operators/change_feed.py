@@ -253,7 +253,7 @@ def _apart(state: DataFrame, bucketed) -> DataFrame:
     begun = begun.groupBy(*entity, "member").agg(F.array_sort(F.collect_list("part")).alias("parts")).mapInArrow(_merged, "entity_type string, entity_id string, member string, new_value string")
     base = begun.join(last.select(*entity, "version", "change_seq"), entity).select(*entity, "member", F.lit("").alias("path"), "version", "change_seq", F.lit("w").alias("kind"), "new_value")
     split = "\x01"
-    shards = base.unionByName(later).withColumn("entity_id", F.concat("entity_id", F.lit(split), "member")).drop("member")
+    shards = base.unionByName(later).withColumn("entity_id", F.concat("entity_id", F.lit(split), F.hex("member"))).drop("member")
     leaves = bucketed(shards, *entity).mapInArrow(_entities, LEAF).withColumn("entity_id", F.expr(f"left(entity_id, length(entity_id) - locate('{split}', reverse(entity_id)))"))
     leaves = materialize(leaves.where("path <> '' or new_value <> '{}'"), "hot-leaves")  # what is left of a member that went
     # entities without any leaf: the whole value if it is no object and nothing was set, else the empty object

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.model import KEY
 
+# Ages at which records leave a tier.
 WARM_DAYS, COLD_DAYS = 90, 730
 
 

@@ -117,11 +117,6 @@ def _pairs(scanned: DataFrame) -> DataFrame:
     return inner.unionByName(across)
 
 
-def _at(value, path: str, closed: frozenset[str]):
-    """The member at a dotted path; names may hold dots themselves."""
-    return next((x for p, x in fields(value, closed) if p == path), None)
-
-
 def _evidence(candidates: dict, closed: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, same = Counter(), Counter()

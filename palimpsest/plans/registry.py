@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 from palimpsest.model import ConfigurationError
 
 FLAGS = frozenset({"id", "tracked", "ignore", "normalized", "redactable", "embedded"})
+# Fixed value.
 MAX_PAYLOAD = 5 * 1024 * 1024
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import OrderedDict
 from threading import Lock
 
+# Fixed value: entries held.
 CAPACITY = 1024
 
 

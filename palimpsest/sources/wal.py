@@ -48,6 +48,7 @@ def recover_counts(open_entries: DataFrame, stored: DataFrame) -> DataFrame:
     return recover(open_entries, stored)[1].groupBy("outcome").agg(F.count("*").alias("entries"))
 
 
+# Fixed value: the layout of a frame (length, JSON, CRC-32; big-endian).
 def frame(entry: dict) -> bytes:
     body = json.dumps(entry, ensure_ascii=False, separators=(",", ":")).encode()
     return struct.pack(">I", len(body)) + body + struct.pack(">I", zlib.crc32(body))
