@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from palimpsest.model import ENTITY, FULL
 from palimpsest.operators.change_feed import rebuild_state
 from palimpsest.plans.blocks import Blocks
+from palimpsest.sources.scratch import materialize
 
 
 def reconstruct(df: DataFrame, target: int | None = None) -> DataFrame:
@@ -19,8 +20,14 @@ def reconstruct(df: DataFrame, target: int | None = None) -> DataFrame:
     """
     rows = df if target is None else df.where(F.col("version") <= target)
     at = F.col("created_at").cast("timestamp")
-    whole = rows.where(F.col("strategy") == FULL).select(*ENTITY, "version", F.lit(0).alias("change_seq"), F.lit(0).cast("short").alias("strategy"), F.lit("").alias("path"), F.col("data").alias("new_value"), at.alias("received_at"), F.lit(0).cast("long").alias("feed_id"))
-    parts = rows.where(F.col("strategy") != FULL).select(*ENTITY, "version", at.alias("received_at"), F.posexplode("delta").alias("change_seq", "c"))
+    # nothing before the nearest full version matters, so no more than the last deltas of an entity travel
+    base = rows.where(F.col("strategy") == FULL).groupBy(*ENTITY).agg(F.max(F.struct("version", at.alias("received_at"), F.col("data").alias("new_value"))).alias("b"))
+    base = materialize(base.select(*ENTITY, "b.*"), "snapshots")
+    whole = base.select(*ENTITY, "version", F.lit(0).alias("change_seq"), F.lit(0).cast("short").alias("strategy"), F.lit("").alias("path"), "new_value", "received_at", F.lit(0).cast("long").alias("feed_id"))
+    later = rows.where((F.col("strategy") != FULL) & (F.size("delta") > 0)).select(*ENTITY, "version", at.alias("received_at"), "delta")
+    on = [F.col(f"l.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ENTITY]
+    later = later.alias("l").join(base.select(*ENTITY, F.col("version").alias("_base")).alias("b"), [*on, F.col("l.version") > F.col("b._base")]).select("l.*")
+    parts = later.select(*ENTITY, "version", "received_at", F.posexplode("delta").alias("change_seq", "c"))
     parts = parts.select(*ENTITY, "version", "change_seq", F.lit(1).cast("short").alias("strategy"), F.col("c.path").alias("path"), F.col("c.new_value").alias("new_value"), "received_at", F.lit(0).cast("long").alias("feed_id"))
     return rebuild_state(whole.unionByName(parts))
 
