@@ -97,14 +97,14 @@ def unpack(raw: bytes):
 def _packed(text):
     try:
         return None if text is None else pack(json.loads(text))
-    except (ValueError, SerializationError):
+    except (ValueError, SerializationError, RecursionError):
         return None
 
 
 def _unpacked(raw):
     try:
         return None if raw is None else json.dumps(unpack(raw), ensure_ascii=False, separators=(",", ":"), default=lambda b: base64.b64encode(b).decode())
-    except (SerializationError, TypeError):
+    except (SerializationError, TypeError, RecursionError):
         return None
 
 

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.auditor import Auditor
-from palimpsest.functions import canon, metadata
-from palimpsest.model import ENTITY, cache_key, cold_key, strategy_name
+from palimpsest.functions import canon, metadata, msgpack
+from palimpsest.model import ENTITY, cache_key, cold_key, record_id, strategy_name
 from palimpsest.operators import analytics, diff, guardrails, integrity, lifecycle, query, reconstruct, redact, versioning
+from palimpsest.plans.hooks import Hooks
 from palimpsest.plans.migrations import Migrations
-from palimpsest.plans.registry import EntityType, tagged
+from palimpsest.plans.registry import EntityType, Registry, tagged
 from palimpsest.sources import wal
-from palimpsest.sources.scratch import materialize, new_path
+from palimpsest.sources.scratch import materialize, new_path, write_bytes
 from palimpsest.sources.store import ColdStore, Router, VersionStore, decode, encode
 from palimpsest.streaming import versioner
 
@@ -459,9 +460,64 @@ def guardrail_rejects(spark, d):
     return guardrails.split_by_size(rows, max_entity=300)[1].select("id", "entity_id", "error").dropDuplicates(["id"])
 
 
+@_query(f"""with {_U} select id, 'me' as actor_id, 'service' as actor_type, 'nightly' as reason, 'c-1' as correlation_id, 'acme' as tenant_id, 'last' as twice, epoch_us(created_at) as at_us from u""")
+def context_metadata(spark, d):
+    """A request's context stamped on a batch: NUL bytes go, of custom entries with one name the last stays."""
+    context = metadata.Context().actor("m\0e", "service").reason("nightly").correlation("c-1").custom(twice="first").custom(twice="last").tenant("acme")
+    rows = users(spark, d).select("id", context.metadata(F.col("created_at")).alias("m"))
+    return rows.select("id", "m.actor_id", "m.actor_type", "m.reason", "m.correlation_id", F.element_at("m.custom", "tenant_id").alias("tenant_id"), F.element_at("m.custom", "twice").alias("twice"), F.unix_micros("m.timestamp").alias("at_us"))
+
+
+@_query(f"with {_U} select id, status from u where status <> 'error' and k % 2 = 0")
+def hooked_reads(spark, d):
+    """Hooks before reads, in order: one narrows, one only looks, one narrows what the first left."""
+    hooks, seen = Hooks(), []
+    hooks.before_read(lambda df: df.where("status <> 'error'"))
+    hooks.before_read(lambda df: seen.append(df.columns))
+    hooks.before_read(lambda df: df.where("k % 2 = 0"))
+    return hooks.reading(users(spark, d)).select("id", "status")
+
+
+@_query("select id, version, json_extract_string(data, '$.ID') as entity, len(json_keys(data)) as members, count(*) as copies from audit_versions where json_valid(data) and json_type(data) = 'OBJECT' group by all")
+def msgpack_payloads(spark, d):
+    """Payloads as MessagePack and back."""
+    rows = _table(spark, d, "audit_versions").withColumn("data", msgpack.from_msgpack(msgpack.to_msgpack("data"))).where("json_object_keys(data) is not null")
+    return rows.groupBy("id", "version", F.get_json_object("data", "$.ID").alias("entity"), F.size(F.json_object_keys("data")).cast("long").alias("members")).agg(F.count("*").alias("copies"))
+
+
+@_query("select id, version, sha256(concat_ws(chr(0), entity_type, entity_id, cast(version as varchar))) as made, count(*) as copies from audit_versions group by all")
+def record_ids(spark, d):
+    rows = _table(spark, d, "audit_versions").select("id", "version", record_id(F.col("entity_type"), F.col("entity_id"), F.col("version")).alias("made"))
+    return rows.groupBy("id", "version", "made").agg(F.count("*").alias("copies"))
+
+
+@_query(f"""with {_U} select entity_id, version, concat('{{"Cents":"[REDACTED]","ID":"', entity_id, '","K":', cast(k as varchar), ',"Status":"[REDACTED]"}}') as data from u""")
+def redact_flagged(spark, d):
+    """All fields that the registered type flags as redactable."""
+    registry = Registry()
+    kind = registry.register("user", T.StructType([tagged("ID", T.StringType(), "id"), tagged("Status", T.StringType(), "tracked,redactable"), tagged("Cents", T.LongType(), "redactable"), tagged("K", T.LongType(), "tracked")]))
+    rows = users(spark, d).select("entity_id", "version", "data")
+    for path in kind.paths("redactable"):
+        rows = redact.redact_field(rows, path)
+    return rows
+
+
 # lifecycle
 
 
+@_query("""select entity_type, count(*) as deleted from audit_versions where entity_type in ('orderentity', 'userentity') and created_at < timestamptz '2024-07-01 00:00:00+00' - case entity_type when 'orderentity' then interval 365 day else interval 30 day end group by 1""")
+def retention_counts(spark, d):
+    return lifecycle.retain(_table(spark, d, "audit_versions").select("entity_type", "created_at"), {"orderentity": 365, "userentity": 30, "company": 0}, NOW)[1]
+
+
+@_query(f"""with {_C} select case when created_at < timestamp '1998-08-01' - interval 730 day then 'cold' when created_at < timestamp '1998-08-01' - interval 90 day then 'warm' else 'hot' end as tier, entity_type, count(*) as records, sum(cents) as cents from c group by all""")
+def tier_files(spark, d):
+    """Records written by tier and type, and read back by folder."""
+    at = new_path(spark, "tiers")
+    lifecycle.write_tiers(customers(spark, d).select("id", "entity_type", "created_at", "cents"), at, "1998-08-01 00:00:00")
+    return spark.read.parquet(at).groupBy("tier", "entity_type").agg(F.count("*").alias("records"), F.sum("cents").alias("cents"))
+
+
 @_query("""select id, version, entity_type, coalesce(case entity_type when 'orderentity' then created_at < timestamptz '2024-07-01 00:00:00+00' - interval 365 day when 'userentity' then created_at < timestamptz '2024-07-01 00:00:00+00' - interval 30 day end, false) as expired,
   count(*) as copies from audit_versions group by all""")
 def retention_split(spark, d):
@@ -486,6 +542,20 @@ def wal_unacked(spark, d):
     return wal.unacknowledged(users(spark, d).select("id", "created_at"), acks).select("id")
 
 
+@_query("select concat('n-', n_nationkey) as id, n_name as name, cast(n_regionkey as bigint) as region from nation where n_nationkey % 3 <> 0")
+def wal_files(spark, d):
+    """A log file of frames, one damaged and the last cut off, and its acknowledgements: what is open is replayed."""
+    rows = _table(spark, d, "nation").orderBy("n_nationkey").collect()  # a fixed table
+    frames = [wal.frame({"id": f"n-{r.n_nationkey}", "record": {"name": r.n_name, "region": r.n_regionkey}, "created_at": "t"}) for r in rows]
+    damaged = bytearray(wal.frame({"id": "damaged", "record": {}}))
+    damaged[-1] ^= 1
+    at = new_path(spark, "frames")
+    write_bytes(spark, f"{at}/1.wal", b"".join(frames[:9]) + bytes(damaged) + b"".join(frames[9:]) + frames[0][:-3])
+    write_bytes(spark, f"{at}/acks", "".join(f"n-{r.n_nationkey}\n" for r in rows if r.n_nationkey % 3 == 0).encode())
+    left = wal.unacknowledged(wal.read_files(spark, f"{at}/*.wal"), wal.read_acks(spark, f"{at}/acks"))
+    return left.select("id", F.get_json_object("record", "$.name").alias("name"), F.get_json_object("record", "$.region").cast("long").alias("region"))
+
+
 @_query(f"""with {_U}, e as (select * from u where substr(id, 4)::bigint % 3 = 0) select case when version <= 30 then 'skipped' else 'replayed' end as outcome, count(*) as entries from e group by 1""")
 def wal_recover_counts(spark, d):
     rows = users(spark, d).select("id", "entity_type", "entity_id", "version")

@@ -75,12 +75,17 @@ def publish(df: DataFrame, root: str) -> int:
     return _point(spark, root, (current(spark, root) or 0) + 1, data)
 
 
-def _point(spark: SparkSession, root: str, number: int, text: str) -> int:
-    fs, staged = _fs(spark, f"{root}/.staged-{uuid.uuid4().hex}")
-    stream = fs.create(staged)
-    stream.write(bytearray(text.encode()))
+def write_bytes(spark: SparkSession, path: str, raw: bytes):
+    fs, p = _fs(spark, path)
+    stream = fs.create(p)
+    stream.write(bytearray(raw))
     stream.close()
-    _, final = _fs(spark, f"{root}/current-{number:010d}")
+    return p
+
+
+def _point(spark: SparkSession, root: str, number: int, text: str) -> int:
+    staged = write_bytes(spark, f"{root}/.staged-{uuid.uuid4().hex}", text.encode())
+    fs, final = _fs(spark, f"{root}/current-{number:010d}")
     if fs.exists(final) or not fs.rename(staged, final):
         raise RuntimeError(f"snapshot {number} of {root} was published by another writer")
     return number
