@@ -39,6 +39,16 @@ def p7_buckets(spark: SparkSession, d: str) -> DataFrame:
     return packing.bucket_report(_table(spark, d, "documents"), _specs(spark, d))
 
 
+def p7_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """(spec_name, texts, beyond, gaps): texts placed, containers over their capacity, texts whose pieces don't join on."""
+    specs = _specs(spark, d)
+    pieces = packing.pack(_table(spark, d, "documents"), specs)
+    over = packing.fill(pieces, specs).groupBy("spec_name").agg(F.sum((F.col("fill") > 1).cast("long")).alias("beyond"))
+    texts = pieces.groupBy("spec_name", "doc_id").agg(F.sum("n_tokens").alias("all"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"), F.count("*").alias("n"), F.max("piece").alias("last"))
+    whole = texts.groupBy("spec_name").agg(F.count("*").alias("texts"), F.sum(((F.col("all") != F.col("end")) | (F.col("n") != F.col("last") + 1)).cast("long")).alias("gaps"))
+    return whole.join(over, "spec_name").select("spec_name", "texts", "beyond", "gaps")
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_table(spark, d, "documents"), _table(spark, d, "mix_targets"))[0]
 
@@ -70,5 +80,7 @@ def p9_levels(spark: SparkSession, d: str) -> DataFrame:
     return reading.levels(_table(spark, d, "documents"), _table(spark, d, "reading_labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_packed, p7_fill, p7_bucket_fill, p7_buckets, p8_mix, p8_shares, p8_paper_mix, p8_paper_shares, p9_found, p9_levels)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_packed, p7_fill, p7_bucket_fill, p7_buckets, p7_coverage, p8_mix, p8_shares, p8_paper_mix, p8_paper_shares, p9_found, p9_levels)}
+ORACLES: dict[str, str] = {
+    "p7_coverage": "select spec_name, (select count(*) from documents) as texts, cast(0 as bigint) as beyond, cast(0 as bigint) as gaps from pack_specs",
+}
