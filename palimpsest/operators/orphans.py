@@ -38,9 +38,12 @@ class _Range:
 
     def __init__(self) -> None:
         self.keys: list[bytes] = []
+        self.periods: dict[str, int] = {}
         self.rows: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def add(self, keys: list[bytes], parent: np.ndarray, period: np.ndarray, at: np.ndarray) -> None:
+    def add(self, part: pa.RecordBatch) -> None:
+        """Rows in order of key."""
+        keys = part.column("key").to_pylist()
         ordinals = np.empty(len(keys), np.int64)
         last, n = (self.keys[-1] if self.keys else None), len(self.keys) - 1
         for i, k in enumerate(keys):
@@ -48,42 +51,40 @@ class _Range:
                 self.keys.append(k)
                 last, n = k, n + 1
             ordinals[i] = n
-        self.rows.append((ordinals, parent, period, at))
+        told = part.column("period").dictionary_encode()
+        codes = np.array([self.periods.setdefault(p, len(self.periods)) for p in told.dictionary.to_pylist()], np.int64)
+        self.rows.append((ordinals, part.column("parent").to_numpy(False).astype(bool), codes[told.indices.to_numpy()], part.column("at").to_numpy(False)))
 
     def survivors(self) -> Iterator[tuple[str, str, np.ndarray, np.ndarray | None]]:
         """(period, finding, ordinals, parents' times)."""
         if not self.rows:
             return
+        names = sorted(self.periods)
+        rank = np.empty(len(names), np.int64)
+        rank[[self.periods[p] for p in names]] = np.arange(len(names))
         ordinal, parent, period, at = (np.concatenate(c) for c in zip(*self.rows))
-        born = np.full(len(self.keys), np.iinfo(np.int64).max)
+        period = rank[period]  # periods by their place in time
+        never = np.iinfo(np.int64).max
+        born, first = np.full(len(self.keys), never), np.full(len(self.keys), never)
         np.minimum.at(born, ordinal[parent], at[parent])
-        parents = Bitmap.of(ordinal[parent])
-        first: dict[int, str] = {}  # the period of each parent's earliest time
-        for o, t, p in zip(ordinal[parent].tolist(), at[parent].tolist(), period[parent].tolist()):
-            if t == born[o]:
-                first[o] = min(p, first.get(o, p))
-        came: dict[str, list[int]] = {}
-        for o, p in first.items():
-            came.setdefault(p, []).append(o)
-        there = Bitmap()
-        steps = sorted(came)
-        done = 0
-        for p in sorted(set(period[~parent].tolist())):
+        earliest = parent & (at == born[ordinal])
+        np.minimum.at(first, ordinal[earliest], period[earliest])  # the period of each parent's earliest time
+        parents = Bitmap.of(np.unique(ordinal[parent]))
+        there, done = Bitmap(), -1
+        for p in np.unique(period[~parent]).tolist():
             mine = ~parent & (period == p)
             referenced = Bitmap.of(ordinal[mine])
-            yield p, ABSENT, referenced.andnot(parents).ordinals(), None
-            if not p:
+            yield names[p], ABSENT, referenced.andnot(parents).ordinals(), None
+            if not names[p]:
                 continue  # a reference without time is never early
-            while done < len(steps) and steps[done] <= p:
-                there = there | Bitmap.of(sorted(came[steps[done]]))
-                done += 1
+            there = there | Bitmap.of(np.flatnonzero((first > done) & (first <= p)))
+            done = p
             late = (referenced & parents).andnot(there)
-            same = referenced & Bitmap.of(sorted(came.get(p, [])))
-            early = np.full(len(self.keys), np.iinfo(np.int64).max)
+            inside = (referenced & Bitmap.of(np.flatnonzero(first == p))).ordinals()
+            early = np.full(len(self.keys), never)
             early[ordinal[mine]] = at[mine]
-            inside = same.ordinals()
             late = late | Bitmap.of(inside[early[inside] < born[inside]])
-            yield p, LATER, late.ordinals(), born
+            yield names[p], LATER, late.ordinals(), born
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +109,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held = _Range()
             last = ranges[a]
             part = batch.slice(a, b - a)
-            held.add(part.column("key").to_pylist(), part.column("parent").to_numpy(False).astype(bool), np.array(part.column("period").to_pylist(), object), part.column("at").to_numpy(False))
+            held.add(part)
     yield from end()
 
 
