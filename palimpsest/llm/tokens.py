@@ -41,6 +41,7 @@ def count(text: str | None, vocabulary: str = VOCABULARY) -> int:
 def n_tokens(text: Column | str, vocabulary: str = VOCABULARY) -> Column:
     """Tokens of the whole text; 0 for null. The vocabulary: a path that every machine has, or what ``ship`` returns."""
 
+    # a call a text: the encoder's batch call takes half as long again
     @F.arrow_udf(LongType())
     def counted(texts: pa.Array) -> pa.Array:
         return pa.array([count(t.as_py(), vocabulary) for t in texts], pa.int64())
