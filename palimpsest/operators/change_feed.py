@@ -287,7 +287,7 @@ def rebuild_state(feed: DataFrame) -> DataFrame:
         F.coalesce(F.unix_micros(F.col("received_at").cast("timestamp")), F.lit(early)).alias("received_at"), F.coalesce(F.col("feed_id").cast("long"), F.lit(early)).alias("feed_id"),
         F.coalesce(F.col("strategy"), F.when(path == "", 0).otherwise(1)).cast("short").alias("strategy"), path.alias("path"), "new_value",
     )
-    sizes = materialize(rows.groupBy("entity_type", "entity_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("new_value")).alias("bytes")), "sizes")
+    sizes = rows.groupBy("entity_type", "entity_id").agg(F.count("*").alias("n"), F.sum(F.octet_length("new_value")).alias("bytes"))
     count, size, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("bytes"), F.lit(0)), F.max("n")).first()
     # tasks are the session's matter; buckets inside a task are as many as memory asks
     tasks = int(feed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -302,7 +302,7 @@ def rebuild_state(feed: DataFrame) -> DataFrame:
     state = bucketed(deliveries, *key).mapInArrow(_bucket, STATE)
     if (most or 0) > HOT_ROWS:
         state = materialize(state, "state")
-        hot = sizes.where(F.col("n") > HOT_ROWS).select("entity_type", "entity_id")
+        hot = materialize(sizes.where(F.col("n") > HOT_ROWS).select("entity_type", "entity_id"), "hot-entities")
         rest = state.join(hot, ["entity_type", "entity_id"], "left_anti")
         leaves = bucketed(rest, "entity_type", "entity_id").mapInArrow(_entities, LEAF).unionByName(_apart(state.join(hot, ["entity_type", "entity_id"], "left_semi"), bucketed))
     else:
