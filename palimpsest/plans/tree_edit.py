@@ -99,8 +99,8 @@ class _Distance:
 
     def __init__(self, alike: dict[tuple[str, str], float]):
         self.alike = alike
-        self.trees: dict[tuple[str, str], tuple[float, tuple]] = {}
-        self.forests: dict[tuple[str, str], tuple[float, tuple]] = {}
+        self.trees: dict[tuple[str, str, bool], tuple[float, tuple]] = {}
+        self.forests: dict[tuple[str, str, bool], tuple[float, tuple]] = {}
 
     def pair(self, a: Node, b: Node, inside: bool) -> float:
         """What mapping a to b costs, without their children."""
@@ -114,34 +114,35 @@ class _Distance:
             return _NEVER
         return base if a.name != b.name else base / 2
 
-    def tree(self, a: Node, b: Node, inside: bool = True) -> float:
-        key = a.path, b.path
+    def tree(self, a: Node, b: Node, inside: bool) -> float:
+        """``inside``: their parents are mapped to each other."""
+        key = a.path, b.path, inside
         if key not in self.trees:
-            best = self.forest(a, b) + self.pair(a, b, inside), ("map",)
+            best = self.forest(a, b, True) + self.pair(a, b, inside), ("map",)
             # all of a goes below one child of b, the rest of b is new; or the other way round
             for c in b.children:
-                best = min(best, (b.size - c.size + self.tree(a, c), ("under", c)), key=lambda x: x[0])
+                best = min(best, (b.size - c.size + self.tree(a, c, False), ("under", c)), key=lambda x: x[0])
             for c in a.children:
-                best = min(best, (a.size - c.size + self.tree(c, b), ("over", c)), key=lambda x: x[0])
+                best = min(best, (a.size - c.size + self.tree(c, b, False), ("over", c)), key=lambda x: x[0])
             self.trees[key] = best
         return self.trees[key][0]
 
-    def forest(self, a: Node, b: Node) -> float:
-        key = a.path, b.path
+    def forest(self, a: Node, b: Node, inside: bool) -> float:
+        """What is below a to what is below b. ``inside``: a is mapped to b."""
+        key = a.path, b.path, inside
         if key not in self.forests:
-            cost, pairs = self.children(a.children, b.children)
+            cost, pairs = self.children(a.children, b.children, inside)
             best = cost, ("match", pairs)
-            below_a, below_b = a.size - 1, b.size - 1
             for c in b.children:
                 if c.children and a.children:
-                    best = min(best, (below_b - (c.size - 1) + self.forest(a, c), ("under", c)), key=lambda x: x[0])
+                    best = min(best, (b.size - c.size + self.forest(a, c, False), ("under", c)), key=lambda x: x[0])
             for c in a.children:
                 if c.children and b.children:
-                    best = min(best, (below_a - (c.size - 1) + self.forest(c, b), ("over", c)), key=lambda x: x[0])
+                    best = min(best, (a.size - c.size + self.forest(c, b, False), ("over", c)), key=lambda x: x[0])
             self.forests[key] = best
         return self.forests[key][0]
 
-    def children(self, a: list[Node], b: list[Node], inside: bool = True) -> tuple[float, list[tuple[Node, Node]]]:
+    def children(self, a: list[Node], b: list[Node], inside: bool) -> tuple[float, list[tuple[Node, Node]]]:
         """The cheapest assignment of subtrees to each other; the others are deleted or added whole."""
         total = float(sum(x.size for x in a) + sum(x.size for x in b))
         costs = [[self.tree(x, y, inside) - x.size - y.size for y in b] for x in a]
@@ -150,22 +151,22 @@ class _Distance:
         # a row's own column at the end: its subtree is deleted
         found = assign([[min(costs[i][j], 0.5) for j in columns] + [0.0] * len(rows) for i in rows])
         pairs = [(a[i], b[columns[k]]) for i, k in zip(rows, found) if k < len(columns) and costs[i][columns[k]] < 0]
-        return total + sum(self.trees[x.path, y.path][0] - x.size - y.size for x, y in pairs), pairs
+        return total + sum(self.trees[x.path, y.path, inside][0] - x.size - y.size for x, y in pairs), pairs
 
     def mapped(self, pairs: list[tuple[Node, Node]]) -> list[tuple[Node, Node]]:
-        """The pairs of nodes that the cheapest mapping of these subtrees holds."""
+        """The pairs of nodes that the cheapest mapping of these subtrees, whose parents aren't mapped, holds."""
         out = []
-        todo: list[tuple[str, Node, Node]] = [("tree", *p) for p in pairs]
+        todo = [("tree", *p, False) for p in pairs]
         while todo:
-            what, a, b = todo.pop()
-            how = (self.trees if what == "tree" else self.forests)[a.path, b.path][1]
+            what, a, b, inside = todo.pop()
+            how = (self.trees if what == "tree" else self.forests)[a.path, b.path, inside][1]
             if how[0] == "map":
                 out.append((a, b))
-                todo.append(("forest", a, b))
+                todo.append(("forest", a, b, True))
             elif how[0] == "match":
-                todo += [("tree", *p) for p in how[1]]
+                todo += [("tree", *p, inside) for p in how[1]]
             else:
-                todo.append((what, a, how[1]) if how[0] == "under" else (what, how[1], b))
+                todo.append((what, a, how[1], False) if how[0] == "under" else (what, how[1], b, False))
         return out
 
 

@@ -197,6 +197,8 @@ def test_tree_edit_scripts():
     # moved to where nothing else changes
     steps = edit_script({"P": "object", "P.v": "string"}, {"P": "object", "v": "string"}, {("P.v", "v"): 1.0})
     assert [(s.kind, s.old, s.new) for s in steps] == [("moved", "P.v", "v")]
+    # an equal name below another parent is no reason to move a value
+    assert [s.kind for s in edit_script({"x": "string"}, {"B": "object", "B.x": "string"}, {})] == ["removed", "added", "added"]
     assert edit_script({}, {}, {}) == [] and [s.kind for s in edit_script({"a": "string"}, {"b": "string"}, {})] == ["removed", "added"]
 
 
@@ -226,7 +228,7 @@ def test_tree_distance_is_minimal():
         a, b = grow(rng.randint(1, 4), "pqrs"), grow(rng.randint(1, 4), "pqtu")
         alike = {(x.path, y.path): rng.choice([0.6, 0.8, 1.0]) for x in a[1:] for y in b[1:] if rng.random() < 0.4}
         d = _Distance(alike)
-        cost, _ = d.children(a[0].children, b[0].children)
+        cost, _ = d.children(a[0].children, b[0].children, False)
         least = float(len(a) + len(b) - 2)
         for size in range(1, min(len(a), len(b))):
             for xs in itertools.combinations(a[1:], size):
@@ -236,8 +238,11 @@ def test_tree_distance_is_minimal():
                         least = min(least, c)
         assert cost >= least - 1e-9  # the restricted distance is never below the unrestricted one
         assert cost <= len(a) + len(b) - 2
-        held = d.mapped(d.children(a[0].children, b[0].children)[1])
-        assert abs(sum(d.pair(x, y, True) for x, y in held) + len(a) + len(b) - 2 - 2 * len(held) - cost) < 1e-9
+        held = d.mapped(d.children(a[0].children, b[0].children, False)[1])
+        up = {c.path: x.path for t in (a, b) for x in t for c in x.children}
+        ways = {(x.path, y.path) for x, y in held}
+        inside = [bool(up[x.path] and up[y.path] and (up[x.path], up[y.path]) in ways) for x, y in held]
+        assert abs(sum(d.pair(x, y, i) for (x, y), i in zip(held, inside)) + len(a) + len(b) - 2 - 2 * len(held) - cost) < 1e-9
 
 
 def test_a_renamed_object_is_reported_field_by_field(spark):
