@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,11 +67,8 @@ def p3_shapes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_order_items(spark: SparkSession, d: str) -> DataFrame:
-    """The typed tables of the items of orders, as their types were inferred."""
-    store = nested.subtypes(_versions(spark, d), ITEMS)
-    parts = [store.table(t.number) for t in store.of("data.Items[]")]
-    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return every.select(*nested.KEYS, "position", "SKU", "Quantity", "Price")
+    """The items of orders, from their typed tables and, for forms without one, from the table of JSON text."""
+    return nested.subtypes(_versions(spark, d), ITEMS).members("data.Items[]", {"SKU": "string", "Quantity": "bigint", "Price": "double"})
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

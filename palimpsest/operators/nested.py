@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -148,6 +148,17 @@ def plan_tables(forms: list[tuple[str, str, str]]) -> tuple[list[Subtype], dict[
     return [Subtype(n, s, k if isinstance(k, T.StructType) else T.StructType()) for n, (s, k) in enumerate(kinds)], where
 
 
+def _fit(value: Column, have: T.DataType, kind: str) -> Column:
+    """The value in a type; null if it has no such form."""
+    text = F.to_json(value) if isinstance(have, (T.ArrayType, T.StructType)) else value.cast("string")
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return F.round(text.try_cast("decimal(38,18)")).try_cast(kind)
+    if kind in ("float", "double"):
+        # Java takes 1d and 0x1p3 for numbers
+        return F.when(~text.rlike(r"[0-9.][dDfF]\s*$|[xX]"), text).try_cast(kind)
+    return text.try_cast(kind)
+
+
 @dataclass(frozen=True)
 class Subtypes:
     """The written tables. ``rows``: what all have in common (KEYS, supertype, position, variant, shape, subtype)."""
@@ -167,6 +178,26 @@ class Subtypes:
     def of(self, supertype: str) -> list[Subtype]:
         return [t for t in self.tables if t.supertype == supertype]
 
+    def members(self, supertype: str, columns: dict[str, str]) -> DataFrame:
+        """All nodes of a supertype, from its typed tables and from OTHER: KEYS, position, a column per (member -> Spark type).
+
+        Names match in letter case too. Members that a node lacks, or that don't fit the type, are null; fractions
+        become whole numbers by rounding, halves away from zero; objects and arrays become JSON text (a typed table doesn't
+        tell their null members from absent ones), but arrays that hold objects are null, as they are tables of their own.
+        """
+        tables = self.of(supertype)
+        rows = self.stored.where(F.col("subtype").isin(OTHER, *(t.number for t in tables)) & (F.col("supertype") == supertype))
+        return rows.select(*KEYS, "position", *[self._member(tables, name, kind).alias(name) for name, kind in columns.items()])
+
+    @staticmethod
+    def _member(tables: list[Subtype], name: str, kind: str) -> Column:
+        value = F.when(F.col("subtype") == OTHER, _fit(F.get_json_object("body", f"$['{name}']"), T.StringType(), kind))
+        for t in tables:
+            for f in t.schema.fields:
+                if f.name == name:
+                    value = value.when(F.col("subtype") == t.number, _fit(F.col(f"t{t.number}.`{name}`"), f.dataType, kind))
+        return value
+
 
 def subtypes(df: DataFrame, spelled: str | None = None) -> Subtypes:
     """The current rows' nodes in their typed tables.

@@ -4,6 +4,7 @@ import json
 from datetime import datetime, timedelta, timezone
 
 import brute
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -310,6 +311,23 @@ def test_more_forms_than_tables(spark, monkeypatch):
     assert store.rows.count() == 20 and len(store.tables) == 2 and store.stored.where("body is not null").count() == 12
 
 
+@pytest.mark.parametrize("forms", [0, 2, nested.MOST_FORMS])
+def test_items_without_a_typed_table(spark, monkeypatch, tmp_path, forms):
+    """Whatever the number of forms that get typed tables, the items are those that SQL gives."""
+    monkeypatch.setattr(nested, "MOST_FORMS", forms)
+    items = [{"SKU": f"s{n}", "Quantity": n, "Price": n + 0.5, f"m{n}": 1} for n in range(6)]
+    items += [{"SKU": 7, "Quantity": "2", "Price": "2.5"}, {"SKU": "x", "Quantity": True, "Price": "1d"}, {"sku": "a", "SKU": "b"}, {"sku": "c"}, {"SKU": ["q", 1], "Quantity": 2.5, "Price": "no"}, {"Quantity": -1.5, "Price": None}, {}, {"Quantity": 12345678901234567890, "Price": 12345678901234567890}]
+    df = record(spark, {"id": "a", "data": json.dumps({"Items": items}), "created_at": T0}, {"id": "b", "data": json.dumps({"Items": {"SKU": "bare"}, "Others": [{"SKU": "no"}]}), "created_at": T0}, {"id": "c", "data": "{}", "created_at": T0})
+    df.write.parquet(f"{tmp_path}/some/audit_versions.parquet")
+    df.limit(0).write.parquet(f"{tmp_path}/none/audit_versions.parquet")
+    found = g.p3_order_items(spark, f"{tmp_path}/some")
+    sql = g.ORACLES["p3_order_items"].replace("from audit_versions", f"from '{tmp_path}/some/audit_versions.parquet/*.parquet'")
+    result = duckdb.sql(sql)
+    assert found.columns == result.columns and found.count() == 15
+    assert got(found) == want(result.fetchall())
+    assert got(g.p3_order_items(spark, f"{tmp_path}/none")) == []
+
+
 @pytest.mark.parametrize("levels", [500, 2000])
 def test_very_deep_records(spark, levels):
     """A text nested thousands of levels deep is JSON like any other."""
