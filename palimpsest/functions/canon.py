@@ -20,6 +20,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def fit(text: Column, kind: str) -> Column:
+    """The text in a Spark type; null if it has no such form. Fractions are rounded to whole numbers, halves away from zero."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return F.round(text.try_cast("decimal(38,18)")).try_cast(kind)
+    if kind in ("float", "double"):
+        # Java takes 1d and 0x1p3 for numbers
+        return F.when(~text.rlike(r"[0-9.][dDfF]\s*$|[xX]"), text).try_cast(kind)
+    return text.try_cast(kind)
+
+
 def json_string(c: Column) -> Column:
     """A JSON string literal; null for null. Texts without special characters, nearly all, are just quoted."""
     text = F.to_json(c.cast("variant"))

@@ -46,8 +46,13 @@ def p2_unified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_users(spark: SparkSession, d: str) -> DataFrame:
-    """All records of one type in one typed table, whatever their schema_version."""
+    """All records of one type in one typed table, whatever their schema_version.
+
+    Its columns id and ID differ in letter case only, so the session tells such names apart from here on; otherwise Spark
+    neither writes nor reads the table.
+    """
     df = _versions(spark, d)
+    spark.conf.set("spark.sql.caseSensitive", "true")
     columns = {"ID": "string", "Name": "string", "EmailAddress": "string", "Address.City": "string", "Address.Postcode": "string", "Quota": "bigint", "Locale": "string"}
     return schema_drift.unified_table(df, schema_drift.edit_scripts(df, closed=CLOSED), "userentity", columns, CLOSED)
 

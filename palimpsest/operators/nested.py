@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palimpsest.functions import arrow, jsonval
+from palimpsest.functions.canon import fit
 from palimpsest.operators.current import current_rows
 from palimpsest.plans import shapes
 from palimpsest.sources.scratch import materialize, new_path
@@ -150,13 +151,7 @@ def plan_tables(forms: list[tuple[str, str, str]]) -> tuple[list[Subtype], dict[
 
 def _fit(value: Column, have: T.DataType, kind: str) -> Column:
     """The value in a type; null if it has no such form."""
-    text = F.to_json(value) if isinstance(have, (T.ArrayType, T.StructType)) else value.cast("string")
-    if kind in ("tinyint", "smallint", "int", "bigint"):
-        return F.round(text.try_cast("decimal(38,18)")).try_cast(kind)
-    if kind in ("float", "double"):
-        # Java takes 1d and 0x1p3 for numbers
-        return F.when(~text.rlike(r"[0-9.][dDfF]\s*$|[xX]"), text).try_cast(kind)
-    return text.try_cast(kind)
+    return fit(F.to_json(value) if isinstance(have, (T.ArrayType, T.StructType)) else value.cast("string"), kind)
 
 
 @dataclass(frozen=True)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions import arrow, jsonval
+from palimpsest.functions.canon import fit
 from palimpsest.operators.current import current_rows
 from palimpsest.plans.tree_edit import Step, edit_script, new_path, renames
 from palimpsest.sources.scratch import materialize
@@ -287,10 +288,15 @@ def convert(value, kind: str):
 
 
 def _project(value: dict, by: Projection, closed: frozenset[str]) -> dict:
-    """The record under the newest names and types; what has no place or form there is kept aside, no value is dropped."""
+    """The record under the newest names and types; what has no place or form there is kept aside, no value is dropped.
+
+    Where a member that takes a newer name meets one that has it already, the former stays unless it is null.
+    """
     result: dict = {}
+    took: set[tuple[str, ...]] = set()  # names whose value came from another name
 
-    def put(path: str, x) -> None:
+    def put(to: tuple[str, ...], x, moved: bool) -> None:
+        path = ".".join(to)
         if path in by.casts:
             try:
                 x = convert(x, by.casts[path])
@@ -298,7 +304,7 @@ def _project(value: dict, by: Projection, closed: frozenset[str]) -> dict:
                 result.setdefault("_unconverted", {})[path] = x
                 return
         at = result
-        *head, tail = path.split(".")
+        *head, tail = to
         for p in head:
             at = at.setdefault(p, {})
             if not isinstance(at, dict):
@@ -306,30 +312,41 @@ def _project(value: dict, by: Projection, closed: frozenset[str]) -> dict:
                 return
         if isinstance(x, dict) and isinstance(at.get(tail), dict):
             at[tail] |= x
-        else:
-            at[tail] = x
+            return
+        have = at.get(tail)
+        if have is not None and (x is None or to in took and not moved):
+            have, x = x, have
+        elif moved and x is not None:
+            took.add(to)
+        at[tail] = x
+        if have is not None:
+            result.setdefault("_removed", {})[path] = have
 
     inside_moves, inside_casts = by.above
-    todo: list[tuple[dict, str, str | None]] = [(value, "", "")]  # object, its old path, its newest (None: removed)
+    todo: list[tuple[dict, str, tuple[str, ...] | None]] = [(value, "", ())]  # object, its old path, its newest (None: removed)
     while todo:
         node, path, target = todo.pop(0)
         for k, x in node.items():
             p = f"{path}.{k}" if path else k
-            to = by.moves[p] if p in by.moves else None if target is None else f"{target}.{k}" if target else k
-            if isinstance(x, dict) and x and k not in closed and (p in inside_moves or to in inside_casts):
+            if p in by.moves:
+                to = None if by.moves[p] is None else tuple(by.moves[p].split("."))
+            else:
+                to = None if target is None else (*target, k)
+            if isinstance(x, dict) and x and k not in closed and (p in inside_moves or (to and ".".join(to) in inside_casts)):
                 todo.append((x, p, to))
             elif to is None:
                 result.setdefault("_removed", {})[p] = x
             else:
-                put(to, x)
+                put(to, x, ".".join(to) != p)
     return result
 
 
-def unify(df: DataFrame, scripts: dict[tuple[str, int, int], list[Step]], closed: tuple[str, ...] = ()) -> DataFrame:
+def unify(df: DataFrame, scripts: dict[tuple[str, int, int], list[Step]], closed: tuple[str, ...] = (), entity_type: str | None = None) -> DataFrame:
     """Current rows with data in the newest schema of their type: (id, entity_type, entity_id, version, schema_version, data).
 
     data is canonical JSON under the newest names and types. Members of removed fields go to ``_removed`` under their old
-    path, values that the newest type can't hold to ``_unconverted``. Data that is not an object stays as it is.
+    path, values that the newest type can't hold to ``_unconverted``, and values whose newest name another one has taken to
+    ``_removed`` under that name. Data that is not an object stays as it is. ``entity_type``: only current rows of this type.
     """
     projections, shut = compile_projections(scripts), frozenset(closed)
     none = Projection({}, {})
@@ -343,12 +360,22 @@ def unify(df: DataFrame, scripts: dict[tuple[str, int, int], list[Step]], closed
             yield batch.set_column(batch.schema.get_field_index("data"), "data", pa.array(texts, pa.string()))
 
     columns = [F.col(c) for c in ("entity_type", "entity_id", "version", "schema_version", "data")]
-    rows = current_rows(df.select("id", "created_at", *columns), *columns).drop("created_at")
+    rows = df.select("id", "created_at", *columns)
+    if entity_type is not None:  # texts of other types don't travel
+        rows = rows.withColumn("data", F.when(F.col("entity_type") == entity_type, F.col("data")))
+    rows = current_rows(rows, *columns).drop("created_at")
+    if entity_type is not None:
+        rows = rows.where(F.col("entity_type") == entity_type)
     return rows.mapInArrow(run, rows.schema).where("data is not null")
 
 
 def unified_table(df: DataFrame, scripts: dict[tuple[str, int, int], list[Step]], entity_type: str, columns: dict[str, str], closed: tuple[str, ...] = ()) -> DataFrame:
-    """One typed table of a type's records: a column for each (dotted field -> Spark type), null where it doesn't fit."""
-    rows = unify(df.where(F.col("entity_type") == entity_type), scripts, closed)
-    typed = [F.expr(f"try_cast(get_json_object(data, '$.{path}') as {kind})").alias(path.replace(".", "_")) for path, kind in columns.items()]
-    return rows.select("id", "entity_id", "version", "schema_version", *typed)
+    """One typed table of a type's current records: a column for each (dotted field -> Spark type), null where it doesn't fit.
+
+    A field that is asked for keeps its name, so steps that remove, rename or move it or what it lies in are left out; a
+    value that its newest JSON type can't hold is read as it was. Fractions become whole numbers by rounding, halves away from zero.
+    """
+    lost = lambda s: s.kind in ("removed", "renamed", "moved") and any(c == s.old or c.startswith(s.old + ".") for c in columns)
+    rows = unify(df, {k: [s for s in steps if not lost(s)] for k, steps in scripts.items()}, closed, entity_type)
+    value = lambda path: F.coalesce(F.get_json_object("data", f"$.{path}"), F.get_json_object("data", f"$._unconverted['{path}']"))
+    return rows.select("id", "entity_id", "version", "schema_version", *[fit(value(p), kind).alias(p.replace(".", "_")) for p, kind in columns.items()])

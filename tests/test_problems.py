@@ -160,6 +160,29 @@ def test_unified_records(spark, data):
     assert table.where("Age is not null and EmailAddress is not null").count() > 0
 
 
+HOSTILE_USERS = [
+    (1, '{"ID":"a","Email":"old","EmailAddress":"new","Quota":1.5}'), (1, '{"ID":"b","EmailAddress":"new","Email":null}'), (1, '{"EmailAddress":"new","Email":"old"}'), (3, '{"ID":"e","Address":{"Postcode":"p","ZipCode":"z","City":null}}'),
+    (3, '{"Address":{"ZipCode":null,"Postcode":"p"}}'), (4, '{"Quota":"2.5","Address":"text"}'), (4, '{"Quota":-2.5,"Address":{"City":"a"},"Address.City":"b","Name":true}'), (4, '{"ID":5,"Quota":true,"Name":["x",1]}'), (4, "[1]"), (4, "null"), (4, " "),
+    (None, '{"ID":"n","Email":"e","EmailAddress":"f"}'), (7, '{"ID":"y","Email":"e7","Address":{"Postcode":"p7"},"Quota":"12"}'), (0, '{"ID":"z","Email":"e0"}'), (4, '{"id":"lower","ID":"upper"}'),
+]
+
+
+def test_table_of_hostile_users(spark, data, tmp_path):
+    """p2_users is written, read back and what SQL gives; a few records of a newer schema_version take no field away."""
+    real = g.table(spark, data, "audit_versions")
+    found = spark.createDataFrame([(f"odd{n}", s, x, T0) for n, (s, x) in enumerate(HOSTILE_USERS)], "id string, schema_version int, data string, created_at timestamp")
+    found = found.select(*[F.col(f.name).cast(f.dataType).alias(f.name) if f.name in found.columns else F.lit("userentity" if f.name == "entity_type" else None).cast(f.dataType).alias(f.name) for f in real.schema])
+    gone = real.where("entity_type = 'userentity'").orderBy("id").limit(5).withColumns({"entity_type": F.lit("other"), "created_at": F.lit(datetime(2100, 1, 1)).cast(real.schema["created_at"].dataType)})
+    real.unionByName(found).unionByName(gone).write.parquet(f"{tmp_path}/audit_versions.parquet")
+    spark.conf.set("spark.sql.caseSensitive", "false")
+    g.p2_users(spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    table = spark.read.parquet(f"{tmp_path}/out")
+    result = duckdb.sql(g.ORACLES["p2_users"].replace("from audit_versions", f"from '{tmp_path}/audit_versions.parquet/*.parquet'"))
+    assert table.columns == result.columns
+    assert got(table) == want(result.fetchall())
+    assert table.where("id like 'odd%'").count() == 13
+
+
 def test_unified_records_against_a_plain_reading(spark, data):
     """Renames of brute.p2, applied one after the other, lead to the same values."""
     df = g.table(spark, data, "audit_versions")
